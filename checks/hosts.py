@@ -145,9 +145,9 @@ select line.host_id, line.ts, coalesce(n, 0) as wait_starts from line left join
     "db_size_trend_hybrid": _TREND + " select * from trend",
     "iud_rates": _TREND + """, g as (select *, epoch_ms(ts) - lag(epoch_ms(ts)) over (partition by host_id order by ts) as gap from trend)
 select host_id, ts, cast(ins * 1000 // gap as bigint) as ins_per_s, cast(upd * 1000 // gap as bigint) as upd_per_s, cast(del * 1000 // gap as bigint) as del_per_s from g where gap > 0""",
-    "database_stats": f"""select * from (select sdd_host_id as host_id, sdd_timestamp as ts, sdd_numbackends as numbackends,
-    {_norm('sdd_xact_rollback')} as rollbacks, {_norm('sdd_temp_bytes')} as temp_files_bytes, {_norm('sdd_deadlocks')} as deadlocks
-    from stat_database_data window w as (partition by sdd_host_id order by sdd_timestamp)) where rollbacks is not null""",
+    "database_stats": f"""select * exclude (prev) from (select sdd_host_id as host_id, sdd_timestamp as ts, sdd_numbackends as numbackends,
+    {_norm('sdd_xact_rollback')} as rollbacks, {_norm('sdd_temp_bytes')} as temp_files_bytes, {_norm('sdd_deadlocks')} as deadlocks,
+    lag(sdd_timestamp) over w as prev from stat_database_data window w as (partition by sdd_host_id order by sdd_timestamp)) where prev is not null""",
     "bgwriter_stats": f"""with d as (select sbd_host_id as host_id, date_trunc('hour', sbd_timestamp) as hour,
     {secs('sbd_timestamp', 'lag(sbd_timestamp) over w')} as el, {_lagd('sbd_checkpoints_timed')} as t, {_lagd('sbd_checkpoints_req')} as q,
     {_lagd('sbd_buffers_checkpoint')} as c, {_lagd('sbd_buffers_clean')} as l, {_lagd('sbd_buffers_backend')} as b

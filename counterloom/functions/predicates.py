@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .times import is_weekday
+
 # Name patterns with a meaning to the reports.
 TEMP_SCHEMAS = ("pg_temp%", "z_blocking", "tmp%", "temp%", "\\_v")
 UTILITY_STATEMENTS = (
@@ -110,3 +112,7 @@ def schema_filter(df: DataFrame, config: DataFrame, host: str, schema: str) -> D
         .where("inc and not exc")
     )
     return df.join(kept, (df[host] == kept["_h"]) & (df[schema] == kept["_s"]), "left_semi")
+
+
+def is_weekday_filter(df: DataFrame, ts: str) -> DataFrame:
+    return df.where(is_weekday(F.col(ts)))
