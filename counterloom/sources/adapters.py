@@ -145,7 +145,7 @@ select cast(p_partkey % 4 + 1 as int) as host_id, 's' || cast(p_size % 3 as varc
        'idx_' || cast(p_partkey as varchar(20)) as index_name,
        'CREATE ' || case when p_partkey % 5 = 0 then 'UNIQUE ' else '' end || 'INDEX idx_' || cast(p_partkey as varchar(20))
          || ' ON s' || cast(p_size % 3 as varchar(10)) || '.' || lower(replace(p_brand, '#', '_')) || ' USING btree (' || lower(replace(p_type, ' ', '_')) || ')' as index_def,
-       cast(round(p_retailprice * 100000) as bigint) as index_size, cast(p_size * 10000000 as bigint) as table_size, cast(p_size % 12 as bigint) as scans,
+       cast(round(p_retailprice * 200000) as bigint) as index_size, cast(p_size * 10000000 as bigint) as table_size, cast(p_size % 12 as bigint) as scans,
        p_partkey % 5 = 0 as is_unique, p_partkey % 7 <> 0 as is_valid
 from {part}
 """,
