@@ -34,6 +34,11 @@ def hourly_sproc_summary(fleet: Fleet, as_of, host=None, start=None, end=None) -
     df = fleet.samples("sproc_performance_data", host, start, end)
     hour = bucket(F.col("sp_timestamp"), "hour").alias("hour")
     peaks = df.groupBy("sp_sproc_id", hour).agg(F.max("sp_calls").alias("c"), F.max("sp_total_time").alias("t"))
+    return summarise_peaks(fleet, peaks, as_of)
+
+
+def summarise_peaks(fleet: Fleet, peaks: DataFrame, as_of) -> DataFrame:
+    """Hourly summary from counter peaks ``c, t`` per ``sp_sproc_id`` and ``hour``."""
     names = fleet.table("sprocs").select(
         F.col("sproc_id").alias("sp_sproc_id"), F.col("sproc_host_id").alias("ss_host_id"),
         proc_base_name(F.col("sproc_name")).alias("ss_sproc_name"),
