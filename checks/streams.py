@@ -1,6 +1,6 @@
 """Streaming jobs run to the end of their input, and the batch result they must equal.
 
-Each job first writes its samples as three consecutive deliveries, so that state crosses batches.
+Each job gets its samples in three consecutive deliveries, so that state crosses batches and runs.
 """
 
 from __future__ import annotations
@@ -34,15 +34,14 @@ def _work(f) -> str:
     return f"{shared_dir(f.spark)}/stream-{uuid.uuid4().hex}"
 
 
-def _deliver(df, ts, path, cuts=CUTS):
+def _runs(f, df, ts, work, start, cuts=CUTS, extra=None):
+    """Deliver the samples in time order and run the job to the end after each delivery, resuming
+    from its checkpoint."""
     c = F.col(ts)
-    for part in (c < cuts[0], (c >= cuts[0]) & (c < cuts[1]), c >= cuts[1]):
-        df.where(part).coalesce(1).write.mode("append").parquet(path)
-
-
-def _source(f, df, ts, work, cuts=CUTS):
-    _deliver(df, ts, f"{work}/in", cuts)
-    return J.read_samples(f.spark, f"{work}/in", df.schema, 1)
+    parts = [df.where(p) for p in (c < cuts[0], (c >= cuts[0]) & (c < cuts[1]), c >= cuts[1])]
+    for part in [*parts, *([extra] if extra is not None else [])]:
+        part.write.mode("append").parquet(f"{work}/in")
+        start(J.read_samples(f.spark, f"{work}/in", df.schema)).awaitTermination()
 
 
 def _read(f, path):
@@ -55,42 +54,42 @@ def _sp(f):
 
 def _delta_table(f, work):
     cols = ["sp_calls", "sp_total_time", "sp_self_time"]
-    J.stream_delta(_source(f, _sp(f), "sp_timestamp", work), "sproc_performance_data", cols, Reset.RAW, f"{work}/delta", work).awaitTermination()
+    _runs(f, _sp(f), "sp_timestamp", work, lambda s: J.stream_delta(s, "sproc_performance_data", cols, Reset.RAW, f"{work}/delta", work))
     return f"{work}/delta"
 
 
+def _stream_table(f, path):
+    return f.spark.readStream.schema(_read(f, path).schema).option("recursiveFileLookup", "true").parquet(path)
+
+
 def stream_delta(f):
     out = _delta_table(f, _work(f))
     return _read(f, out).select("sp_host_id", "sp_sproc_id", "sp_timestamp", "d_sp_calls", "d_sp_total_time", "d_sp_self_time")
 
 
 def stream_changed_only(f):
-    work = _work(f)
-    src = _source(f, f.table("table_io_data"), "tio_timestamp", work)
-    J.stream_changed_only(src, "table_io_data", ["tio_heap_read", "tio_idx_read"], f"{work}/out", work).awaitTermination()
+    work, cols = _work(f), ["tio_heap_read", "tio_idx_read"]
+    _runs(f, f.table("table_io_data"), "tio_timestamp", work, lambda s: J.stream_changed_only(s, "table_io_data", cols, f"{work}/out", work))
     return _read(f, f"{work}/out")
 
 
 def stream_sproc_load(f):
     """Deltas, then 15-minute buckets behind the watermark, then the two-bucket load."""
     work = _work(f)
-    delta = _delta_table(f, work)
-    schema = _read(f, delta).schema
-    src = f.spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(delta)
-    J.stream_sproc_load(src, f"{work}/load", f"{work}/cp").awaitTermination()
+    J.stream_sproc_load(_stream_table(f, _delta_table(f, work)), f"{work}/load", f"{work}/cp").awaitTermination()
     load = half_up(moving_sum("self_ms", ["host_id"], "bucket") / F.lit(900000.0), 2)
     return _read(f, f"{work}/load").select("host_id", "bucket", load.alias("load_15min"))
 
 
 def stream_db_size(f):
     work = _work(f)
-    J.stream_db_size(_source(f, f.table("table_size_data"), "tsd_timestamp", work), f"{work}/out", f"{work}/cp").awaitTermination()
+    _runs(f, f.table("table_size_data"), "tsd_timestamp", work, lambda s: J.stream_db_size(s, f"{work}/out", f"{work}/cp"))
     return _read(f, f"{work}/out")
 
 
 def stream_summary(f):
     work = _work(f)
-    J.stream_peaks(_source(f, _sp(f), "sp_timestamp", work), f"{work}/out", f"{work}/cp").awaitTermination()
+    _runs(f, _sp(f), "sp_timestamp", work, lambda s: J.stream_peaks(s, f"{work}/out", f"{work}/cp"))
     return summarise_peaks(f, J.read_peaks(f.spark, f"{work}/out"), AS_OF)
 
 
@@ -98,49 +97,48 @@ def stream_export(f):
     """WAL rate points from a stream of deltas."""
     work = _work(f)
     df = f.table("host_load").select("load_host_id", "load_timestamp", "xlog_location_mb")
-    J.stream_delta(_source(f, df, "load_timestamp", work), "host_load", ["xlog_location_mb"], Reset.DROP_NEGATIVE, f"{work}/delta", work).awaitTermination()
-    src = f.spark.readStream.schema(_read(f, f"{work}/delta").schema).option("recursiveFileLookup", "true").parquet(f"{work}/delta")
+    _runs(f, df, "load_timestamp", work, lambda s: J.stream_delta(s, "host_load", ["xlog_location_mb"], Reset.DROP_NEGATIVE, f"{work}/delta", work))
 
     def points(b):
         v = b.select(F.col("load_host_id").alias("host"), "load_timestamp", rate(F.col("d_xlog_location_mb"), F.col("elapsed_s"), HOUR * MICRO).alias("xlog_b_1h_rate"))
         return to_points(v, "load", ["host"], ["xlog_b_1h_rate"], "load_timestamp")
 
+    src = _stream_table(f, f"{work}/delta")
     J.stream_export(src, points, "load_timestamp", f"{work}/out", f"{work}/cp", up_to="2024-01-30 23:59:50", fmt="parquet").awaitTermination()
     return _read(f, f"{work}/out").select("measurement", F.col("tags.host").alias("host"), F.col("fields.xlog_b_1h_rate").alias("xlog_b_1h_rate"), "time")
 
 
 def stream_prune_locks(f):
     work = _work(f)
-    src = _source(f, f.table("blocking_locks"), "bl_timestamp", work, LOCK_CUTS)
-    J.stream_prune_locks(src, f"{work}/out", work).awaitTermination()
+    _runs(f, f.table("blocking_locks"), "bl_timestamp", work, lambda s: J.stream_prune_locks(s, f"{work}/out", work), LOCK_CUTS)
     return _read(f, f"{work}/out")
 
 
 def stream_persistent_waits(f):
     work = _work(f)
-    src = _source(f, f.table("blocking_locks"), "bl_timestamp", work, LOCK_CUTS)
-    J.stream_persistent_waits(src, f"{work}/out", work).awaitTermination()
+    _runs(f, f.table("blocking_locks"), "bl_timestamp", work, lambda s: J.stream_persistent_waits(s, f"{work}/out", work), LOCK_CUTS)
     return _read(f, f"{work}/out")
 
 
+def _counted(width, work):
+    return lambda s: J.append_to(J.tumbling(s, "ts", width, "1 hour", ["event_type"], [F.count(F.lit(1)).alias("n")]), f"{work}/out", f"{work}/cp")
+
+
+def _typed_events(f):
+    return f.table("events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+
+
 def stream_tumbling(f):
     work = _work(f)
-    df = f.table("events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    per = J.tumbling(_source(f, df, "ts", work), "ts", "1 day", "1 hour", ["event_type"], [F.count(F.lit(1)).alias("n")])
-    J.append_to(per, f"{work}/out", f"{work}/cp").awaitTermination()
+    _runs(f, _typed_events(f), "ts", work, _counted("1 day", work))
     return _read(f, f"{work}/out")
 
 
 def stream_late_rows(f):
     """A late delivery: rows older than the watermark are ignored."""
-    work = _work(f)
-    df = f.table("events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    work, df = _work(f), _typed_events(f)
     late = df.withColumn("event_type", F.lit("late")).where(F.col("ts") < CUTS[0])
-    _deliver(df, "ts", f"{work}/in")
-    late.coalesce(1).write.mode("append").parquet(f"{work}/in")
-    src = J.read_samples(f.spark, f"{work}/in", df.schema, 1)
-    per = J.tumbling(src, "ts", "1 hour", "1 hour", ["event_type"], [F.count(F.lit(1)).alias("n")])
-    J.append_to(per, f"{work}/out", f"{work}/cp").awaitTermination()
+    _runs(f, df, "ts", work, _counted("1 hour", work), extra=late)
     return _read(f, f"{work}/out")
 
 

@@ -47,14 +47,17 @@ def keyed_by_identity(locks: DataFrame) -> DataFrame:
 
 
 def lock_match(waiting: DataFrame, holding: DataFrame, host: str, ts: str) -> DataFrame:
-    """Distinct (host, ts, waiter, holder, relation) of conflicting rows of different pids."""
-    w = keyed_by_identity(waiting).select(
-        host, ts, "kind", "ident", F.col("pid").alias("blocked_pid"), "relation"
-    ).distinct()
-    h = keyed_by_identity(holding).select(
-        host, ts, "kind", "ident", F.col("pid").alias("blocking_pid")
-    ).distinct()
-    pairs = w.join(h, [host, ts, "kind", "ident"]).where("blocked_pid <> blocking_pid")
+    """Distinct (host, ts, waiter, holder, relation) of conflicting rows of different pids.
+
+    Pairs are the result here; a group is one lock in one snapshot of one host, so it has no more
+    members than the server has processes.
+    """
+    at = [host, ts, "kind", "ident"]
+    w = keyed_by_identity(waiting).select(*at, F.col("pid").alias("blocked_pid"), "relation")
+    h = keyed_by_identity(holding).select(*at, F.col("pid").alias("blocking_pid"))
+    # one shuffle on the join keys serves both the de-duplication and the join
+    w, h = (side.repartition(*at).distinct() for side in (w, h))
+    pairs = w.join(h, at).where("blocked_pid <> blocking_pid")
     return pairs.drop("kind", "ident").distinct()
 
 

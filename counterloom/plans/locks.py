@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up
 from ..functions.predicates import ADVISORY_LOCK, EXPECTED_BLOCKED, in_range, like_any, opt_eq
 from ..functions.times import bucket
 from ..operators.joins import flag_overlaps, keyed_by_identity, lock_match
+from ..operators.series import PREV, with_previous
 from ..sources.fleet import Fleet
 
 AT = ["bl_host_id", "bl_timestamp"]
@@ -41,8 +42,8 @@ def prune_locks(locks: DataFrame) -> DataFrame:
 
 def snapshots(locks: DataFrame) -> DataFrame:
     """Each snapshot of a host with the one before it; one row per poll."""
-    w = Window.partitionBy("bl_host_id").orderBy("bl_timestamp")
-    return locks.select(*AT).distinct().withColumn("prev_ts", F.lag("bl_timestamp").over(w))
+    polls = locks.select(*AT).distinct()
+    return with_previous(polls, ["bl_host_id"], "bl_timestamp", []).withColumnRenamed(PREV + "bl_timestamp", "prev_ts")
 
 
 def persistent_waits(locks: DataFrame) -> DataFrame:
