@@ -96,7 +96,7 @@ select {_head('sdd_host_id', 'sdd_timestamp')}, sdd_numbackends as conns, {', '.
 d as (select *, {_deltas('iud_timestamp', {'scans': 'c'})} from s where scans > 10 window w as (partition by iud_host_id, schema, "index" order by iud_timestamp))
 select {_head('iud_host_id', 'iud_timestamp')}, schema, "index", {rate('c', 'el', 3600)} as scans_1h_rate, size_b from d where c >= 0 and size_b >= 10000000 and el > 1""",
     "metric_load": _LOAD + " select * from loads",
-    "metric_load_with_lag": _LOAD + " select * from loads where timestamp > timestamp '2024-01-10 00:00:00'",
+    "metric_load_with_lag": _LOAD.replace("from host_load window", "from host_load where load_timestamp > timestamp '2024-01-09 20:00:00' window") + " select * from loads where timestamp > timestamp '2024-01-10 00:00:00'",
     "metric_scan_and_iud_rates_per_db": _scan_rates(False),
     "metric_scan_and_iud_rates_per_schema": _scan_rates(True),
     "metric_sproc_details_per_schema_sproc": _SPROC_DETAILS + " select * from details",
