@@ -93,8 +93,24 @@ def flag_overlaps(
     cols = df.columns
     points = df.select(*cols, F.col(end).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("timestamp").alias("_e"))
     marks = other.select(*keys, F.col(start).alias("_at"), F.lit(0).alias("_kind"), F.col(end).alias("_e"))
-    both = points.unionByName(marks, allowMissingColumns=True).withColumn("_chunk", bucket(F.col("_at"), chunk))
+    return _running_flag(points.unionByName(marks, allowMissingColumns=True), cols, keys, start, flag, chunk)
 
+
+def flag_own_overlaps(
+    df: DataFrame, keys: Sequence[str], asking: str, marking: str, start: str, end: str, flag: str, *, chunk: str = "day"
+) -> DataFrame:
+    """:func:`flag_overlaps` of a frame with itself: rows of nonzero length, flagged when an interval whose
+    ``marking`` column equals their ``asking`` column overlaps. The frame is read once; each row
+    yields its query point and its mark."""
+    point = F.struct(F.col(asking).alias("_k"), F.col(end).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("timestamp").alias("_e"))
+    mark = F.struct(F.col(marking).alias("_k"), F.col(start).alias("_at"), F.lit(0).alias("_kind"), F.col(end).alias("_e"))
+    both = df.withColumn("_p", F.explode(F.array_compact(F.array(F.when(F.col(start) != F.col(end), point), mark))))
+    both = both.select(*df.columns, "_p.*")
+    return _running_flag(both, df.columns, [*keys, "_k"], start, flag, chunk)
+
+
+def _running_flag(both: DataFrame, cols: Sequence[str], keys: Sequence[str], start: str, flag: str, chunk: str) -> DataFrame:
+    both = both.withColumn("_chunk", bucket(F.col("_at"), chunk))
     # the query points only contribute the chunks that need priming
     per_chunk = both.groupBy(*keys, "_chunk").agg(F.max("_e").alias("_e"))
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import half_up
 from ..functions.predicates import ADVISORY_LOCK, EXPECTED_BLOCKED, in_range, like_any, opt_eq
 from ..functions.times import bucket
-from ..operators.joins import flag_overlaps, keyed_by_identity, lock_match
+from ..operators.joins import flag_own_overlaps, keyed_by_identity, lock_match
 from ..operators.series import PREV, with_previous
 from ..sources.fleet import Fleet
 
@@ -92,9 +92,9 @@ def _report(fleet: Fleet, start, end, shortname, ignore_advisory: bool, per, by:
         locks = locks.join(hosts, locks["bl_host_id"] == hosts["host_id"], "left_semi")
     inc = incidents(locks, fleet.table("blocking_processes"), start, end, per)
     inc = inc.withColumn("period", F.coalesce("period", F.timestamp_seconds(F.lit(0))))
-    blocked_spans = inc.select("host_id", "period", F.col("blocked_pid").alias("pid"), "start_time", "end_time")
-    lasting = inc.where("start_time <> end_time").withColumn("pid", F.col("blocking_pid"))
-    roots = flag_overlaps(lasting, blocked_spans, ["host_id", "period", "pid"], "start_time", "end_time", "is_blocked").where("not is_blocked")
+    roots = flag_own_overlaps(
+        inc, ["host_id", "period"], "blocking_pid", "blocked_pid", "start_time", "end_time", "is_blocked"
+    ).where("not is_blocked")
     seconds = half_up((F.unix_micros("end_time") - F.unix_micros("start_time")) / F.lit(1e6))
     grouped = (
         roots.withColumn("delta_s", seconds)
