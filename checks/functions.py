@@ -96,6 +96,10 @@ _SZ = "((o_orderkey * o_orderkey * o_custkey) - 5000)"
 _CT = "((o_orderkey * o_custkey * 97) - 900)"
 _NORM = "lower(ltrim(regexp_replace({0}, '[ \\t\\n\\r]+', ' ', 'g')))"
 
+# the texts hold no characters beyond the basic plane, where a character is one code unit
+_HASH = """with f as (select {cols}, list_reduce(list_prepend(cast(0 as hugeint), list_transform(string_split(text, ''), lambda x: cast(unicode(x) as hugeint))), lambda a, b: (a * 31 + b) % 4294967296) as v from {src})
+select {cols}, cast(case when v >= 2147483648 then v - 4294967296 else v end as bigint) as {name} from f"""
+
 ORACLE = {
     "fn_proc_names": "select sproc_id, split_part(sproc_name, '(', 1) as base, split_part(sproc_name, '(', 1) || '()' as short, 'shop' as family from sprocs",
     "fn_normalise_query": f"select doc_id, md5({_NORM.format("translate(text, 'ßİ', '  ')")}) as digest, case when length(ltrim(text)) > 60 then 63 else length(ltrim(text)) end as shown from documents",
@@ -109,9 +113,8 @@ ORACLE = {
 s as (select *, case when p_size % 10 = 0 then [] else string_split(t, ' ') end as l from p)
 select p_partkey, name || '(' || coalesce(array_to_string(list_transform(l, lambda x, i: case when (p_size % 3 = 1 and i > 1) or (p_size % 3 = 2 and i = 1) then x else 'i ' || x end), ', '), '') || ')' as full_name,
   name || '(' || coalesce(array_to_string(l, ', '), '') || ')' as old_name from s""",
-    "fn_query_hash": """with q as (select distinct ssd_query from stat_statements_data),
-h as (select ssd_query, list_reduce(list_prepend(cast(0 as hugeint), list_transform(string_split(ssd_query, ''), lambda x: cast(unicode(x) as hugeint))), lambda a, b: (a * 31 + b) % 4294967296) as h from q)
-select ssd_query, cast(case when h >= 2147483648 then h - 4294967296 else h end as bigint) as query_id from h""",
+    "fn_query_hash": _HASH.format(src="(select distinct ssd_query, ssd_query as text from stat_statements_data)", cols="ssd_query", name="query_id"),
+    "fn_query_hash_documents": _HASH.format(src="documents", cols="doc_id", name="h"),
     "fn_settings": """select c_custkey as host_id, c_custkey % 3 as load_interval, c_custkey % 3 > 0 as load_on, false as unknown_on,
   concat_ws(',', case when c_custkey % 3 > 0 then 'loadGatherInterval' end, case when c_nationkey % 2 > 0 then 'statDatabaseGatherInterval' end) as active from customer""",
     "fn_set_setting": """with s as (select c_custkey as host_id, c_custkey % 3 as l, '"statDatabaseGatherInterval": ' || c_nationkey % 2 as d, chr(10) as nl from customer)

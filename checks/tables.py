@@ -156,7 +156,7 @@ unpivot d on heap_read, heap_hit, index_read, index_hit into name series value v
   from table_size_data join tables on t_id = tsd_table_id join hosts on host_id = t_host_id where host_enabled and t_schema not like 'tmp%' and not (t_schema = 'data_0' and t_name = 'table_0') group by 1, 2, 3, 4, 5),
 b as (select *, lag(scans2) over w as scans1, lag(size2) over w as size1 from a window w as (partition by host_id, schema_name, table_name order by day)),
 c as (select *, {_pct('scans1', 'scans2')} as scan_change_pct, {_pct('size1', 'size2')} as size_change_pct, host_id = 1 and schema_name = 'data_1' and table_name = 'table_1' as own from b where scans1 is not null)
-select host_ui_shortname, schema_name, table_name, day, scan_change_pct, scans1, scans2, {pretty_size('size1')} as size1, {pretty_size('size2')} as size2, size_change_pct, case when own then 10.0 else 50.0 end as allowed_seq_scan_pct
+select host_ui_shortname, schema_name, table_name, day, scan_change_pct, scans1, scans2, {pretty_size('size1')} as size1, {pretty_size('size2')} as size2, size_change_pct, cast(case when own then 10.0 else 50.0 end as double) as allowed_seq_scan_pct
 from c where size2 >= 10000000 and scans2 >= case when own then 1 else 5 end
   and (scan_change_pct >= case when own then 10 else 50 end or size_change_pct >= 10 or (own and size2 - size1 > 1000))""",
     "index_series": f"""with u as (select * from index_usage_data join indexes on i_id = iud_index_id),
