@@ -83,7 +83,7 @@ ORACLE = {
     "metric_avg_query_runtime_per_db": f"""with d as (select *, {_deltas('ssd_timestamp', {'ssd_calls': 'c', 'ssd_total_time': 't'})}
   from stat_statements_data where ssd_calls > 10 and lower(ssd_query) not like 'copy%' window w as (partition by ssd_host_id, ssd_query_id order by ssd_timestamp)),
 g as (select ssd_host_id, ssd_timestamp, avg(cast(t as double) / c) as a, sum({r0('(c * 3600000000 / el)')}) as r from d where c > 0 and t > 0 and el > 1 group by 1, 2)
-select {_head('ssd_host_id', 'ssd_timestamp')}, {r0('(a * 1000)')} as avg_us, {r0('(r / 1000000.0)')} as calls_1h_rate from g""",
+select {_head('ssd_host_id', 'ssd_timestamp')}, {r0(rn('(a * 1000)', 3))} as avg_us, {r0('(r / 1000000.0)')} as calls_1h_rate from g""",
     "metric_avg_sproc_runtime_per_db": _runtime(False),
     "metric_avg_sproc_runtime_per_schema": _runtime(True),
     "metric_blocked_process_counts": f"select {_head('bp_host_id', 'bp_timestamp')}, count(*) as count from blocking_processes where waiting group by bp_host_id, bp_timestamp",
