@@ -5,21 +5,65 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import decontaminate, quality_rules, url_filter, warc_store
+from .store import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the best window for each."""
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+URL_RULES = [
+    url_filter.Rule("allow", "org", "/"), url_filter.Rule("block", "example.org", "/es/"), url_filter.Rule("block", "example.org", "/en/1"),
+    url_filter.Rule("allow", "com", "/fr/"), url_filter.Rule("block", "com", "/de/"),
+]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every url. A page's path holds the number of the document it shows; where that is labelled, the url is
+    one to block if the document is of low quality or toxic."""
+    pages = _table(spark, sf_dir, "pages")
+    number = F.regexp_extract(url_filter.path_of(F.col("url")), r"^/[^/]*/([0-9]{1,18})", 1)
+    named = pages.select("page_id", F.when(number != "", number.cast("long")).alias("doc_id"))
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
+    labelled = named.join(_table(spark, sf_dir, "labels").select("doc_id", bad.alias("label")), "doc_id")
+    return url_filter.judge(pages, URL_RULES, labelled)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts of every document and whether it is kept."""
     return quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages to an archive and describe the records read back."""
+    path = new_path(spark, "warc")
+    warc_store.write_archive(_table(spark, sf_dir, "pages"), path)
+    records = warc_store.read_archive(spark, path)
+    return records.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontamination": op3_decontamination,
+    "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules,
+    "op10_warc_store": op10_warc_store,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op10_warc_store": """
+        with p as (select page_id, coalesce(html, '') as html, strlen(coalesce(html, '')) as n from pages),
+        f as (select *, min(page_id) over (partition by html) as first_id from p)
+        select page_id, n as payload_bytes, sha256(html) as payload_digest,
+            case when n >= 100 and page_id <> first_id then 'revisit' else 'response' end as record_type,
+            case when n >= 100 and page_id <> first_id then first_id end as refers_to
+        from f
+    """,
+}
