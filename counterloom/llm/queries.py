@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality_rules, url_filter, warc_store
+from . import decontaminate, packing, quality_model, quality_rules, url_filter, warc_store
 from .store import new_path
 
 
@@ -15,11 +15,35 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, with the best window for each."""
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    """One row in five, by the checksum of its id; no label of these is learnt from."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; labels of the held-out fifth are not used."""
+    labels = _table(spark, sf_dir, "labels").where(~held_out())
+    scores = quality_model.quality_scores(_table(spark, sf_dir, "documents"), labels)
+    return scores.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 URL_RULES = [
     url_filter.Rule("allow", "org", "/"), url_filter.Rule("block", "example.org", "/es/"), url_filter.Rule("block", "example.org", "/en/1"),
     url_filter.Rule("allow", "com", "/fr/"), url_filter.Rule("block", "com", "/de/"),
@@ -52,6 +76,8 @@ def op10_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
+    "op4_quality_model": op4_quality_model,
+    "op5_packing": op5_packing,
     "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc_store": op10_warc_store,
