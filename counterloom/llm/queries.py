@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality_model, quality_rules, url_filter, warc_store
+from . import decontaminate, packing, quality_model, quality_rules, surrogates, url_filter, warc_store
 from .store import new_path
 
 
@@ -15,6 +15,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SURROGATE_KEY = "a key of the corpus"
+
+
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with personal data replaced, and how many mentions were."""
+    docs = surrogates.replace_personal_data(_table(spark, sf_dir, "documents"), SURROGATE_KEY)
+    return docs.select("doc_id", "text", F.col("_replaced").alias("n_replaced"))
+
+
 def tokenizer(name: str) -> str:
     """Path of a public tokenizer's file."""
     import public_tokenizers
@@ -75,6 +84,7 @@ def op10_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_surrogates": op1_surrogates,
     "op3_decontamination": op3_decontamination,
     "op4_quality_model": op4_quality_model,
     "op5_packing": op5_packing,
