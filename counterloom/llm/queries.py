@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality_model, quality_rules, surrogates, url_filter, warc_store
+from . import chosen_path, decontaminate, packing, quality_model, quality_rules, surrogates, url_filter, warc_store
 from .store import new_path
 
 
@@ -53,6 +53,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op6_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near copies, first copy and number of links of every document."""
+    return chosen_path.similar_documents(_table(spark, sf_dir, "documents"))
+
+
 URL_RULES = [
     url_filter.Rule("allow", "org", "/"), url_filter.Rule("block", "example.org", "/es/"), url_filter.Rule("block", "example.org", "/en/1"),
     url_filter.Rule("allow", "com", "/fr/"), url_filter.Rule("block", "com", "/de/"),
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_quality_model": op4_quality_model,
     "op5_packing": op5_packing,
+    "op6_similarity_join": op6_similarity_join,
     "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc_store": op10_warc_store,
