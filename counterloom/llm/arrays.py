@@ -117,17 +117,19 @@ def doc_offsets(doc: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(doc, np.arange(n + 1))
 
 
-def windows(values: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """First item and hash of every window of ``k`` items that lies within one document."""
-    if len(values) < k:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    fits = np.zeros(len(values) + 1, np.int64)
+def window_starts(offsets: np.ndarray, k: int) -> np.ndarray:
+    """First item of every window of ``k`` items that lies within one document."""
+    fits = np.zeros(offsets[-1] + 1, np.int32)
     long = np.flatnonzero(np.diff(offsets) >= k)
     np.add.at(fits, offsets[long], 1)
     np.add.at(fits, offsets[long + 1] - k + 1, -1)
-    start = np.flatnonzero(np.cumsum(fits[:-1]))
-    sums = prefix(values)
-    return start, span_hash(sums, start, start + k)
+    return np.flatnonzero(np.cumsum(fits[:-1]))
+
+
+def windows(values: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """First item and hash of every window of ``k`` items that lies within one document."""
+    start = window_starts(offsets, k)
+    return start, span_hash(prefix(values), start, start + k)
 
 
 def sums_by_doc(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -174,3 +176,23 @@ def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
 def seeded(values: np.ndarray, seed: int) -> np.ndarray:
     """Another hash of hashes, one per seed."""
     return mix(values + np.uint64((seed * 0xD6E8FEB86659FD93 + 0x2545F4914F6CDD1D) % (1 << 64)))
+
+
+def grouped(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[pa.Table]:
+    """The rows of one key at a time, from batches sorted by integer key columns; a group may span batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        ids = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in columns])
+        cuts = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            if x == y:
+                continue
+            this = tuple(ids[:, x].tolist())
+            if held and this != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(x, y - x))
+            last = this
+    if held:
+        yield pa.Table.from_batches(held)

@@ -225,28 +225,9 @@ def _links(final: DataFrame, sets: DataFrame, similarity: float, block: int) ->
         .repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
     )
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        """The rows of one key and block pair at a time; a group may span batches."""
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in batches:
-            ids = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "a", "b")])
-            cuts = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
-            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                if x == y:
-                    continue
-                this = tuple(ids[:, x].tolist())
-                if held and this != last:
-                    yield pa.Table.from_batches(held)
-                    held = []
-                held.append(batch.slice(x, y - x))
-                last = this
-        if held:
-            yield pa.Table.from_batches(held)
-
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: tuple[list, list, list] = ([], [], [])
-        for group in groups(batches):
+        for group in A.grouped(batches, "key", "a", "b"):
             key, a, b = (group.column(c)[0].as_py() for c in ("key", "a", "b"))
             keys = [np.array(k, np.int64).tobytes() for k in group.column("keys").to_pylist()]
             sets = [np.frombuffer(t, np.uint64) for t in group.column("tokens").to_pylist()]

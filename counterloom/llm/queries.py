@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, decontaminate, packing, quality_model, quality_rules, surrogates, url_filter, warc_store
+from . import chosen_path, decontaminate, packing, quality_model, quality_rules, suffix_dedup, surrogates, url_filter, warc_store
 from .store import new_path
 
 
@@ -24,6 +24,11 @@ def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "text", F.col("_replaced").alias("n_replaced"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 50-byte strings of earlier documents."""
+    return suffix_dedup.remove_repeated_substrings(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def tokenizer(name: str) -> str:
     """Path of a public tokenizer's file."""
     import public_tokenizers
@@ -90,6 +95,7 @@ def op10_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_surrogates": op1_surrogates,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_quality_model": op4_quality_model,
     "op5_packing": op5_packing,
