@@ -1,14 +1,57 @@
-"""A corpus pipeline of the operators in ``counterloom.llm``: each stage reads what the one before it wrote."""
+"""A corpus pipeline of the operators in ``counterloom.llm``: each stage reads what the one before it wrote.
+
+Rows with a null id are judged by no stage that decides by id: they stay until packing. Extra columns of ``documents`` are carried along.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from counterloom.llm import chosen_path, decontaminate, packing, quality_model, surrogates
+from counterloom.llm.queries import SURROGATE_KEY, held_out, tokenizer
 from counterloom.llm.store import written
 
-STAGES = []
 
-#: The trained classifier and the randomised join have no SQL form.
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the quality classifier rejects: a score below 0.3."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())
+    rejected = quality_model.quality_scores(docs, labels).where("score < 0.3").select("doc_id").distinct()
+    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+
+
+def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies keep the document with the smallest id."""
+    classes = chosen_path.similar_documents(docs).where("doc_id = class_id").select("doc_id").distinct()
+    first = docs.join(classes, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return first.select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a benchmark item."""
+    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.clean(docs, found).select(docs.columns)
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data in every text; ``n_chars`` follows the new text."""
+    return surrogates.replace_personal_data(docs, SURROGATE_KEY).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of every document in sequences of at most 2048."""
+    return packing.pack(docs, tokenizer("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality-classifier", keep_quality),
+    ("near-duplicates", keep_first_copies),
+    ("decontamination", keep_uncontaminated),
+    ("personal-data", replace_personal_data),
+    ("packing", pack),
+]
+
+#: The trained classifier, the randomised join and the tokenizer have no SQL form.
 ORACLE_SQL = None
 
 
@@ -17,4 +60,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir) if STAGES else docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -47,6 +47,8 @@ def code(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 def _rows(buckets: np.ndarray, kind: int, columns: list[np.ndarray], digests: np.ndarray | None) -> Iterator[tuple]:
     """One row per bucket; digests as a table of the distinct ones and short indexes."""
+    if not len(buckets):
+        return
     order = np.argsort(buckets, kind="stable")
     ordered = buckets[order]
     cuts = [0, *(np.flatnonzero(np.diff(ordered)) + 1).tolist(), len(ordered)]
@@ -61,7 +63,8 @@ def _rows(buckets: np.ndarray, kind: int, columns: list[np.ndarray], digests: np
         yield int(ordered[a]), kind, b"".join(c[at].tobytes() for c in columns), index, table
 
 
-def _flush(hashes: np.ndarray, digests: np.ndarray, buckets: int) -> Iterator[tuple]:
+def _flush(hashes: np.ndarray, digests: np.ndarray, within: np.ndarray, buckets: int) -> Iterator[tuple]:
+    yield from _rows((digests[within].view(np.uint64) % np.uint64(buckets)).astype(np.int64), 2, [code(hashes[within], buckets)], digests[within])
     order = np.lexsort((digests, hashes))
     hashes, digests = hashes[order], digests[order]
     fresh = np.ones(len(hashes), bool)
@@ -86,18 +89,18 @@ def _digests(index: bytes, table: bytes, n: int) -> np.ndarray:
     return names[np.frombuffer(index, np.uint16 if len(index) == 2 * n else np.uint32)] if n else np.zeros(0, np.int64)
 
 
-def shared_anchors(texts: DataFrame, find: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], buckets: int) -> DataFrame:
+def shared_anchors(texts: DataFrame, find: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], buckets: int, within: bool = False) -> DataFrame:
     """(digest, codes): for every text with a shared anchor the codes of its shared anchors.
 
     ``texts`` has ``digest``, a 64-bit hash of the text, and ``_text``; ``find`` gives document numbers and hashes of the anchors of a
-    column of texts. Equal texts count as one. Two anchors may share a code by chance, so a code is a candidate only.
+    column of texts. Equal texts count as one; with ``within``, an anchor that a text has twice counts as shared. Two anchors may share a code by chance, so a code is a candidate only.
     """
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, digests, held = [], [], 0
+        hashes, digests, again, held = [], [], [], 0
 
         def rows() -> pa.RecordBatch:
-            columns = list(zip(*_flush(np.concatenate(hashes), np.concatenate(digests), buckets), strict=True)) or [()] * 5
+            columns = list(zip(*_flush(*map(np.concatenate, (hashes, digests, again)), buckets), strict=True)) or [()] * 5
             kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], _COLUMNS)
 
@@ -105,10 +108,11 @@ def shared_anchors(texts: DataFrame, find: Callable[[pa.Array], tuple[np.ndarray
             doc, found = find(batch.column("_text"))
             hashes.append(found)
             digests.append(batch.column("digest").to_numpy()[doc])
+            again.append(A.repeated(found ^ A.mix(doc.astype(np.uint64) + np.uint64(1))) if within else np.zeros(len(found), bool))
             held += len(found)
             if held >= FLUSH:
                 yield rows()
-                hashes, digests, held = [], [], 0
+                hashes, digests, again, held = [], [], [], 0
         if held:
             yield rows()
 

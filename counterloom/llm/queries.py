@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, decontaminate, packing, quality_model, quality_rules, suffix_dedup, surrogates, url_filter, warc_store
+from . import chosen_path, decontaminate, packing, quality_model, quality_rules, suffix_dedup, surrogates, url_filter, warc_store, word_graph
 from .store import new_path
 
 
@@ -63,6 +63,11 @@ def op6_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.similar_documents(_table(spark, sf_dir, "documents"))
 
 
+def op7_word_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 20-word windows that start earlier."""
+    return word_graph.remove_repeated_spans(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 URL_RULES = [
     url_filter.Rule("allow", "org", "/"), url_filter.Rule("block", "example.org", "/es/"), url_filter.Rule("block", "example.org", "/en/1"),
     url_filter.Rule("allow", "com", "/fr/"), url_filter.Rule("block", "com", "/de/"),
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_model": op4_quality_model,
     "op5_packing": op5_packing,
     "op6_similarity_join": op6_similarity_join,
+    "op7_word_graph": op7_word_graph,
     "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc_store": op10_warc_store,
