@@ -38,7 +38,11 @@ def announcements(fleet: Fleet):
 
 def _updated_load(f: Fleet):
     """Refresh on top of an aggregate stored on 2024-01-20."""
-    old = A.aggregate_sproc_load(f, "2024-01-20 00:00:00", START)
+    return _load_in_steps(f, "2024-01-20 00:00:00")
+
+
+def _load_in_steps(f: Fleet, cut: str):
+    old = A.aggregate_sproc_load(f, cut, START)
     return old.unionByName(A.aggregate_sproc_load(f, AS_OF, START, old))
 
 
@@ -54,7 +58,7 @@ QUERIES = {
     "sproc_load_hybrid": lambda f: P.sproc_load_hybrid(f, stored_load(f), AS_OF),
     "cpu_load": lambda f: P.cpu_load(f),
     "wal_volume": lambda f: P.wal_volume(f),
-    "blocked_counts": lambda f: P.blocked_counts(f, LOCK_START, LOCK_END, minutes=1440),
+    "blocked_counts": lambda f: P.blocked_counts(f, LOCK_START, LOCK_END),
     "db_size_trend": lambda f: P.db_size_trend(f),
     "db_size_trend_hybrid": lambda f: P.db_size_trend_hybrid(f, stored_size(f), AS_OF),
     "iud_rates": lambda f: P.iud_rates(P.db_size_trend(f)),
@@ -66,6 +70,7 @@ QUERIES = {
     "active_announcement": lambda f: P.active_announcement(announcements(f), "1998-01-01 12:00:00"),
     "aggregate_table_size": lambda f: _updated_size(f),
     "aggregate_sproc_load": lambda f: _updated_load(f),
+    "aggregate_sproc_load_two_steps": lambda f: _load_in_steps(f, "2024-01-20 12:07:00"),
 }
 
 B15 = "time_bucket(interval 15 minute, {})"
@@ -112,6 +117,9 @@ def _lagd(c: str) -> str:
 
 _TREND_FLAG = "coalesce(cast(sign({0} - lag({0}) over w) as int), 0)"
 
+_BEFORE = _load("ms > 0", "(select * from sproc_performance_data where sp_timestamp < timestamp '2024-01-30 23:00:00')")
+_ONE_STEP = _BEFORE + " select * from l"
+
 ORACLE = {
     "sproc_load_15min": _load("ms > 0") + "select * from l",
     "sproc_load_live": _load("true", first="0") + "select * from l",
@@ -119,18 +127,13 @@ ORACLE = {
 g as (select *, coalesce(date_diff('minute', lag(bucket) over (partition by host_id order by bucket), bucket) > 15, false) as gap from l),
 h as (select *, coalesce(lag(gap) over (partition by host_id order by bucket), false) as after_gap from g)
 select host_id, bucket, load_15min from h where not gap and not after_gap""",
-    "sproc_load_hybrid": f"""with d as (select sp_host_id as host_id, sp_timestamp,
-    sp_self_time - lag(sp_self_time) over (partition by sp_sproc_id order by sp_timestamp) as ms
-    from sproc_performance_data where sp_timestamp < timestamp '2024-01-30 23:00:00'),
-b as (select host_id, time_bucket(interval 15 minute, sp_timestamp) as bucket, sum(ms) as ms from d where ms > 0 group by 1, 2),
-old as (select host_id, bucket, {rn("(sum(ms) over (partition by host_id order by bucket rows 1 preceding) / 900000.0)", 2)} as load_15min from b),
+    "sproc_load_hybrid": _BEFORE.replace(" l as (", " old as (") + f""",
+kept as (select * from old where bucket < timestamp '2024-01-30 22:00:00'), last_b as (select host_id as h, max(bucket) as lb from kept group by 1),
 d2 as (select sp_host_id as host_id, sp_timestamp,
-    coalesce(sp_self_time - lag(sp_self_time) over (partition by sp_sproc_id order by sp_timestamp), 0) as ms
-    from sproc_performance_data where sp_timestamp >= timestamp '2024-01-30 21:45:00'),
-b2 as (select host_id, time_bucket(interval 15 minute, sp_timestamp) as bucket, sum(ms) as ms from d2 group by 1, 2),
-tail as (select host_id, bucket, {rn("(sum(ms) over (partition by host_id order by bucket rows 1 preceding) / 900000.0)", 2)} as load_15min from b2)
-select host_id, bucket, max(load_15min) as load_15min from
-  (select * from old where bucket < timestamp '2024-01-30 22:00:00' union all select * from tail) u group by 1, 2""",
+    coalesce(sp_self_time - lag(sp_self_time) over (partition by sp_sproc_id order by sp_timestamp), 0) as ms from sproc_performance_data),
+b2 as (select host_id, lb, time_bucket(interval 15 minute, sp_timestamp) as bucket, sum(ms) as ms from d2 join last_b on h = host_id where sp_timestamp >= lb group by 1, 2, 3),
+tail as (select host_id, lb, bucket, {rn("(sum(ms) over (partition by host_id order by bucket rows 1 preceding) / 900000.0)", 2)} as load_15min from b2)
+select * from kept union all select host_id, bucket, load_15min from tail where bucket > lb""",
     "cpu_load": f"""select load_host_id as host_id, {B15.format('load_timestamp')} as bucket,
     {rn('(cast(sum(load_1min_value) as double) / (count(*) * 100))', 2)} as load_15min_avg,
     {rn('(max(load_1min_value) / 100.0)', 2)} as load_15min_max from host_load group by 1, 2""",
@@ -138,8 +141,8 @@ select host_id, bucket, max(load_15min) as load_15min from
     max(xlog_location_mb) - min(xlog_location_mb) as wal_15min_growth from host_load group by 1, 2""",
     "blocked_counts": f"""with w as (select bp_host_id, query_start, query from blocking_processes where waiting
     group by 1, 2, 3 having max(bp_timestamp) - min(bp_timestamp) >= interval 5 second),
-s as (select bp_host_id, date_trunc('day', query_start) as ts, count(*) as n from w group by 1, 2),
-line as (select host_id, unnest(range(timestamp '{LOCK_START}', timestamp '{LOCK_END}', interval 1 day)) as ts from hosts)
+s as (select bp_host_id, time_bucket(interval 15 minute, query_start) as ts, count(*) as n from w group by 1, 2),
+line as (select host_id, unnest(range(timestamp '{LOCK_START}', timestamp '{LOCK_END}', interval 15 minute)) as ts from hosts)
 select line.host_id, line.ts, coalesce(n, 0) as wait_starts from line left join s on s.bp_host_id = line.host_id and s.ts = line.ts""",
     "db_size_trend": _TREND + " select * from trend",
     "db_size_trend_hybrid": _TREND + " select * from trend",
@@ -182,12 +185,6 @@ window w as (partition by ld.host_id order by ld.iso_year, ld.week)""",
     "active_announcement": """select 'order ' || o_orderkey as announcement from orders
     where o_orderdate <= timestamp '1998-01-01 12:00:00' and timestamp '1998-01-01 12:00:00' < o_orderdate + interval 1 day""",
     "aggregate_table_size": f"select * from ({_TOTALS}) where ts < timestamp '2024-01-30 23:00:00'",
-    "aggregate_sproc_load": _load("ms > 0", "(select * from sproc_performance_data where sp_timestamp < timestamp '2024-01-19 23:00:00')") + f""",
-last_b as (select host_id as h, max(bucket) as lb from l group by 1),
-d3 as (select sp_host_id as host_id, sp_timestamp, lb, sp_self_time - lag(sp_self_time) over (partition by sp_sproc_id order by sp_timestamp) as ms
-    from sproc_performance_data join last_b on h = sp_host_id
-    where sp_timestamp > lb - interval 1 hour and sp_timestamp < timestamp '2024-01-30 23:00:00'),
-b3 as (select host_id, lb, time_bucket(interval 15 minute, sp_timestamp) as bucket, sum(ms) as ms from d3 where ms > 0 group by 1, 2, 3),
-l3 as (select host_id, lb, bucket, {rn("(sum(ms) over (partition by host_id order by bucket rows 1 preceding) / 900000.0)", 2)} as load_15min from b3)
-select * from l union all select host_id, bucket, load_15min from l3 where bucket > lb""",
+    "aggregate_sproc_load": _ONE_STEP,
+    "aggregate_sproc_load_two_steps": _ONE_STEP,
 }

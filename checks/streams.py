@@ -34,14 +34,16 @@ def _work(f) -> str:
     return f"{shared_dir(f.spark)}/stream-{uuid.uuid4().hex}"
 
 
-def _runs(f, df, ts, work, start, cuts=CUTS, extra=None):
+def _runs(f, df, ts, work, start, cuts=CUTS, extra=None, closing=False):
     """Deliver the samples in time order and run the job to the end after each delivery, resuming
-    from its checkpoint."""
+    from its checkpoint. With ``closing`` the last run is told that all snapshots are over."""
     c = F.col(ts)
     parts = [df.where(p) for p in (c < cuts[0], (c >= cuts[0]) & (c < cuts[1]), c >= cuts[1])]
-    for part in [*parts, *([extra] if extra is not None else [])]:
+    parts += [extra] if extra is not None else []
+    for i, part in enumerate(parts):
         part.write.mode("append").parquet(f"{work}/in")
-        start(J.read_samples(f.spark, f"{work}/in", df.schema)).awaitTermination()
+        more = ["9999-01-01 00:00:00" if i == len(parts) - 1 else None] if closing else []
+        start(J.read_samples(f.spark, f"{work}/in", df.schema), *more).awaitTermination()
 
 
 def _read(f, path):
@@ -104,19 +106,20 @@ def stream_export(f):
         return to_points(v, "load", ["host"], ["xlog_b_1h_rate"], "load_timestamp")
 
     src = _stream_table(f, f"{work}/delta")
-    J.stream_export(src, points, "load_timestamp", f"{work}/out", f"{work}/cp", up_to="2024-01-30 23:59:50", fmt="parquet").awaitTermination()
+    for up_to in ("2024-01-15 12:00:00", "2024-01-30 23:59:50"):  # the second run has no new files
+        J.stream_export(src, points, "load_timestamp", f"{work}/out", f"{work}/export", up_to=up_to, fmt="parquet").awaitTermination()
     return _read(f, f"{work}/out").select("measurement", F.col("tags.host").alias("host"), F.col("fields.xlog_b_1h_rate").alias("xlog_b_1h_rate"), "time")
 
 
 def stream_prune_locks(f):
     work = _work(f)
-    _runs(f, f.table("blocking_locks"), "bl_timestamp", work, lambda s: J.stream_prune_locks(s, f"{work}/out", work), LOCK_CUTS)
+    _runs(f, f.table("blocking_locks"), "bl_timestamp", work, lambda s, last: J.stream_prune_locks(s, f"{work}/out", work, last), LOCK_CUTS, closing=True)
     return _read(f, f"{work}/out")
 
 
 def stream_persistent_waits(f):
     work = _work(f)
-    _runs(f, f.table("blocking_locks"), "bl_timestamp", work, lambda s: J.stream_persistent_waits(s, f"{work}/out", work), LOCK_CUTS)
+    _runs(f, f.table("blocking_locks"), "bl_timestamp", work, lambda s, last: J.stream_persistent_waits(s, f"{work}/out", work, last), LOCK_CUTS, closing=True)
     return _read(f, f"{work}/out")
 
 
@@ -157,7 +160,6 @@ QUERIES = {
 
 _DELTA = """select sp_host_id, sp_sproc_id, sp_timestamp, coalesce(sp_calls - lag(sp_calls) over w, 0) as d_sp_calls, coalesce(sp_total_time - lag(sp_total_time) over w, 0) as d_sp_total_time,
   coalesce(sp_self_time - lag(sp_self_time) over w, 0) as d_sp_self_time from sproc_performance_data window w as (partition by sp_sproc_id order by sp_timestamp)"""
-_OPEN = " join (select bl_host_id as h, max(bl_timestamp) as newest from blocking_locks group by 1) o on o.h = r.bl_host_id and r.bl_timestamp < newest"
 
 ORACLE = {
     "stream_delta": _DELTA,
@@ -169,8 +171,8 @@ select host_id, bucket, {rn("(sum(ms) over (partition by host_id order by bucket
     "stream_summary": _SS + " select * from ss",
     "stream_export": f"""with d as (select load_host_id as host, load_timestamp, xlog_location_mb - lag(xlog_location_mb) over w as x, {secs('load_timestamp', 'lag(load_timestamp) over w')} as el from host_load window w as (partition by load_host_id order by load_timestamp))
 select 'load' as measurement, host, {sql_rate('x', 'el', 3600000000)} as xlog_b_1h_rate, cast(epoch(load_timestamp) as bigint) as time from d where x >= 0 and load_timestamp <= timestamp '2024-01-30 23:59:50'""",
-    "stream_prune_locks": f"select r.* from ({LOCKS['prune_locks']}) r" + _OPEN,
-    "stream_persistent_waits": f"select r.* from ({LOCKS['persistent_waits']}) r" + _OPEN,
+    "stream_prune_locks": LOCKS["prune_locks"],
+    "stream_persistent_waits": LOCKS["persistent_waits"],
     "stream_tumbling": "select cast(date_trunc('day', ts) as timestamp) as bucket, event_type, count(*) as n from events group by 1, 2 having bucket + interval 1 day <= (select max(ts) - interval 1 hour from events)",
     "stream_late_rows": "select date_trunc('hour', ts) as bucket, event_type, count(*) as n from events group by 1, 2 having bucket + interval 1 hour <= (select max(ts) - interval 1 hour from events)",
 }

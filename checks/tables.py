@@ -52,7 +52,7 @@ QUERIES = {
     "unused_indexes": lambda f: P.unused_indexes(f.table("index_catalog")),
     "invalid_indexes": lambda f: P.invalid_indexes(f.table("index_catalog")),
     "duplicate_indexes": lambda f: P.duplicate_indexes(f.table("index_catalog")),
-    "duplicate_index_lists": lambda f: _joined(P.duplicate_index_lists(f.table("index_catalog")), "index_names"),
+    "duplicate_index_lists": lambda f: P.duplicate_index_lists(f.table("index_catalog")),
     "table_bloat": lambda f: P.table_bloat(f.table("column_stats"), f.table("relation_pages"), limit=50),
     "table_bloat_by_ratio": lambda f: P.table_bloat(f.table("column_stats"), f.table("relation_pages"), True, None),
     "index_bloat": lambda f: P.index_bloat(f.table("column_stats"), f.table("index_pages"), limit=50),
@@ -167,7 +167,7 @@ select iud_host_id as host_id, i_schema || '.' || i_table_name as table_name, i_
     "unused_indexes": _catalog("not is_unique and index_size > 100000000 and scans <= 5 and schema_name not like 'tmp%' and schema_name not like 'temp%'"),
     "invalid_indexes": _catalog("not is_valid"),
     "duplicate_indexes": _DUP + f" select host_id, schema_name, schema_name || '.' || table_name as table_full_name, index_name, group_def, count, table_size as table_size_bytes, {pretty_size('table_size')} as table_size from g where count > 1",
-    "duplicate_index_lists": _DUP + " select host_id, group_def, count, 0 as piece, string_agg(index_name, ',' order by index_name) as index_names, max(table_size) as table_size_bytes from g where count > 1 group by 1, 2, 3",
+    "duplicate_index_lists": _DUP + " select host_id, group_def, count, cast(row_number() over (partition by host_id, group_def order by index_name, schema_name || '.' || table_name) as int) as position, index_name, table_size as table_size_bytes from g where count > 1",
     "table_bloat": _BLOAT + " select * from rep order by wasted_bytes desc, schema_name, table_name limit 50",
     "table_bloat_by_ratio": _BLOAT + " select * from rep",
     "index_bloat": _IBLOAT + " select * from rep order by wasted_bytes desc, schema_name, table_name, index_name limit 50",
@@ -175,8 +175,12 @@ select iud_host_id as host_id, i_schema || '.' || i_table_name as table_name, i_
     "relation_sizes": "select r.schema_name, r.table_name, (r.relpages + toastpages + toast_index_pages) * 8192 as table_size, coalesce(i.relpages, 0) * 8192 as index_size from relation_pages r left join index_pages i on i.schema_name = r.schema_name and i.table_name = r.table_name",
     "unused_schemas": _unused("2024-01-01 00:00:00", "2024-02-01 00:00:00") + " select * from unused",
     "unused_schemas_two_days": _unused(D1, D2, "api") + " select * from unused",
-    "drop_statements": _unused("2024-01-01 00:00:00", "2024-02-01 00:00:00") + """ select distinct host_db, schema_name as line_key, '    execute ''drop schema if exists ' || schema_name || ' cascade'';' as line from unused
-union all select distinct host_db, '', '  if current_database() = ''' || host_db || ''' then' from unused union all select distinct host_db, '￿', '  end if;' from unused""",
+    "drop_statements": _unused("2024-01-01 00:00:00", "2024-02-01 00:00:00") + """, n as (select distinct host_db, schema_name from unused)
+select 0 as section, '' as host_db, unnest([1, 2]) as line_no, unnest(['do $$', 'begin']) as line
+union all select 2, '', unnest([1, 2]), unnest(['end;', '$$;'])
+union all select 1, host_db, 1, '  if current_database() = ''' || host_db || ''' then' from n group by host_db
+union all select 1, host_db, cast(1 + row_number() over (partition by host_db order by schema_name) as int), '    execute ''drop schema if exists ' || schema_name || ' cascade'';' from n
+union all select 1, host_db, cast(count(*) + 2 as int), '  end if;' from n group by host_db""",
     "schema_usage": """select sud_host_id as host_id, sud_schema_name as schema_name, date_trunc('day', sud_timestamp) as day,
   concat_ws(',', max(sud_sproc_calls) - min(sud_sproc_calls), max(sud_seq_scans) + max(sud_idx_scans) - min(sud_seq_scans) - min(sud_idx_scans), max(sud_tup_ins) - min(sud_tup_ins),
   max(sud_tup_upd) - min(sud_tup_upd), max(sud_tup_del) - min(sud_tup_del)) as daily_counts from schema_usage_data group by 1, 2, 3""",

@@ -25,8 +25,6 @@ ADVISORY_LOCK = "select pg_advisory_lock%"
 TEMP_TABLE_NAME = "^(temp|.backup).*$"
 SHORT_NAME = "^[a-z|0-9]+$"
 
-INLINE_PATTERNS = 1000
-
 
 def opt_eq(df: DataFrame, column: str, value) -> DataFrame:
     """Equality filter that is left out when the parameter is not set."""
@@ -50,18 +48,17 @@ def like_any(c: Column, patterns: Iterable[str]) -> Column:
 
 
 def like_none(df: DataFrame, column: str, patterns: DataFrame) -> DataFrame:
-    """Rows whose name matches none of the patterns in a one-column frame.
+    """Rows whose name is set and matches none of the patterns in a one-column frame; null patterns are left out.
 
-    Up to ``INLINE_PATTERNS`` patterns become one predicate that stays in the scan stage;
-    a longer list is matched by an anti join.
+    Patterns are looked up by what a name must begin with: the text before their first wildcard. Each distinct name is
+    expanded to its beginnings, so names and patterns meet by equality, whatever the number of either.
     """
-    name = patterns.columns[0]
-    listed = patterns.where(F.col(name).isNotNull()).limit(INLINE_PATTERNS + 1).collect()
-    if len(listed) <= INLINE_PATTERNS:
-        return df.where(~like_any(F.col(column), [r[0] for r in listed]))
-    p = patterns.select(F.col(name).alias("_pattern")).distinct()
-    bad = df.select(column).distinct().join(p, F.expr(f"`{column}` like _pattern"), "left_semi")
-    return df.join(bad, column, "left_anti")
+    p = patterns.select(F.col(patterns.columns[0]).alias("_pattern")).where("_pattern is not null").distinct()
+    p = p.withColumn("_head", F.regexp_extract("_pattern", r"^[^%_\\]*", 0))
+    names = df.select(F.col(column).alias("_name")).where("_name is not null").distinct()
+    heads = F.transform(F.sequence(F.lit(0), F.length("_name")), lambda n: F.substring(F.col("_name"), F.lit(1), n))
+    bad = names.withColumn("_head", F.explode(heads)).join(p, "_head").where(F.expr("_name like _pattern")).select(F.col("_name").alias(column)).distinct()
+    return df.where(F.col(column).isNotNull()).join(bad, column, "left_anti").select(df.columns)
 
 
 def not_temp(name: Column) -> Column:

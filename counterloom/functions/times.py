@@ -13,14 +13,11 @@ def epoch_s(ts: Column) -> Column:
 
 
 def group_date(ts: Column, minutes: int = 15) -> Column:
-    """Start of the ``minutes``-wide bucket; buckets restart at every full hour.
-
-    Widths above an hour are counted from the epoch instead.
-    """
+    """Start of the ``minutes``-wide bucket; buckets restart at every full hour."""
+    if not 1 <= minutes <= 60:
+        raise ValueError("a bucket is 1 to 60 minutes wide; days and weeks are for bucket()")
     sec = F.unix_timestamp(ts)
     width = 60 * minutes
-    if minutes > 60:
-        return F.timestamp_seconds(sec - F.pmod(sec, F.lit(width)))
     in_hour = F.pmod(sec, F.lit(3600))
     return F.timestamp_seconds(sec - F.pmod(in_hour, F.lit(width)))
 

@@ -14,7 +14,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import half_up
 from ..functions.times import bucket, elapsed_s
 from ..schema import Reset
 
@@ -185,7 +184,3 @@ def trend(c: str, w) -> Column:
     """-1, 0 or 1: how a value compares to the one of the previous period."""
     older = F.lag(c).over(w)
     return F.coalesce(F.signum(F.col(c) - older).cast("int"), F.lit(0))
-
-
-def round2(c: Column) -> Column:
-    return half_up(c, 2)

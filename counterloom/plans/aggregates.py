@@ -5,41 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import half_up
-from ..operators.series import counter_delta, moving_sum
 from ..functions.times import group_date
-from ..schema import Reset
 from ..sources.fleet import Fleet
-from .hosts import BUCKET_MS, table_totals_per_snapshot
-
-
-def _since(df: DataFrame, host: str, ts: str, stored: DataFrame | None, stored_ts: str, start, overlap: str | None = None) -> DataFrame:
-    """Rows newer than the last stored bucket of their host, or than ``start`` where none is."""
-    first = F.lit(start).cast("timestamp")
-    if stored is None:
-        return df.where(F.col(ts) > first).withColumn("_from", first)
-    last = stored.groupBy(F.col("host_id").alias("_h")).agg(F.max(stored_ts).alias("_last"))
-    out = df.join(last, F.col(host) == F.col("_h"), "left").withColumn("_from", F.coalesce("_last", first))
-    low = F.coalesce(F.col("_last") - F.expr(f"interval {overlap}"), first) if overlap else F.col("_from")
-    return out.where(F.col(ts) > low).drop("_h", "_last")
+from .hosts import sproc_load_after, table_totals_per_snapshot
 
 
 def aggregate_table_size(fleet: Fleet, as_of, start, stored: DataFrame | None = None) -> DataFrame:
-    """New size and row-change totals per snapshot; the last hour is left for the next run."""
-    until = F.lit(as_of).cast("timestamp") - F.expr("interval 1 hour")
-    df = _since(fleet.table("table_size_data"), "tsd_host_id", "tsd_timestamp", stored, "ts", start)
-    return table_totals_per_snapshot(df.where(F.col("tsd_timestamp") < until))
-
-
-def aggregate_sproc_load(fleet: Fleet, as_of, start, stored: DataFrame | None = None) -> DataFrame:
-    """New 15-minute load buckets. Samples are read from one hour before the last stored bucket so
-    that first deltas and the two-bucket sum are complete."""
-    until = F.lit(as_of).cast("timestamp") - F.expr("interval 1 hour")
-    df = fleet.table("sproc_performance_data").select("sp_host_id", "sp_sproc_id", "sp_timestamp", "sp_self_time")
-    df = _since(df, "sp_host_id", "sp_timestamp", stored, "bucket", start, "1 hour").where(F.col("sp_timestamp") < until)
-    d = counter_delta(df, ["sp_host_id", "sp_sproc_id"], "sp_timestamp", ["sp_self_time"], Reset.DROP_NOT_POSITIVE)
-    per = d.groupBy(
-        F.col("sp_host_id").alias("host_id"), group_date(F.col("sp_timestamp")).alias("bucket")
-    ).agg(F.sum("d_sp_self_time").alias("ms"), F.min("_from").alias("_from"))
-    load = half_up(moving_sum("ms", ["host_id"], "bucket") / F.lit(float(BUCKET_MS)), 2)
-    return per.withColumn("load_15min", load).where("bucket > _from").select("host_id", "bucket", "load_15min")
+    """New size and row-change totals per snapshot; the last hour is left for the next run.
+
+    Reads start at the least last snapshot of any host, which prunes partitions, and are cut per host.
+    """
+    first, until = F.lit(start).cast("timestamp"), F.lit(as_of).cast("timestamp") - F.expr("interval 1 hour")
+    if stored is None:
+        return table_totals_per_snapshot(fleet.samples("table_size_data", None, start, until, open_end=True))
+    last = stored.groupBy(F.col("host_id").alias("_h")).agg(F.max("ts").alias("_last"))
+    hosts = fleet.table("hosts").join(last, F.col("host_id") == F.col("_h"), "left")
+    low = hosts.agg(F.min(F.coalesce("_last", first))).scalar()
+    df = fleet.samples("table_size_data", None, low, until, open_end=True)
+    df = df.join(last, F.col("tsd_host_id") == F.col("_h"), "left").where(F.col("tsd_timestamp") > F.coalesce("_last", first))
+    return table_totals_per_snapshot(df)
+
+
+def aggregate_sproc_load(fleet: Fleet, as_of, start, stored: DataFrame | None = None, carried: DataFrame | None = None) -> DataFrame:
+    """New 15-minute load buckets that ended an hour ago or earlier. Runs at any times give together what one run gives."""
+    until = group_date(F.lit(as_of).cast("timestamp") - F.expr("interval 1 hour"))
+    return sproc_load_after(fleet, stored, start, until, carried=carried)

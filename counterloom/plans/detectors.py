@@ -429,7 +429,10 @@ def changed_sproc_alerts(
                                          proc_base_name(F.col("sproc_name")).alias("sproc_name"))
     watched = changes.groupBy("host_id", "sproc_name").agg(F.max("change_time").alias("change_time")).join(names, ["host_id", "sproc_name"])
     hour = bucket(F.col("sp_timestamp"), "hour")
-    seen = fleet.table("sproc_performance_data").join(watched, "sp_sproc_id").where(
+    # a day of margin covers any time a change is given in
+    first, last = (changes.agg(f("change_time").cast("timestamp")).scalar() for f in (F.min, F.max))
+    samples = fleet.samples("sproc_performance_data", None, first, last + F.expr("interval 1 day"))
+    seen = samples.join(watched, "sp_sproc_id").where(
         (F.col("sp_timestamp") > F.col("change_time")) & (hour <= bucket(F.col("change_time"), "hour") + F.expr("interval 1 hour"))
     )
     per_proc = seen.groupBy("host_id", "sproc_name", "sp_sproc_id", hour.alias("hour")).agg(

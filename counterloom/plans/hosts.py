@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up, normalise, pretty_size, ratio
 from ..functions.predicates import in_range, opt_eq, valid_at
-from ..functions.times import bucket, epoch_s, group_date, is_weekday, iso_week, iso_year
+from ..functions.times import bucket, group_date, is_weekday, iso_week, iso_year
 from ..operators.series import (
     DELTA, counter_delta, delta_after_first_nonzero, fill_gaps, moving_sum, skip_after_gap, trend,
 )
-from ..operators.sets import merge_tail, union_all
+from ..operators.sets import union_all
 from ..operators.topn import latest
 from ..schema import Reset
 from ..sources.fleet import Fleet
@@ -41,18 +41,53 @@ def sproc_load(
     return skip_after_gap(out, ["host_id"], "bucket") if skip_gaps else out
 
 
-def sproc_load_hybrid(fleet: Fleet, stored: DataFrame, as_of, host=None, start=None) -> DataFrame:
-    """Stored load up to two hours ago, the live tail after it; overlaps keep the larger value."""
+def sproc_load_after(
+    fleet: Fleet, stored: DataFrame | None, start, until, host=None, *, policy: Reset = Reset.DROP_NOT_POSITIVE,
+    carried: DataFrame | None = None, closed_end: bool = False,
+) -> DataFrame:
+    """Load buckets after the last stored one of each host, as if computed in one go from ``start``.
+
+    Samples are read from each host's last stored bucket on, which the next two-bucket sum needs. ``carried`` holds the last
+    sample of each series before that; without it they are found in the samples since ``start``, combined map-side.
+    """
+    series, cols = ["sp_host_id", "sp_sproc_id"], ["sp_host_id", "sp_sproc_id", "sp_timestamp", "sp_self_time"]
+    first, ts = F.lit(start).cast("timestamp"), F.col("sp_timestamp")
+    if stored is None:
+        rows = fleet.samples("sproc_performance_data", host, start, until, open_end=not closed_end).select(*cols)
+        rows = rows.withColumns({"_last": F.lit(None).cast("timestamp"), "_before": F.lit(False)})
+    else:
+        last = stored.groupBy(F.col("host_id").alias("_h")).agg(F.max("bucket").alias("_last"))
+        hosts = opt_eq(fleet.table("hosts"), "host_id", host)
+        low = hosts.join(last, F.col("host_id") == F.col("_h"), "left").agg(F.min(F.coalesce("_last", first))).scalar()
+
+        def since(df: DataFrame) -> DataFrame:
+            return df.select(*cols).join(last, F.col("sp_host_id") == F.col("_h"), "left").drop("_h")
+
+        rows = since(fleet.samples("sproc_performance_data", host, low, until, closed_start=True, open_end=not closed_end))
+        rows = rows.where((ts > first) & (F.col("_last").isNull() | (ts >= F.col("_last"))))
+        if carried is None:
+            before = since(fleet.samples("sproc_performance_data", host, start, until)).where(ts < F.col("_last"))
+            carried = before.groupBy(*series).agg(
+                F.max("sp_timestamp").alias("sp_timestamp"), F.max_by("sp_self_time", "sp_timestamp").alias("sp_self_time")
+            )
+        old = carried.select(*cols).withColumn("_before", F.lit(True))
+        rows = rows.withColumn("_before", F.lit(False)).unionByName(old, allowMissingColumns=True)
+    deltas = counter_delta(rows, series, "sp_timestamp", ["sp_self_time"], policy).where("not _before")
+    per_bucket = deltas.groupBy(F.col("sp_host_id").alias("host_id"), group_date(ts).alias("bucket")).agg(
+        F.sum("d_sp_self_time").alias("ms"), F.min("_last").alias("_last")
+    )
+    load = half_up(moving_sum("ms", ["host_id"], "bucket") / F.lit(float(BUCKET_MS)), 2)
+    out = per_bucket.withColumn("load_15min", load).where(F.col("_last").isNull() | (F.col("bucket") > F.col("_last")))
+    return out.select("host_id", "bucket", "load_15min")
+
+
+def sproc_load_hybrid(fleet: Fleet, stored: DataFrame, as_of, host=None, start=None, *, since="1970-01-01 00:00:00") -> DataFrame:
+    """Stored load up to two hours ago, the live tail after it with raw deltas. ``since`` is where the samples behind
+    ``stored`` begin."""
     now = F.lit(as_of).cast("timestamp")
     old = opt_eq(stored, "host_id", host).where(F.col("bucket") < now - F.expr("interval 2 hours"))
-    old = in_range(old, "bucket", start, open_start=True).select("host_id", "bucket", "load_15min")
-    recent = fleet.samples("sproc_performance_data", host, None, as_of).where(
-        F.col("sp_timestamp") >= now - F.expr("interval 135 minutes")
-    )
-    tail = sproc_load(
-        Fleet.from_frames(fleet.spark, {"sproc_performance_data": recent}), policy=Reset.RAW
-    )
-    return merge_tail(old, tail, ["host_id", "bucket"], "load_15min")
+    tail = sproc_load_after(fleet, old, since, as_of, host, policy=Reset.RAW, closed_end=True)
+    return in_range(union_all(old.select("host_id", "bucket", "load_15min"), tail), "bucket", start, open_start=True)
 
 
 def cpu_load(fleet: Fleet, host=None, start=None, end=None) -> DataFrame:
@@ -111,7 +146,7 @@ def db_size_trend_hybrid(fleet: Fleet, stored: DataFrame, as_of, host=None, star
     """The same from the stored aggregate, with the last two hours taken live."""
     cut = F.lit(as_of).cast("timestamp") - F.expr("interval 2 hours")
     old = in_range(opt_eq(stored, "host_id", host), "ts", start, open_start=True).where(F.col("ts") < cut)
-    live = fleet.samples("table_size_data", host, None, as_of).where(F.col("tsd_timestamp") >= cut)
+    live = fleet.samples("table_size_data", host, cut, as_of, closed_start=True)
     return _with_change(union_all(old, table_totals_per_snapshot(live)))
 
 
@@ -172,7 +207,7 @@ def fleet_overview(fleet: Fleet, stored_sizes: DataFrame, groups: DataFrame, as_
     """
     since = F.lit(as_of).cast("timestamp") - F.expr(f"interval {look_back}")
     loads = latest(
-        fleet.table("host_load").where(F.col("load_timestamp") > since), ["load_host_id"], "load_timestamp",
+        fleet.samples("host_load", None, since), ["load_host_id"], "load_timestamp",
         ["load_5min_value"],
     ).select(F.col("load_host_id").alias("host_id"), half_up(F.col("load_5min_value") / F.lit(100.0), 1).alias("v"))
     sizes = latest(stored_sizes.where(F.col("ts") > since), ["host_id"], "ts", ["size"]).drop("ts")
@@ -191,7 +226,7 @@ def fleet_overview(fleet: Fleet, stored_sizes: DataFrame, groups: DataFrame, as_
 
 def weekly_load_report(fleet: Fleet, host=None, start=None) -> DataFrame:
     """Load, size and WAL volume per host and ISO week, with trend against the week before."""
-    sizes = in_range(opt_eq(fleet.table("table_size_data"), "tsd_host_id", host), "tsd_timestamp", start)
+    sizes = fleet.samples("table_size_data", host, start, closed_start=True)
     snapshots = sizes.groupBy("tsd_host_id", "tsd_timestamp").agg(
         (F.sum("tsd_table_size") + F.sum("tsd_index_size")).alias("bytes")
     )
@@ -201,7 +236,7 @@ def weekly_load_report(fleet: Fleet, host=None, start=None) -> DataFrame:
     ).agg(half_up(F.max_by("bytes", "tsd_timestamp") / F.lit(float(GB)), 1).alias("db_size"))
 
     ts = F.col("load_timestamp")
-    loads = in_range(opt_eq(fleet.table("host_load"), "load_host_id", host), "load_timestamp", start)
+    loads = fleet.samples("host_load", host, start, closed_start=True)
     weekly = loads.where(is_weekday(ts)).groupBy(
         F.col("load_host_id").alias("host_id"), iso_year(ts).alias("iso_year"), iso_week(ts).alias("week")
     ).agg(
@@ -233,8 +268,3 @@ def daily_load(fleet: Fleet, host=None, start=None, end=None) -> DataFrame:
 def active_announcement(announcements: DataFrame, as_of) -> DataFrame:
     """Announcements whose half-open validity range contains ``as_of``."""
     return announcements.where(valid_at(F.col("valid_from"), F.col("valid_to"), as_of)).select("announcement")
-
-
-def chart_points(df: DataFrame, ts: str) -> DataFrame:
-    """Add the chart's x value: epoch milliseconds."""
-    return df.withColumn("x_ms", epoch_s(F.col(ts)) * 1000)

@@ -87,10 +87,10 @@ def incidents(locks: DataFrame, processes: DataFrame, start=None, end=None, per:
 
 def _report(fleet: Fleet, start, end, shortname, ignore_advisory: bool, per, by: str, other: str, host_name: str) -> DataFrame:
     hosts = opt_eq(fleet.table("hosts"), "host_ui_shortname", shortname).select("host_id", host_name)
-    locks = fleet.table("blocking_locks")
+    locks = fleet.samples("blocking_locks", None, start, end, closed_start=True)
     if shortname is not None:
         locks = locks.join(hosts, locks["bl_host_id"] == hosts["host_id"], "left_semi")
-    inc = incidents(locks, fleet.table("blocking_processes"), start, end, per)
+    inc = incidents(locks, fleet.samples("blocking_processes", None, start, end, closed_start=True), start, end, per)
     inc = inc.withColumn("period", F.coalesce("period", F.timestamp_seconds(F.lit(0))))
     roots = flag_own_overlaps(
         inc, ["host_id", "period"], "blocking_pid", "blocked_pid", "start_time", "end_time", "is_blocked"

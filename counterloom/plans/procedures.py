@@ -142,13 +142,13 @@ def release_pairs(fleet: Fleet, rel1: str, rel2: str, shortname: str | None = No
     named = procs.join(hosts, procs["sproc_host_id"] == hosts["host_id"]).select(
         "sp_sproc_id", "host_id", "host_ui_shortname", "sproc_schema", "sproc_name"
     )
-    df = is_weekday_filter(fleet.table("sproc_performance_data"), "sp_timestamp")
+    first = None
     if created is not None:
         first = (
             created.join(_sprocs(fleet), created["sproc_id"] == F.col("sp_sproc_id"))
             .where(F.col("sproc_schema").endswith(rel1)).agg(F.min("sproc_created")).scalar()
         )
-        df = df.where(F.col("sp_timestamp") >= first)
+    df = is_weekday_filter(fleet.samples("sproc_performance_data", None, first, closed_start=True), "sp_timestamp")
     per_proc = df.groupBy("sp_sproc_id").agg(F.max("sp_calls").alias("calls"), F.max("sp_total_time").alias("total"))
     per = per_proc.join(named, "sp_sproc_id").groupBy("host_id", "host_ui_shortname", "sproc_schema", "sproc_name").agg(
         F.max("calls").alias("calls2"), F.max("total").alias("proc_total_time")

@@ -58,7 +58,7 @@ def statement_report(
     """Counter ranges per statement in [start, end), with the chosen order, unset values last."""
     if order not in REPORT_ORDERS:
         raise ValueError(f"order must be one of {REPORT_ORDERS}")
-    df = in_range(fleet.samples("stat_statements_data", host), "ssd_timestamp", start, end)
+    df = fleet.samples("stat_statements_data", host, start, end, closed_start=True, open_end=True)
     if no_copy_ddl:
         df = df.where(not_copy_ddl(F.col("ssd_query")))
     per = df.groupBy(F.col("ssd_host_id").alias("host_id"), F.col("ssd_query_id").alias("query_id")).agg(
@@ -75,7 +75,7 @@ def statement_report(
 
 def statement_series(fleet: Fleet, host=None, query_id: int | None = None, start=None, end=None) -> DataFrame:
     """Delta series of one statement, or of all."""
-    df = in_range(fleet.samples("stat_statements_data", host), "ssd_timestamp", start, end, closed_end=True)
+    df = fleet.samples("stat_statements_data", host, start, end, closed_start=True)
     if query_id is not None:
         df = df.where(F.col("ssd_query_id") == query_id)
     df = df.select("ssd_host_id", "ssd_query_id", "ssd_timestamp", *COUNTERS)

@@ -85,7 +85,7 @@ def top_tables(
     fleet: Fleet, host=None, start=None, end=None, *, order: int = 2, limit: int | None = 10, pattern: str = ""
 ) -> DataFrame:
     """Tables by size, growth or activity between the first and last snapshot of each host."""
-    df = in_range(fleet.samples("table_size_data", host), "tsd_timestamp", start, end, closed_end=True)
+    df = fleet.samples("table_size_data", host, start, end, closed_start=True)
     cols = ["tsd_table_size", "tsd_index_size", "tsd_seq_scans", "tsd_tup_ins", "tsd_tup_upd", "tsd_tup_del"]
     ends = window_endpoints(df, "tsd_host_id", "tsd_table_id", "tsd_timestamp", cols)
 
@@ -157,10 +157,7 @@ def table_regressions(
     if ignored_tables is not None:
         names = names.join(ignored_tables, ["schema_name", "table_name"], "left_anti")
     names = names.join(hosts.select("host_id", "host_ui_shortname"), "host_id")
-    df = fleet.table("table_size_data")
-    if day1 is not None:
-        df = df.where(F.col("tsd_timestamp") >= F.lit(day1).cast("timestamp") - F.expr("interval 1 day"))
-    df = in_range(df, "tsd_timestamp", None, day2, closed_end=True)
+    df = fleet.samples("table_size_data", None, day1, day2, "1 day", closed_start=True)
     per_table = df.groupBy("tsd_table_id", bucket(F.col("tsd_timestamp"), "day").alias("day")).agg(
         F.max("tsd_seq_scans").alias("hi"), F.min("tsd_seq_scans").alias("lo"), F.max("tsd_table_size").alias("size2")
     )
@@ -199,7 +196,7 @@ def table_regressions(
 def index_series(fleet: Fleet, host=None, schema: str | None = None, table: str | None = None, start=None, end=None) -> DataFrame:
     """Size, scans and tuples read of a table's indexes, with the share of their size at the end."""
     idx = opt_eq(opt_eq(fleet.table("indexes"), "i_schema", schema), "i_table_name", table).select("i_id", "i_schema", "i_table_name", "i_name")
-    df = in_range(fleet.samples("index_usage_data", host), "iud_timestamp", start, end, closed_end=True)
+    df = fleet.samples("index_usage_data", host, start, end, closed_start=True)
     df = df.select("iud_host_id", "iud_index_id", "iud_timestamp", "iud_size", "iud_scan", "iud_tup_read")
     at = ["iud_host_id", "i_schema", "i_table_name"]
     totals = (
@@ -267,15 +264,11 @@ def duplicate_indexes(catalog: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_index_lists(catalog: DataFrame, list_limit: int = 1000) -> DataFrame:
-    """Duplicates with the names in one array per definition, in pieces of about ``list_limit``.
-
-    Groups up to the limit are one row (``piece`` 0); larger ones continue in further pieces.
-    """
-    dup = duplicate_indexes(catalog)
-    pieces = F.ceil(F.col("count") / F.lit(list_limit))
-    return dup.withColumn("piece", F.pmod(F.xxhash64("index_name"), pieces)).groupBy("host_id", "group_def", "count", "piece").agg(
-        F.array_sort(F.collect_list("index_name")).alias("index_names"), F.max("table_size_bytes").alias("table_size_bytes")
+def duplicate_index_lists(catalog: DataFrame) -> DataFrame:
+    """Duplicates with their position among a definition's indexes, so that readers page through lists of any length."""
+    w = Window.partitionBy("host_id", "group_def").orderBy("index_name", "table_full_name")
+    return duplicate_indexes(catalog).select(
+        "host_id", "group_def", "count", F.row_number().over(w).alias("position"), "index_name", "table_size_bytes"
     )
 
 
@@ -370,10 +363,16 @@ KEPT_SCHEMA_PATTERNS = ("pg\\_%", "%\\_data")
 KEPT_SCHEMAS = ("public", "_v")
 
 
+# The lines of the clean-up block.
+BLOCK_OPENING = ("do $$", "begin")
+DROP_LINES = ("  if current_database() = '%s' then", "    execute 'drop schema if exists %s cascade';", "  end if;")
+BLOCK_CLOSING = ("end;", "$$;")
+
+
 def unused_schemas(fleet: Fleet, start, end, shortname: str | None = None, text: str = "") -> DataFrame:
     """Schemas whose end-of-day activity never rose in the period; a reset counts as no activity."""
     name = F.col("sud_schema_name")
-    df = in_range(fleet.table("schema_usage_data"), "sud_timestamp", start, end, closed_end=True)
+    df = fleet.samples("schema_usage_data", None, start, end, closed_start=True)
     df = df.where(name.contains(text)) if text else df
     seen = df.groupBy("sud_host_id", "sud_schema_name").agg(F.min("sud_timestamp").alias("min"), F.max("sud_timestamp").alias("max"))
     cand = df.where(~like_any(name, KEPT_SCHEMA_PATTERNS) & ~name.isin(*KEPT_SCHEMAS))
@@ -392,21 +391,26 @@ def unused_schemas(fleet: Fleet, start, end, shortname: str | None = None, text:
 
 
 def drop_statements(unused: DataFrame) -> DataFrame:
-    """Clean-up statements for unused schemas, one row per line, keyed by database.
+    """A runnable clean-up block for unused schemas, one row per line, in the order of ``section, host_db, line_no``.
 
-    Lines of a database are ordered by ``line_key``; only text is produced, nothing is run.
+    Section 0 opens the block, section 1 has the lines of each database, section 2 closes the block. Only text is
+    produced, nothing is run.
     """
-    body = unused.select("host_db", F.col("schema_name").alias("line_key"), F.format_string(
-        "    execute 'drop schema if exists %s cascade';", F.col("schema_name")).alias("line")).distinct()
-    head = unused.select("host_db").distinct().select(
-        "host_db", F.lit("").alias("line_key"), F.format_string("  if current_database() = '%s' then", F.col("host_db")).alias("line"))
-    tail = unused.select("host_db").distinct().select("host_db", F.lit("￿").alias("line_key"), F.lit("  end if;").alias("line"))
-    return head.unionByName(body).unionByName(tail)
+    names = unused.select("host_db", "schema_name").distinct()
+    own = Window.partitionBy("host_db").orderBy("schema_name")
+    head, drop, foot = DROP_LINES
+    body = names.select("host_db", (F.row_number().over(own) + 1).alias("line_no"), F.format_string(drop, F.col("schema_name")).alias("line"))
+    per_db = names.groupBy("host_db").agg((F.count(F.lit(1)) + 2).cast("int").alias("last"))
+    opened = per_db.select("host_db", F.lit(1).alias("line_no"), F.format_string(head, F.col("host_db")).alias("line"))
+    closed = per_db.select("host_db", F.col("last").alias("line_no"), F.lit(foot).alias("line"))
+    block = [(section, "", n + 1, line) for section, lines in ((0, BLOCK_OPENING), (2, BLOCK_CLOSING)) for n, line in enumerate(lines)]
+    frame = unused.sparkSession.createDataFrame(block, "section int, host_db string, line_no int, line string")
+    return frame.unionByName(body.unionByName(opened).unionByName(closed).withColumn("section", F.lit(1)))
 
 
 def schema_usage(fleet: Fleet, start=None, end=None, host=None, text: str = "") -> DataFrame:
     """Daily usage vector per schema: calls, scans, inserts, updates, deletes."""
-    df = in_range(fleet.samples("schema_usage_data", host), "sud_timestamp", start, end, closed_end=True)
+    df = fleet.samples("schema_usage_data", host, start, end, closed_start=True)
     if text:
         df = df.where(F.col("sud_schema_name").contains(text))
 
@@ -435,8 +439,3 @@ def schema_rollup(procs: DataFrame, tables: DataFrame) -> DataFrame:
     t = tables.where(user).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in counters))
     both = t.join(p, keys, "full")
     return both.select(*keys, *(F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in (*counters, "sproc_calls")))
-
-
-def index_space_share(catalog: DataFrame) -> DataFrame:
-    return share_of(catalog, AT_TABLE, "index_size", "indexes_size_bytes")
-

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 RUNTIME_CONF = {
@@ -26,12 +24,13 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, for checkpoints and written tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; a temporary folder is used
-    only where that is unset, as in tests.
+    The cluster names it in ``spark.checkpoint.dir``; a local session that leaves it unset uses its warehouse.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
-    return tempfile.mkdtemp(prefix="counterloom-")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"

@@ -7,10 +7,14 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.times import month_key, week_key
 from ..schema import METRICS
 from ..session import configure
 from .adapters import ADAPTERS, BASE_TABLES, references
 
+#: Columns that partition stored sample tables.
+PARTITIONS = ("yyyymm", "yyyyiw", "host_id")
+
 
 class Fleet:
     """Named tables, opened on first use."""
@@ -42,20 +46,29 @@ class Fleet:
     def from_frames(cls, spark: SparkSession, frames: dict[str, DataFrame]) -> "Fleet":
         return cls(spark, lambda fleet, name: frames[name])
 
-    def table(self, name: str) -> DataFrame:
+    def _stored(self, name: str) -> DataFrame:
+        """A table as stored, with its partition columns."""
         if name not in self._tables:
             self._tables[name] = self._open(self, name)
         return self._tables[name]
 
-    def samples(self, metric: str, host=None, start=None, end=None, lag: str | None = None) -> DataFrame:
+    def table(self, name: str) -> DataFrame:
+        """A whole table without partition columns; a report with a range reads sample tables through ``samples``."""
+        return self._stored(name).drop(*PARTITIONS) if name in METRICS else self._stored(name)
+
+    def samples(
+        self, metric: str, host=None, start=None, end=None, lag: str | None = None, *, closed_start: bool = False, open_end: bool = False
+    ) -> DataFrame:
         """Samples of one metric in (start - lag, end]; ``lag`` is an interval such as ``4 hours``.
 
-        A partitioned store is pruned by month and host as well as filtered by time.
+        Bounds are texts, datetimes or columns such as scalar subqueries. A partitioned store is pruned by month and host, or by
+        week, as well as filtered by time.
         """
         m = METRICS[metric]
-        df = self.table(metric)
+        df = self._stored(metric)
         ts = F.col(m.ts)
         parts = set(df.columns)
+        keys = [(c, key) for c, key in (("yyyymm", month_key), ("yyyyiw", week_key)) if c in parts]
         if host is not None:
             df = df.where(F.col(m.host) == host)
             if "host_id" in parts:
@@ -64,12 +77,12 @@ class Fleet:
             low = F.lit(start).cast("timestamp")
             if lag:
                 low = low - F.expr(f"interval {lag}")
-            df = df.where(ts > low)
-            if "yyyymm" in parts:
-                df = df.where(F.col("yyyymm") >= F.date_format(low, "yyyyMM"))
+            df = df.where(ts >= low if closed_start else ts > low)
+            for c, key in keys:
+                df = df.where(F.col(c) >= key(low).cast("int"))
         if end is not None:
             high = F.lit(end).cast("timestamp")
-            df = df.where(ts <= high)
-            if "yyyymm" in parts:
-                df = df.where(F.col("yyyymm") <= F.date_format(high, "yyyyMM"))
-        return df.drop("yyyymm", "host_id") if "yyyymm" in parts else df
+            df = df.where(ts < high if open_end else ts <= high)
+            for c, key in keys:
+                df = df.where(F.col(c) <= key(high).cast("int"))
+        return df.drop(*PARTITIONS)

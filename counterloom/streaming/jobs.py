@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.times import bucket
 from ..operators.series import PREV, counter_delta, with_previous
 from ..plans.locks import persistent_waits, prune_locks
 from ..schema import METRICS, Metric, Reset
@@ -149,23 +149,57 @@ def read_peaks(spark: SparkSession, out: str) -> DataFrame:
 
 
 def stream_export(
-    source: DataFrame, to_points: Callable[[DataFrame], DataFrame], ts: str, out: str, checkpoint: str, *,
-    up_to=None, fmt: str = "json",
+    source: DataFrame, to_points: Callable[[DataFrame], DataFrame], ts: str, out: str, work: str, *, up_to=None, fmt: str = "json",
 ) -> StreamingQuery:
-    """Points of each batch, written idempotently; samples after ``up_to`` (now minus a safety margin)
-    are left to a later run by the caller's choice of files."""
-    df = source if up_to is None else source.where(F.col(ts) <= F.lit(up_to).cast("timestamp"))
-    return _start(df, lambda b, i: write_batch(to_points(b), out, i, fmt), checkpoint)
+    """Points of each batch, written idempotently; samples after ``up_to`` (now minus a safety margin) are held back.
+
+    A later run first writes the held samples that its own ``up_to`` covers, whether or not new files have come.
+    """
+    spark, held, log = source.sparkSession, f"{work}/held", f"{work}/releases"
+    bound = F.lit(up_to).cast("timestamp") if up_to is not None else None
+    _release(spark, source.schema, to_points, ts, out, held, log, bound, fmt)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select(*source.columns)
+        write_batch(to_points(rows if bound is None else rows.where(F.col(ts) <= bound)), out, batch_id, fmt)
+        if bound is not None:
+            write_batch(rows.where(F.col(ts) > bound), held, batch_id)
+
+    return _start(source, run, f"{work}/checkpoint")
+
+
+def _release(spark: SparkSession, schema: T.StructType, to_points, ts: str, out: str, held: str, log: str, bound: Column | None, fmt: str) -> None:
+    """Write the held samples after the last release up to ``bound``. The output folder is named by the last release, so that a
+    run that broke off before it was logged is repeated in place."""
+    since = F.lit("0001-01-01 00:00:00").cast("timestamp")
+    last = _read_if_there(spark, log, "up_to timestamp").agg(F.max("up_to")).first()[0]
+    rows = _read_if_there(spark, held, schema).where(F.col(ts) > (since if last is None else F.lit(last)))
+    rows = rows if bound is None else rows.where(F.col(ts) <= bound)
+    name = "first" if last is None else f"{last:%Y%m%d%H%M%S%f}"
+    if not rows.isEmpty():
+        to_points(rows).write.mode("overwrite").format(fmt).save(f"{out}/after={name}")
+    end = F.lit("9999-12-31 00:00:00").cast("timestamp") if bound is None else bound
+    spark.range(1).select(end.alias("up_to")).write.mode("append").parquet(log)
+
+
+def _read_if_there(spark: SparkSession, path: str, schema) -> DataFrame:
+    try:
+        return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 # --- snapshots ---------------------------------------------------------------------------------
 
 
-def _snapshot_job(source: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str, work: str, keep_last: bool) -> StreamingQuery:
+def _snapshot_job(source: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str, work: str, keep_last: bool, closed_before) -> StreamingQuery:
     """Run ``transform`` on complete snapshots.
 
-    The newest snapshot of each host may still be arriving, so it is carried to the next batch; with
-    ``keep_last`` the last complete one is carried too, as the predecessor of the next.
+    The newest snapshot of each host may still be arriving, so it is carried to the next batch, unless it is older than
+    ``closed_before``: a host that has stopped reporting gets its last snapshot out that way. With ``keep_last`` the last complete one is
+    carried too, as the predecessor of the next.
     """
     schema = source.schema
     state = BatchTable(source.sparkSession, f"{work}/state", T.StructType([*schema.fields, T.StructField("_done", T.BooleanType())]))
@@ -175,11 +209,14 @@ def _snapshot_job(source: DataFrame, transform: Callable[[DataFrame], DataFrame]
         both = state.before(batch_id).unionByName(batch.select(*names).withColumn("_done", F.lit(False)))
         newest = both.groupBy(F.col("bl_host_id").alias("_h")).agg(F.max("bl_timestamp").alias("_open"))
         marked = both.join(newest, F.col("bl_host_id") == F.col("_h")).drop("_h")
-        complete = marked.where("bl_timestamp < _open")
+        open_ = F.col("bl_timestamp") == F.col("_open")
+        if closed_before is not None:
+            open_ = open_ & (F.col("bl_timestamp") >= F.lit(closed_before).cast("timestamp"))
+        complete = marked.where(~open_)
         result = transform(complete.select(*names))
         todo = complete.where("not _done").select("bl_host_id", "bl_timestamp").distinct()
         write_batch(result.join(todo, ["bl_host_id", "bl_timestamp"], "left_semi").select(*result.columns), out, batch_id)
-        kept = marked.where("bl_timestamp = _open")
+        kept = marked.where(open_)
         if keep_last:
             last = complete.groupBy(F.col("bl_host_id").alias("_h")).agg(F.max("bl_timestamp").alias("_at"))
             prior = complete.join(last, (F.col("bl_host_id") == F.col("_h")) & (F.col("bl_timestamp") == F.col("_at")))
@@ -189,13 +226,9 @@ def _snapshot_job(source: DataFrame, transform: Callable[[DataFrame], DataFrame]
     return _start(source, run, f"{work}/checkpoint")
 
 
-def stream_prune_locks(source: DataFrame, out: str, work: str) -> StreamingQuery:
-    return _snapshot_job(source, prune_locks, out, work, False)
-
-
-def stream_persistent_waits(source: DataFrame, out: str, work: str) -> StreamingQuery:
-    return _snapshot_job(source, persistent_waits, out, work, True)
+def stream_prune_locks(source: DataFrame, out: str, work: str, closed_before=None) -> StreamingQuery:
+    return _snapshot_job(source, prune_locks, out, work, False, closed_before)
 
 
-def day_of(ts: str) -> Column:
-    return bucket(F.col(ts), "day")
+def stream_persistent_waits(source: DataFrame, out: str, work: str, closed_before=None) -> StreamingQuery:
+    return _snapshot_job(source, persistent_waits, out, work, True, closed_before)

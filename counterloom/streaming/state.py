@@ -27,7 +27,3 @@ class BatchTable:
 def write_batch(df: DataFrame, path: str, batch_id: int, fmt: str = "parquet") -> None:
     """Output of one batch in a folder of its own; a repeated batch replaces it."""
     df.write.mode("overwrite").format(fmt).save(f"{path}/batch={batch_id}")
-
-
-def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)

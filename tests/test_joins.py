@@ -92,12 +92,13 @@ def test_persistent_waits_match_brute_force(spark):
     assert got == want
 
 
-def test_like_none_inline_and_joined(spark, monkeypatch):
-    df = spark.createDataFrame([("tmp_a",), ("data",), ("x_tmp",)], "s string")
-    pats = spark.createDataFrame([("tmp%",), ("d_ta",)], "p string")
-    assert [r[0] for r in C.like_none(df, "s", pats).collect()] == ["x_tmp"]
-    monkeypatch.setattr(C, "INLINE_PATTERNS", 1)
-    assert [r[0] for r in C.like_none(df, "s", pats).collect()] == ["x_tmp"]
+def test_like_none_with_nulls_and_many_patterns(spark):
+    df = spark.createDataFrame([("tmp_a",), ("data",), ("x_tmp",), (None,), ("",), ("a%b",)], "s string")
+    for filler in (0, 3000):
+        pats = spark.createDataFrame([("tmp%",), ("d_ta",), (None,), ("a\\%b",), *((f"zz{i}%",) for i in range(filler))], "p string")
+        assert sorted(r[0] for r in C.like_none(df, "s", pats).collect()) == ["", "x_tmp"]
+    assert C.like_none(df, "s", spark.createDataFrame([("%",)], "p string")).count() == 0
+    assert C.like_none(df, "s", pats.limit(0)).count() == 5
 
 
 def test_schema_filter_uses_defaults_only_without_own_rules(spark):

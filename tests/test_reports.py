@@ -120,9 +120,9 @@ def test_top_tables_without_first_snapshot_counts_from_zero(spark):
     assert got == {"a": 50, "b": 70}
 
 
-def test_duplicate_lists_split_large_groups_without_losing_names(spark):
+def test_duplicate_lists_number_the_names_of_a_group(spark):
     rows = [(1, "s", "t", f"i{n}", f"CREATE {'UNIQUE ' if n % 2 else ''}INDEX i{n} ON s.t USING btree (a)", 1, 1, 0, False, True) for n in range(50)]
     cat = spark.createDataFrame(rows, "host_id int, schema_name string, table_name string, index_name string, index_def string, index_size bigint, table_size bigint, scans bigint, is_unique boolean, is_valid boolean")
-    out = T.duplicate_index_lists(cat, list_limit=10)
-    assert out.count() > 1
-    assert out.agg(F.sum(F.size("index_names"))).first()[0] == 50
+    out = T.duplicate_index_lists(cat).orderBy("position").collect()
+    assert [r["position"] for r in out] == list(range(1, 51))
+    assert [r["index_name"] for r in out] == sorted(f"i{n}" for n in range(50))
