@@ -105,7 +105,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 def export_warc(records: DataFrame, path: str, per_file: int = 50_000) -> None:
     """Write records as gzip-compressed WARC files of at most ``per_file`` records. Payloads must be UTF-8."""
-    text = F.regexp_replace(F.col("record").cast("string"), r"\r\n$", "")  # the writer ends each value with a line end
+    text = F.regexp_replace(F.col("record").cast("string"), r"\r\n\z", "")  # the writer ends each value with a line end
     records.select(text.alias("value")).write.option("lineSep", EOL).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
