@@ -115,10 +115,10 @@ QUERIES = {
     "where_range": lambda f: C.in_range(f.table("host_load"), "load_timestamp", T0, T1).select("load_host_id", "load_timestamp"),
     "where_between": lambda f: C.in_range(f.table("host_load"), "load_timestamp", T0, T1, closed_end=True).select("load_host_id", "load_timestamp"),
     "where_weekday": lambda f: C.is_weekday_filter(f.table("host_load"), "load_timestamp").groupBy("load_host_id").count(),
-    "where_like_any": lambda f: f.table("part").where(C.like_any(F.col("p_type"), ("STANDARD%", "%TIN"))).select("p_partkey"),
-    "where_like_none": lambda f: C.like_none(f.table("part"), "p_type", _patterns(f, "STANDARD%", "%TIN")).select("p_partkey"),
+    "where_like_any": lambda f: f.table("part").where(C.like_any(F.col("p_type"), ("STANDARD%", "%OMO"))).select("p_partkey"),
+    "where_like_none": lambda f: C.like_none(f.table("part"), "p_type", _patterns(f, "STANDARD%", "%OMO")).select("p_partkey"),
     "where_not_temp": lambda f: f.table("documents").select("doc_id", C.not_temp(F.concat(F.lit("temp"), F.col("text"))).alias("a"), C.not_temp(F.col("source")).alias("b")),
-    "where_ilike": lambda f: f.table("part").where(C.ilike(F.col("p_type"), "tin")).select("p_partkey"),
+    "where_ilike": lambda f: f.table("part").where(C.ilike(F.col("p_type"), "and")).select("p_partkey"),
     "where_shortname": lambda f: f.table("hosts").select("host_id", C.valid_shortname(F.col("host_ui_shortname")).alias("ok"), C.valid_shortname(F.col("host_name")).alias("bad")),
     "where_in_list": lambda f: f.table("sprocs").where(F.col("sproc_host_id").isin(1, 3)),
     "where_all_equal": lambda f: f.table("tables").groupBy("t_name").agg(F.collect_list("t_schema").alias("l")).select("t_name", C.all_equal(F.col("l"), F.lit("data_1")).alias("same")),
@@ -169,7 +169,7 @@ QUERIES = {
     "top_latest": lambda f: G.latest(f.table("host_load"), ["load_host_id"], "load_timestamp", ["load_5min_value"]),
     "top_per_mode": lambda f: G.top_per_mode(f.table("supplier").select("s_suppkey", "s_nationkey", "s_acctbal"), {"rich": F.col("s_acctbal"), "new": F.col("s_suppkey"), "debt": F.when(F.col("s_acctbal") < 0, -F.col("s_acctbal"))}, ["s_nationkey"], ["s_suppkey"], 2),
     "top_limit": lambda f: G.top(f.table("orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], 25),
-    "order_case_nulls": lambda f: f.table("hosts").orderBy(F.when(F.col("host_group_id") == 0, 0).otherwise(1), F.asc_nulls_first("host_db_export_name"), "host_ui_longname").select("host_id"),
+    "order_case_nulls": lambda f: f.table("hosts").select("host_id", F.row_number().over(Window.orderBy(F.when(F.col("host_group_id") == 0, 0).otherwise(1), F.asc_nulls_first("host_db_export_name"), "host_ui_longname")).alias("position")),
     "latest_timestamp": lambda f: f.table("index_usage_data").agg(F.max("iud_timestamp").alias("ts")),
     # sets
     "set_union_all": lambda f: H.union_all(f.table("nation").select(F.col("n_name").alias("n")), f.table("region").select(F.col("r_name").alias("n")), f.table("nation").select(F.col("n_name").alias("n"))),
@@ -233,10 +233,10 @@ from table_size_data l join e on h = l.tsd_host_id and z = l.tsd_timestamp left
     "where_range": f"select load_host_id, load_timestamp from host_load where load_timestamp >= timestamp '{T0}' and load_timestamp < timestamp '{T1}'",
     "where_between": f"select load_host_id, load_timestamp from host_load where load_timestamp between timestamp '{T0}' and timestamp '{T1}'",
     "where_weekday": "select load_host_id, count(*) as count from host_load where isodow(load_timestamp) between 1 and 5 group by 1",
-    "where_like_any": "select p_partkey from part where p_type like 'STANDARD%' or p_type like '%TIN'",
-    "where_like_none": "select p_partkey from part where p_type not like 'STANDARD%' and p_type not like '%TIN'",
+    "where_like_any": "select p_partkey from part where p_type like 'STANDARD%' or p_type like '%OMO'",
+    "where_like_none": "select p_partkey from part where p_type not like 'STANDARD%' and p_type not like '%OMO'",
     "where_not_temp": "select doc_id, not regexp_matches('temp' || text, '^(temp|.backup).*$') as a, not regexp_matches(source, '^(temp|.backup).*$') as b from documents",
-    "where_ilike": "select p_partkey from part where p_type ilike '%tin%'",
+    "where_ilike": "select p_partkey from part where p_type ilike '%and%'",
     "where_shortname": "select host_id, true as ok, false as bad from hosts",
     "where_in_list": "select * from sprocs where sproc_host_id in (1, 3)",
     "where_all_equal": "select t_name, bool_and(t_schema = 'data_1') as same from tables group by 1",
@@ -279,7 +279,7 @@ from table_size_data l join e on h = l.tsd_host_id and z = l.tsd_timestamp left
     "top_per_mode": f"""with m as (select *, 'rich' as mode, {_RANK2.format('s_acctbal')} from supplier union all select *, 'new', {_RANK2.format('s_suppkey')} from supplier union all select *, 'debt', {_RANK2.format('(-s_acctbal)')} from supplier where s_acctbal < 0)
 select s_suppkey, s_nationkey, s_acctbal, mode from m where k <= 2""",
     "top_limit": "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 25",
-    "order_case_nulls": "select host_id from hosts",
+    "order_case_nulls": "select host_id, cast(row_number() over (order by case when host_group_id = 0 then 0 else 1 end, host_db_export_name nulls first, host_ui_longname) as int) as position from hosts",
     "latest_timestamp": "select max(iud_timestamp) as ts from index_usage_data",
     "set_union_all": "select n_name as n from nation union all select r_name from region union all select n_name from nation",
     "set_union": "select c_nationkey as k from customer union select s_nationkey from supplier",

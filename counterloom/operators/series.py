@@ -152,15 +152,15 @@ def last_in_period(df: DataFrame, keys: Sequence[str], ts: str, unit: str, cols:
 def window_endpoints(df: DataFrame, host: str, key: str, ts: str, cols: Sequence[str]) -> DataFrame:
     """Values at the first and last snapshot of each host: ``first_<c>`` and ``last_<c>``.
 
-    The host's endpoints come from one aggregate; samples are matched to them by (host, ts), so
-    only rows of two snapshots per host go on. A series missing at the last snapshot is left out.
+    One map-side combined pass finds the first and last sample of each series; they are then held against the host's
+    endpoints, one row per series. A series missing at the last snapshot is left out.
     """
-    ends = df.groupBy(F.col(host).alias("_h")).agg(F.min(ts).alias("_min"), F.max(ts).alias("_max"))
-    hits = df.join(ends, (F.col(host) == F.col("_h")) & ((F.col(ts) == F.col("_min")) | (F.col(ts) == F.col("_max"))))
-    first = [F.max(F.when(F.col(ts) == F.col("_min"), F.col(c))).alias(f"first_{c}") for c in cols]
-    last = [F.max(F.when(F.col(ts) == F.col("_max"), F.col(c))).alias(f"last_{c}") for c in cols]
-    out = hits.groupBy(host, key).agg(*first, *last)
-    return out.where(F.col(f"last_{cols[0]}").isNotNull())
+    values = [f(c, ts).alias(f"{name}_{c}") for name, f in (("first", F.min_by), ("last", F.max_by)) for c in cols]
+    per = df.groupBy(host, key).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"), *values)
+    own = Window.partitionBy(host)
+    per = per.withColumns({"_min": F.min("_lo").over(own), "_max": F.max("_hi").over(own)}).where(F.col("_hi") == F.col("_max"))
+    first = [F.when(F.col("_lo") == F.col("_min"), F.col(f"first_{c}")).alias(f"first_{c}") for c in cols]
+    return per.select(host, key, *first, *(f"last_{c}" for c in cols)).where(F.col(f"last_{cols[0]}").isNotNull())
 
 
 def trim_lag(df: DataFrame, ts: str, start) -> DataFrame:

@@ -50,6 +50,5 @@ def grand_total(df: DataFrame, value: Column, name: str) -> DataFrame:
 
 
 def share_of(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Add the sum of ``value`` per ``keys``; joined back from a map-side combined aggregate."""
-    totals = df.groupBy(*keys).agg(F.sum(value).alias(name))
-    return df.join(totals, list(keys))
+    """Add the sum of ``value`` per ``keys``; for aggregated frames, which are shuffled once on the keys."""
+    return df.withColumn(name, F.sum(value).over(Window.partitionBy(*keys)))

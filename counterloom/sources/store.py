@@ -71,7 +71,11 @@ def resume_point(target: DataFrame, keys: Sequence[str], ts: str, known: DataFra
 
 
 def new_samples(df: DataFrame, resume: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
-    """Rows newer than the resume point of their key."""
+    """Rows newer than the resume point of their key; the least resume point prunes a partitioned store."""
+    low = resume.agg(F.min("resume_from")).scalar()
+    df = df.where(F.col(ts) > low)
+    if "yyyymm" in df.columns:
+        df = df.where(F.col("yyyymm") >= month_key(low).cast("int"))
     return df.join(resume, list(keys)).where(F.col(ts) > F.col("resume_from")).drop("resume_from")
 
 
