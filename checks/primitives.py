@@ -81,7 +81,9 @@ def _stamps(f):
     return f.table("table_size_data").groupBy("tsd_host_id").agg(F.max("tsd_timestamp").alias("at"))
 
 
-w_host = Window.partitionBy("load_host_id").orderBy("load_timestamp")
+def _per_host():
+    return Window.partitionBy("load_host_id").orderBy("load_timestamp")
+
 
 QUERIES = {
     # sources
@@ -162,8 +164,8 @@ QUERIES = {
     "agg_grand_total": lambda f: G.grand_total(f.table("part").select("p_partkey", "p_size"), F.col("p_size"), "total"),
     # windows and order
     "win_moving_sum": lambda f: f.table("host_load").select("load_host_id", "load_timestamp", B.moving_sum("load_1min_value", ["load_host_id"], "load_timestamp", 4).alias("s")),
-    "win_lag_or_self": lambda f: f.table("host_load").select("load_host_id", "load_timestamp", F.coalesce(F.lag("xlog_location_mb").over(w_host), "xlog_location_mb").alias("prev")),
-    "win_trend": lambda f: f.table("host_load").select("load_host_id", "load_timestamp", B.trend("load_1min_value", w_host).alias("t")),
+    "win_lag_or_self": lambda f: f.table("host_load").select("load_host_id", "load_timestamp", F.coalesce(F.lag("xlog_location_mb").over(_per_host()), "xlog_location_mb").alias("prev")),
+    "win_trend": lambda f: f.table("host_load").select("load_host_id", "load_timestamp", B.trend("load_1min_value", _per_host()).alias("t")),
     "top_n_per_group": lambda f: G.top_n(f.table("lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice"), ["l_suppkey"], [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")], 3, "rank"),
     "top_rank": lambda f: G.top_rank(f.table("part").select("p_partkey", "p_brand", "p_size"), ["p_brand"], [F.desc("p_size")], 2),
     "top_latest": lambda f: G.latest(f.table("host_load"), ["load_host_id"], "load_timestamp", ["load_5min_value"]),
