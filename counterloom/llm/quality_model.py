@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .store import written
+from .store import hashed_sample, written
 
 #: Class of each byte: white space, letter (with all non-ASCII), digit, other.
 _KIND = np.full(256, 3, np.int8)
@@ -93,7 +93,8 @@ def pooled(docs: DataFrame, vectors: np.ndarray, doc_id: str = "doc_id", text: s
     held = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = np.concatenate([held.value, held.value**2], axis=1)
+        # whole numbers, whose sums do not depend on the order of a product
+        both = np.rint(np.concatenate([held.value, held.value**2], axis=1).astype(np.float64) * 4096)
         vocabulary, width = held.value.shape
         for batch in A.slices(batches, "_text"):
             number, doc = _tokens(batch.column("_text"), vocabulary)
@@ -103,9 +104,9 @@ def pooled(docs: DataFrame, vectors: np.ndarray, doc_id: str = "doc_id", text: s
                 b = min(a + 512, batch.num_rows)
                 own = slice(of[a], of[b])
                 counts = np.bincount((doc[own] - a) * vocabulary + number[own], minlength=(b - a) * vocabulary)
-                sums[a:b] = counts.reshape(b - a, vocabulary).astype(np.float32) @ both
+                sums[a:b] = counts.reshape(b - a, vocabulary).astype(np.float64) @ both
             n = np.diff(of)[:, None]
-            mean = sums / np.maximum(n, 1)
+            mean = sums / (4096 * np.maximum(n, 1))
             spread = np.sqrt(np.maximum(mean[:, width:] - mean[:, :width] ** 2, 0))
             rows = np.concatenate([mean[:, :width], spread, np.log1p(n)], axis=1).astype(np.float32)
             values = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
@@ -177,7 +178,7 @@ def score(features: DataFrame, network: Network) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 rows = batch.column("pooled").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(held.value.probabilities(rows))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.round(held.value.probabilities(rows), 9))], ["doc_id", "score"])
 
     return features.select("doc_id", "pooled").mapInArrow(scored, "doc_id long, score double")
 
@@ -185,11 +186,11 @@ def score(features: DataFrame, network: Network) -> DataFrame:
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFrame:
     """Probability of label 1 for every document: (doc_id, score). ``labels`` holds only rows to learn from.
 
-    The network learns from at most ``sample`` labelled rows, chosen by a hash of the id; word vectors come from all documents.
+    The network learns from about ``sample`` labelled rows, chosen by a hash of the id; word vectors come from all documents.
     """
     features = written(pooled(docs, word_vectors(docs)), "pooled")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("label in (0, 1)").dropDuplicates(["doc_id"])
-    chosen = features.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("pooled", "label").toPandas()
+    chosen = features.join(hashed_sample(known, "doc_id", sample), "doc_id").orderBy("doc_id", "pooled").select("pooled", "label").toPandas()
     width = len(features.first()["pooled"]) if chosen.empty and features.head(1) else len(chosen["pooled"].iloc[0]) if len(chosen) else 1
     rows = np.array(chosen["pooled"].tolist(), np.float64).reshape(-1, width)
     return score(features, fit_network(rows, chosen["label"].to_numpy()))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -20,5 +21,13 @@ def new_path(spark: SparkSession, label: str) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write a table and read it back: later steps start from files that outlive any executor."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def hashed_sample(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """About ``limit`` rows at most, those with the smallest hashes of ``key``: each task keeps its share, not ``limit`` rows."""
+    n = rows.count()
+    if n <= limit:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * limit / n))
