@@ -34,10 +34,10 @@ def minimizers(hashes: np.ndarray, windows: np.ndarray, w: int) -> np.ndarray:
         return windows
     valid = np.zeros(len(hashes) - w + 1, bool)
     valid[windows] = True
-    least = np.where(valid, A.sliding_min(hashes, w), np.uint64(0))
-    edge = np.zeros(w - 1, np.uint64)
-    highest = ~A.sliding_min(~np.concatenate([edge, least, edge]), w)  # over the windows that hold an item
-    return np.flatnonzero((highest == hashes) & A.covered(windows, w, len(hashes)))
+    # the largest of the minima of the windows that hold an item, as the smallest of their complements
+    least = np.full(len(hashes) + w - 1, np.uint64(2**64 - 1))
+    np.invert(A.sliding_min(hashes, w), out=least[w - 1 : len(hashes)], where=valid)
+    return np.flatnonzero(~A.sliding_min(least, w) == hashes)  # no hash is 0, which stands for no window
 
 
 def code(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -64,7 +64,7 @@ def _rows(buckets: np.ndarray, kind: int, columns: list[np.ndarray], digests: np
 
 
 def _flush(hashes: np.ndarray, digests: np.ndarray, within: np.ndarray, buckets: int) -> Iterator[tuple]:
-    yield from _rows((digests[within].view(np.uint64) % np.uint64(buckets)).astype(np.int64), 2, [code(hashes[within], buckets)], digests[within])
+    yield from _rows((digests[within].view(np.uint64) % np.uint64(buckets)).astype(np.int64), 2, [(hashes[within] >> np.uint64(32)).astype(np.uint32)], digests[within])
     order = np.lexsort((digests, hashes))
     hashes, digests = hashes[order], digests[order]
     fresh = np.ones(len(hashes), bool)
@@ -81,7 +81,7 @@ def _flush(hashes: np.ndarray, digests: np.ndarray, within: np.ndarray, buckets:
     seen = np.unique(codes[again])
     yield from _rows(*split(seen)[:1], 1, split(seen)[1], None)
     told = (digests[again].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-    yield from _rows(told, 2, [codes[again]], digests[again])
+    yield from _rows(told, 2, [codes[again].astype(np.uint32)], digests[again])
 
 
 def _digests(index: bytes, table: bytes, n: int) -> np.ndarray:
@@ -90,10 +90,10 @@ def _digests(index: bytes, table: bytes, n: int) -> np.ndarray:
 
 
 def shared_anchors(texts: DataFrame, find: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], buckets: int, within: bool = False) -> DataFrame:
-    """(digest, codes): for every text with a shared anchor the codes of its shared anchors.
+    """(digest, codes): for every text with a shared anchor, the 32-bit codes of its shared anchors.
 
     ``texts`` has ``digest``, a 64-bit hash of the text, and ``_text``; ``find`` gives document numbers and hashes of the anchors of a
-    column of texts. Equal texts count as one; with ``within``, an anchor that a text has twice counts as shared. Two anchors may share a code by chance, so a code is a candidate only.
+    column of texts. Equal texts count as one; with ``within``, an anchor that a text has twice counts as shared. Codes may repeat, and two anchors may share one by chance, so a code is a candidate only.
     """
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +121,7 @@ def shared_anchors(texts: DataFrame, find: Callable[[pa.Array], tuple[np.ndarray
         flagged = [np.frombuffer(q, np.uint32) for _, kind, q, _, _ in rows if kind == 1]
         for _, kind, q, i, t in rows:
             if kind == 2:
-                codes = np.frombuffer(q, np.uint64)
+                codes = np.frombuffer(q, np.uint32)
                 yield _digests(i, t, len(codes)), codes
         if not own:
             return
@@ -134,7 +134,7 @@ def shared_anchors(texts: DataFrame, find: Callable[[pa.Array], tuple[np.ndarray
         q, digest = q[fresh], digest[fresh]
         twice = np.unique(np.concatenate([q[1:][q[1:] == q[:-1]], *flagged]))
         hit = A.member(q, twice)
-        yield digest[hit], (np.uint64(rows[0][0]) << np.uint64(32)) | q[hit].astype(np.uint64)
+        yield digest[hit], q[hit]
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -142,7 +142,7 @@ def shared_anchors(texts: DataFrame, find: Callable[[pa.Array], tuple[np.ndarray
         def told() -> Iterator[pa.RecordBatch]:
             for digest, codes in judged(held):
                 for a in range(0, len(digest), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(digest[a : a + 100_000]), pa.array(codes[a : a + 100_000].view(np.int64))], ["digest", "code"])
+                    yield pa.RecordBatch.from_arrays([pa.array(digest[a : a + 100_000]), pa.array(codes[a : a + 100_000].view(np.int32))], ["digest", "code"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -155,8 +155,17 @@ def shared_anchors(texts: DataFrame, find: Callable[[pa.Array], tuple[np.ndarray
 
     blobs = texts.select("digest", "_text").mapInArrow(sent, "bucket int, kind int, q binary, index binary, table binary")
     dealt = blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    pairs = dealt.mapInArrow(answered, "digest long, code long").distinct()
-    return pairs.groupBy("digest").agg(F.collect_list("code").alias("codes"))
+    return dealt.mapInArrow(answered, "digest long, code int").groupBy("digest").agg(F.collect_list("code").alias("codes"))
+
+
+def wanted(codes: pa.Array, own: np.ndarray) -> np.ndarray:
+    """Sorted keys of the shared anchors of a batch of documents, from the lists of codes; ``own`` tells documents apart."""
+    doc = np.repeat(np.arange(len(codes)), np.diff(np.asarray(codes.offsets)))
+    return np.unique(A.mix(np.asarray(codes.flatten()).view(np.uint32).astype(np.uint64)) ^ own[doc])
+
+
+def is_wanted(hashes: np.ndarray, doc: np.ndarray, keys: np.ndarray, own: np.ndarray) -> np.ndarray:
+    return A.member(A.mix(hashes >> np.uint64(32)) ^ own[doc], keys)
 
 
 def bucket_count(texts: DataFrame, bytes_per_bucket: int = 32 << 20) -> int:

@@ -89,6 +89,17 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * _power_tables(len(sums))[1][start])
 
 
+def gram_hashes(sums: np.ndarray, k: int) -> np.ndarray:
+    """Hash, not 0, of the ``k`` items from each item on, also across documents; a light mixing, for sampling."""
+    n = max(len(sums) - k, 0)
+    h = sums[k : k + n] - sums[:n]
+    h *= _power_tables(len(sums))[1][:n]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    return np.maximum(h, np.uint64(1), out=h)
+
+
 def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of every maximal run of True that stays within one document."""
     before = np.zeros(len(inside), bool)
@@ -157,9 +168,7 @@ def member(keys: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 
 def covered(start: np.ndarray, length: int, n: int) -> np.ndarray:
     """Whether each of ``n`` items lies in a span of ``length`` items that begins at one of the starts."""
-    edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, start, 1)
-    np.add.at(edge, start + length, -1)
+    edge = np.bincount(start, minlength=n + 1) - np.bincount(start + length, minlength=n + 1)
     return np.cumsum(edge[:-1]) > 0
 
 

@@ -6,13 +6,13 @@ A byte is removed where a string of ``length`` bytes over it also starts in a do
    n-grams) with another text are candidates; see ``anchors``.
 2. Each maximal run of windows of a candidate with the same shared anchor becomes one string. Equal strings are merged before they are shuffled.
    All occurrences of a window have the same anchor, so they meet in one bucket.
-3. A bucket's strings are sorted into a Burrows-Wheeler transform. Breadth-first backward extension derives its common prefixes by
+3. Strings that share an anchor with another string are the ones compared: a bucket's strings are sorted into a Burrows-Wheeler transform. Breadth-first backward extension derives its common prefixes by
    increasing value: after step k, intervals of rows share k bytes. It stops at ``length``. Each interval then holds the occurrences
    of one window, among them the smallest document.
 4. Strings of an anchor with more than ``hot`` different contexts are split into windows, which spread over all tasks.
 5. Runs of windows with an earlier document go back to their documents, whose remaining bytes are joined.
 
-Documents with a null id come last and do not remove each other. A null text is empty. Repeated rows (equal id) get equal results and do not remove
+Documents with a null id come last, in the order of a hash of their text. A null text is empty. Repeated rows (equal id) get equal results and do not remove
 each other. Extra columns are ignored.
 """
 
@@ -38,8 +38,7 @@ EMPTY = hashlib.sha256(b"").hexdigest()
 def _grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Prefix sums of the bytes and hashes of all n-grams; those over a document's end lie in no window."""
     sums = A.byte_prefix(data)
-    start = np.arange(max(len(data) - GRAM + 1, 0))
-    return sums, A.span_hash(sums, start, start + GRAM)
+    return sums, A.gram_hashes(sums, GRAM)
 
 
 def _anchors(texts: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +48,7 @@ def _anchors(texts: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray]:
     return A.owners(offsets, at), hashes[at]
 
 
-def anchored_strings(texts: pa.Array, length: int, shared: list[np.ndarray], buckets: int) -> tuple[np.ndarray, ...]:
+def anchored_strings(texts: pa.Array, length: int, codes: pa.Array) -> tuple[np.ndarray, ...]:
     """Maximal runs of windows with one shared anchor: document, first byte, bytes, anchor hash and content hash."""
     data, offsets = A.text_bytes(texts)
     first, none = A.window_starts(offsets, length), np.zeros(0, np.int64)
@@ -58,10 +57,8 @@ def anchored_strings(texts: pa.Array, length: int, shared: list[np.ndarray], buc
     sums, hashes = _grams(data)
     least = A.sliding_min(hashes, length - GRAM + 1)[first]
     doc = A.owners(offsets, first)
-    codes = anchors.code(least, buckets)
-    own = A.mix(np.arange(len(shared), dtype=np.uint64) + np.uint64(1))
-    wanted = np.unique(np.concatenate([A.mix(c) ^ own[i] for i, c in enumerate(shared)]))
-    keep = A.member(A.mix(codes) ^ own[doc], wanted)
+    own = A.mix(np.arange(len(texts), dtype=np.uint64) + np.uint64(1))
+    keep = anchors.is_wanted(least, doc, anchors.wanted(codes, own), own)
     first, least, doc = first[keep], least[keep], doc[keep]
     fresh = np.ones(len(first), bool)
     fresh[1:] = (first[1:] != first[:-1] + 1) | (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
@@ -73,36 +70,50 @@ def anchored_strings(texts: pa.Array, length: int, shared: list[np.ndarray], buc
 
 
 def prefix_intervals(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffix order, interval number of each row, and common prefixes below ``length`` of neighbouring rows.
+    """Rows of suffixes, interval number of each row, and common prefixes below ``length`` of neighbouring rows.
 
-    Suffixes are sorted by doubling. Row r of the transform goes back to row psi[r], the suffix one symbol further; extending all intervals backward by their
-    symbols at once makes row r a boundary where psi leads to different intervals. A row's common prefix is the step before it became one.
+    Suffixes are sorted by doubling, as deep as needed. Row r of the transform goes back to row psi[r], the suffix one symbol further;
+    extending all intervals backward by their symbols at once makes row r a boundary where psi leads to different
+    intervals. A row's common prefix is the step in which it became a boundary. Symbols are below 2**9; the text's end counts as -1.
     """
-    n = len(symbols)
-    _, rank = np.unique(symbols, return_inverse=True)
-    k = 1
-    while n and rank.max() < n - 1:
-        key = rank.astype(np.int64) * (n + 1)
-        key[: n - k] += rank[k:] + 1
+    n, depth, pack = len(symbols), 1, 7
+    padded = np.concatenate([symbols.astype(np.int64) + 1, np.zeros(pack, np.int64)])
+    key = np.zeros(n, np.int64)
+    for i in range(pack):  # the first seven symbols in one number
+        key = (key << 9) | padded[i : i + n]
+    while True:
         order = np.argsort(key)
+        ordered = key[order]
+        fresh = np.ones(n, bool)
+        fresh[1:] = ordered[1:] != ordered[:-1]
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
-        k *= 2
-    suffixes = np.empty(n, np.int64)
-    suffixes[rank] = np.arange(n)
-    psi = rank[np.minimum(suffixes + 1, n - 1)].astype(np.int32)  # the last symbol is unique, its row has no equal
-    head = symbols[suffixes]
-    boundary = np.ones(n, bool)
-    boundary[1:] = head[1:] != head[:-1]
-    by_symbol, lcp = boundary.copy(), np.full(n, -1, np.int32)
-    lcp[boundary] = 0
+        rank[order] = np.cumsum(fresh)
+        depth = pack if depth == 1 else 2 * depth
+        if depth >= length:
+            break
+        key = rank * (n + 1)
+        key[: max(n - depth, 0)] += rank[depth:]
+    row = np.empty(n, np.int32)
+    row[order] = np.arange(n, dtype=np.int32)
+    psi = np.append(row[1:], np.int32(0))[order]  # the last suffix is its own interval: nothing else ends there
+    head = symbols[order]
+    by_symbol = np.ones(n, bool)
+    by_symbol[1:] = head[1:] != head[:-1]
+    at_end = row[n - 1]
+    by_symbol[at_end] = True
+    if at_end + 1 < n:
+        by_symbol[at_end + 1] = True
+    boundary, lcp = by_symbol.copy(), np.zeros(n, np.int32)
+    known = np.flatnonzero(~boundary)
     for step in range(1, length):
         group = np.cumsum(boundary, dtype=np.int32)
         before = group[psi]
-        boundary = by_symbol.copy()
-        boundary[1:] |= before[1:] != before[:-1]
-        lcp[boundary & (lcp < 0)] = step
-    return suffixes, np.cumsum(boundary) - 1, lcp
+        cut = before[known] != before[known - 1]
+        new = known[cut]
+        lcp[new] = step
+        boundary[new] = True
+        known = known[~cut]
+    return order, np.cumsum(boundary) - 1, lcp
 
 
 def earliest_documents(strings: list[bytes], nodes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,40 +122,36 @@ def earliest_documents(strings: list[bytes], nodes: np.ndarray, length: int) ->
     data = np.frombuffer(b"".join(strings), np.uint8)
     m = len(strings)
     end = np.cumsum(sizes + 1)
-    symbols = np.empty(int(end[-1]), np.int64)
+    symbols = np.zeros(int(end[-1]), np.int16)  # 0 ends each string; no window reaches over it
     text = np.ones(len(symbols), bool)
     text[end - 1] = False
-    symbols[end - 1] = np.arange(m)  # a different end for each, so that no window spans two strings
-    symbols[text] = data.astype(np.int64) + m
+    symbols[text] = data.astype(np.int16) + 1
     suffixes, group, _ = prefix_intervals(symbols, length)
     owner = np.repeat(np.arange(m), sizes + 1)
     place = np.arange(len(symbols)) - (end - sizes - 1)[owner]
     window = place <= (sizes - length)[owner]
-    least = np.full(int(group[-1]) + 1, _LAST)
-    rows = window[suffixes]
-    np.minimum.at(least, group[rows], nodes[owner[suffixes[rows]]])
+    least = np.minimum.reduceat(np.where(window, nodes[owner], _LAST)[suffixes], np.flatnonzero(np.diff(group, prepend=-1)))
     found = np.empty(len(symbols), np.int64)
     found[suffixes] = least[group]
     return owner[window], place[window], found[window]
 
 
-_PIECE = "digest long, node long, code long, content long, start int, size int"
+_PIECE = "node long, code long, content long, start int, size int"
 
 
-def _pieces(candidates: DataFrame, length: int, buckets: int) -> DataFrame:
+def _pieces(candidates: DataFrame, length: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in A.slices(batches, "_text"):
-            shared = [np.array(c, np.int64).view(np.uint64) for c in batch.column("codes").to_pylist()]
-            doc, start, size, code, content = anchored_strings(batch.column("_text"), length, shared, buckets)
-            take = lambda c: batch.column(c).take(pa.array(doc))
-            yield pa.RecordBatch.from_arrays([take("digest"), take("node"), pa.array(code.view(np.int64)), pa.array(content.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], ["digest", "node", "code", "content", "start", "size"])
+            doc, start, size, code, content = anchored_strings(batch.column("_text"), length, batch.column("codes"))
+            node = batch.column("node").take(pa.array(doc))
+            yield pa.RecordBatch.from_arrays([node, pa.array(code.view(np.int64)), pa.array(content.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], ["node", "code", "content", "start", "size"])
 
-    return candidates.select("digest", "node", "_text", "codes").mapInArrow(cut, _PIECE)
+    return candidates.select("node", "_text", "codes").mapInArrow(cut, _PIECE)
 
 
 def _with_bytes(strings: DataFrame, candidates: DataFrame) -> DataFrame:
     """Read each distinct string from the first document that has it."""
-    held = strings.groupBy("digest").agg(F.collect_list(F.struct("code", "content", "start", "size", "node", "most")).alias("held"))
+    held = strings.groupBy("node").agg(F.collect_list(F.struct("code", "content", "start", "size", "node", "most")).alias("held"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in A.slices(batches, "_text"):
@@ -156,7 +163,7 @@ def _with_bytes(strings: DataFrame, candidates: DataFrame) -> DataFrame:
             content = pa.array([raw[a : a + n] for a, n in zip(start.tolist(), size.tolist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([rows.field(c) for c in ("code", "content", "node", "most")] + [content], ["code", "content", "node", "most", "bytes"])
 
-    return candidates.select("digest", "_text").join(held, "digest").select("_text", "held").mapInArrow(read, "code long, content long, node long, most long, bytes binary")
+    return candidates.select("node", "_text").join(held, "node").select("_text", "held").mapInArrow(read, "code long, content long, node long, most long, bytes binary")
 
 
 _RUN = "code long, content long, first int, n int, least long"
@@ -194,7 +201,7 @@ def _by_window(strings: DataFrame, length: int) -> DataFrame:
 
 def _removed(candidates: DataFrame, spans: DataFrame) -> DataFrame:
     """(digest, n_removed, n_spans, kept_sha256, kept) of the documents with removed spans."""
-    held = spans.groupBy("digest").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    held = spans.groupBy("node").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in A.slices(batches, "_text"):
@@ -211,7 +218,7 @@ def _removed(candidates: DataFrame, spans: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("digest"), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True))], ["digest", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return candidates.select("digest", "_text").join(held, "digest").mapInArrow(joined, "digest long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return candidates.select("digest", "node", "_text").join(held, "node").select("digest", "_text", "spans").mapInArrow(joined, "digest long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def remove_repeated_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 50, hot: int = 20_000, part_bytes: int = 1_500_000) -> DataFrame:
@@ -224,23 +231,24 @@ def remove_repeated_substrings(docs: DataFrame, doc_id: str = "doc_id", text: st
     buckets = anchors.bucket_count(rows)
     codes = anchors.shared_anchors(rows, lambda texts: _anchors(texts, length), buckets)
     named = codes.join(nodes, "digest")
-    first = rows.withColumn("node", F.coalesce("doc_id", F.lit(_LAST))).select("digest", "node", "_text")
-    candidates = written(first.join(named.select("digest", "node", "codes"), ["digest", "node"]).dropDuplicates(["digest"]), "candidates")
-
-    pieces = _pieces(candidates, length, buckets)
-    least = F.min(F.struct("node", "digest", "start", "size")).alias("first")
-    strings = pieces.groupBy("code", "content").agg(least, F.max("node").alias("most")).select("code", "content", "first.*", "most")
-    strings = written(strings, "strings")
-    busy = strings.groupBy("code").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("code")
-    parts = max(1, (strings.agg(F.sum("size")).first()[0] or 0) // part_bytes + 1)
-    if busy.isEmpty():
-        runs = _transform(_with_bytes(strings, candidates), length, parts)
-    else:
-        usual, often = (_with_bytes(strings.join(busy, "code", how), candidates) for how in ("left_anti", "left_semi"))
-        runs = _transform(usual, length, parts).unionByName(_by_window(often, length))
+    first = rows.withColumn("own", F.coalesce("doc_id", F.lit(_LAST))).select("digest", "own", "_text")
+    named = named.withColumn("own", F.col("node")).withColumn("node", F.when(F.col("own") == _LAST, F.pmod("digest", F.lit(1 << 62)) + (1 << 62)).otherwise(F.col("own")))
+    candidates = written(first.join(named, ["digest", "own"]).dropDuplicates(["digest"]).drop("own"), "candidates")
+
+    pieces = _pieces(candidates, length)
+    first = [F.min("node").alias("node"), F.min_by("start", "node").alias("start"), F.max("size").alias("size"), F.max("node").alias("most")]
+    strings = written(pieces.groupBy("code", "content").agg(*first), "strings")
+    strings = written(strings.join(strings.groupBy("code").agg(F.count("*").alias("variants")), "code"), "strings")
+    # a string whose anchor has no other string shares no window with one: all its windows first occur where it does
+    single = strings.where("variants = 1 and node < most").select("code", "content", F.lit(0).alias("first"), (F.col("size") - (length - 1)).alias("n"), F.col("node").alias("least"))
+    several, often = strings.where(F.col("variants").between(2, hot)), strings.where(F.col("variants") > hot)
+    parts = max(1, (several.agg(F.sum("size")).first()[0] or 0) // part_bytes + 1)
+    runs = single.unionByName(_transform(_with_bytes(several, candidates), length, parts))
+    if not often.isEmpty():
+        runs = runs.unionByName(_by_window(_with_bytes(often, candidates), length))
     runs = written(runs, "runs")
     begin = F.col("start") + F.col("first")
-    spans = pieces.join(runs, ["code", "content"]).where("least < node").select("digest", begin.alias("start"), (begin + F.col("n") + (length - 1)).alias("stop"))
+    spans = pieces.join(runs, ["code", "content"]).where("least < node").select("node", begin.alias("start"), (begin + F.col("n") + (length - 1)).alias("stop"))
     removed = _removed(candidates, spans)
 
     whole = F.col("own") > F.col("node")

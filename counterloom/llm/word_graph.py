@@ -43,8 +43,7 @@ def _word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _grams(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sums = A.prefix(words)
-    start = np.arange(max(len(words) - GRAM + 1, 0))
-    return sums, A.span_hash(sums, start, start + GRAM)
+    return sums, A.gram_hashes(sums, GRAM)
 
 
 def _anchors(texts: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +65,7 @@ def _known(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("own"), "digest", "_text").mapInArrow(counted, "doc_id long, own long, digest long, n_words long, sha string")
 
 
-def _paths(candidates: DataFrame, length: int, buckets: int) -> DataFrame:
+def _paths(candidates: DataFrame, length: int) -> DataFrame:
     """Maximal paths of neighbouring edges with one shared anchor: place in the document, number of edges and content hash."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,10 +78,7 @@ def _paths(candidates: DataFrame, length: int, buckets: int) -> DataFrame:
             least = A.sliding_min(hashes, length - GRAM + 1)[first]
             doc = A.owners(of, first)
             own = A.mix(np.arange(batch.num_rows, dtype=np.uint64) + np.uint64(1))
-            lists = batch.column("codes")
-            shared = np.asarray(lists.flatten()).view(np.uint64)
-            wanted = np.unique(A.mix(shared) ^ np.repeat(own, np.diff(np.asarray(lists.offsets))))
-            keep = A.member(A.mix(anchors.code(least, buckets)) ^ own[doc], wanted)
+            keep = anchors.is_wanted(least, doc, anchors.wanted(batch.column("codes"), own), own)
             first, least, doc = first[keep], least[keep], doc[keep]
             if not len(first):
                 continue
@@ -230,7 +226,7 @@ def remove_repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     named = codes.join(nodes.select("digest", "node"), "digest")
     candidates = written(first.join(named, ["digest", "node"]).dropDuplicates(["digest"]), "candidates")
 
-    paths = _paths(candidates, length, buckets)
+    paths = _paths(candidates, length)
     least = F.min(F.struct("node", "digest", "start", "edges")).alias("first")
     distinct = written(paths.groupBy("code", "content").agg(least, F.count("*").alias("times")).select("code", "content", "first.*", "times"), "paths")
     busy = distinct.groupBy("code").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("code")
