@@ -22,6 +22,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Write a table and read it back: later steps start from files that outlive any executor."""
     path = new_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()  # Spark's cleaner then drops the shuffle files of what is now a table
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
