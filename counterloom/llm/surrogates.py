@@ -39,8 +39,9 @@ SYLLABLES = {
 }
 # -------------------------------------------------------------------------------------------------------------------------
 
-SECRET_NAME = r"""(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|auth[_-]?key|access[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?)"""
-SECRET = SECRET_NAME + r"[0-9A-Za-z_+/=-]{8,128}"
+SECRET_NAME = r"""(?i:(?<![\p{L}\p{N}])(?:token|secret|password|passwd|pwd|api[_-]?key|auth[_-]?key|access[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?)"""
+#: The whole value whatever its length, with inner dots; dots that end it belong to the sentence.
+SECRET = SECRET_NAME + r"[0-9A-Za-z_+/=.-]{7,}[0-9A-Za-z_+/=-]"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,4}\.\p{L}{2,24}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 ADDRESS = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
@@ -78,15 +79,16 @@ def _chars(text: Column) -> Column:
 def _like(text: Column, stream: Column, hexadecimal: Column) -> Column:
     """Another character of the same kind and script for each letter and digit."""
 
-    def other(c: Column, i: Column) -> Column:
-        v = _byte(stream, i)
+    def other(c: Column, i: Column, s: Column) -> Column:
+        v = _byte(s, i)
         return (
             F.when(hexadecimal & c.rlike("^[0-9a-f]$"), _pick("0123456789abcdef", v)).when(c.rlike("^[0-9]$"), _pick("0123456789", v))
             .when(c.rlike(r"^\p{IsCyrillic}$"), _pick("абвгдежзиклмнопрстуфхцчшэюя", v)).when(c.rlike(r"^\p{IsGreek}$"), _pick("αβγδεζηθικλμνξοπρστυφχψω", v))
             .when(c.rlike(r"^\p{L}$"), _pick("abcdefghijklmnopqrstuvwxyz", v)).otherwise(c)
         )
 
-    return F.array_join(F.transform(_chars(text), other), "")
+    # the stream is bound once: a long secret would else hash itself for each of its characters
+    return F.transform(F.array(stream), lambda s: F.array_join(F.transform(_chars(text), lambda c, i: other(c, i, s)), ""))[0]
 
 
 def _luhn(digits: Column, check_missing: bool = False) -> Column:
@@ -159,14 +161,13 @@ def _rendered(raw: Column, kind: Column, surrogate: Column) -> Column:
     value = _value(raw, kind)
     before = F.substring(raw, F.lit(1), F.length(raw) - F.length(value))
 
-    def cased(c: Column, i: Column) -> Column:
-        new = F.substring(surrogate, i + 1, F.lit(1))
+    def cased(c: Column, new: Column) -> Column:
         return F.when(c.rlike(r"^\p{Lu}$"), F.upper(new)).otherwise(new)
 
     digits = _digits(surrogate)
     digit = lambda c, i: F.when(c.rlike("^[0-9]$"), F.substring(digits, F.length(_digits(F.substring(raw, F.lit(1), i + 1))), F.lit(1))).otherwise(c)
     by_digit = F.array_join(F.transform(_chars(raw), digit), "")
-    by_char = F.when(value == F.upper(value), F.upper(surrogate)).otherwise(F.array_join(F.transform(_chars(value), cased), ""))
+    by_char = F.when(value == F.upper(value), F.upper(surrogate)).otherwise(F.array_join(F.zip_with(_chars(value), _chars(surrogate), cased), ""))
     name = F.when(value == F.upper(value), F.upper(surrogate)).otherwise(surrogate)
     return (
         F.when(kind.isin("card", "social", "phone"), by_digit).when(kind == "address", surrogate).when(kind.startswith("person"), F.concat(before, name))

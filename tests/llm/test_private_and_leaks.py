@@ -61,6 +61,18 @@ def test_surrogates_stay_distinct_and_never_equal_an_entity(spark, monkeypatch):
     assert not {a for a, _ in new} & {f"123-45-67{i:02d}" for i in range(30)}
 
 
+def test_secrets_are_replaced_whole(spark):
+    r = np.random.default_rng(4)
+    values = ["".join(r.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/=-"), n)) + "Q7" for n in (127, 498, 4998)]
+    values += ["eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.SflKxwRJSMeKKF2QT4", "Zm9vYmFyMTIzNDU2"]
+    names = ("token", "client_secret", "access_token", "DB_PASSWORD", "my_api_key")
+    out = replaced(spark, [(i, f'{name} = "{v}". and {name}={v}. end') for i, (name, v) in enumerate(zip(names, values, strict=True))])
+    for i, (name, v) in enumerate(zip(names, values, strict=True)):
+        new = re.fullmatch(rf'{name} = "(.+)"\. and {name}=(.+)\. end', out[i])
+        assert new[1] == new[2] and len(new[1]) == len(v) and all((a == b) == (not a.isalnum()) or a.isalnum() == b.isalnum() for a, b in zip(v, new[1], strict=True))
+        assert not any(v[k : k + 8] == new[1][k : k + 8] for k in range(len(v) - 7)) and new[1].count(".") == v.count(".")
+
+
 def test_contamination_finds_exact_and_near_passages_only(spark):
     items = [(i, words(30 + i, 50 + i)) for i in range(8)] + [(90, None), (91, ""), (92, "three word item"), (93, items_twice := words(30, 50))]
     assert items_twice == items[0][1]
