@@ -183,14 +183,20 @@ def score(features: DataFrame, network: Network) -> DataFrame:
     return features.select("doc_id", "pooled").mapInArrow(scored, "doc_id long, score double")
 
 
+def labelled_sample(features: DataFrame, known: DataFrame, limit: int) -> DataFrame:
+    """(pooled, label) of at most ``limit`` ids of ``known``, chosen by a hash of the id: one row for each, however many repeat it."""
+    ids = hashed_sample(known.join(features.select("doc_id").distinct(), "doc_id"), ("doc_id", "label"), limit)
+    return features.join(ids, "doc_id").groupBy("doc_id", "label").agg(F.min("pooled").alias("pooled")).orderBy("doc_id").select("pooled", "label")
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFrame:
     """Probability of label 1 for every document: (doc_id, score). ``labels`` holds only rows to learn from.
 
-    The network learns from about ``sample`` labelled rows, chosen by a hash of the id; word vectors come from all documents.
+    The network learns from at most ``sample`` labelled ids, chosen by a hash of the id; word vectors come from all documents.
     """
     features = written(pooled(docs, word_vectors(docs)), "pooled")
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("label in (0, 1)").dropDuplicates(["doc_id"])
-    chosen = features.join(hashed_sample(known, "doc_id", sample), "doc_id").orderBy("doc_id", "pooled").select("pooled", "label").toPandas()
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
+    chosen = labelled_sample(features, known, sample).toPandas()
     width = len(features.first()["pooled"]) if chosen.empty and features.head(1) else len(chosen["pooled"].iloc[0]) if len(chosen) else 1
     rows = np.array(chosen["pooled"].tolist(), np.float64).reshape(-1, width)
     return score(features, fit_network(rows, chosen["label"].to_numpy()))

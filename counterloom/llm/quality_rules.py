@@ -160,8 +160,9 @@ def path_scores(forest: Forest, rows: np.ndarray) -> np.ndarray:
 
 
 def sample_rows(stats: DataFrame, limit: int) -> np.ndarray:
-    """About ``limit`` rows of features at most for growing trees, chosen by a hash of the id."""
-    chosen = hashed_sample(stats, "doc_id", limit).orderBy("doc_id", *FEATURES).select(*FEATURES).toPandas()
+    """At most ``limit`` distinct rows of features for growing trees, chosen by a hash of the features: neither null nor repeated ids
+    weigh in."""
+    chosen = hashed_sample(stats, FEATURES, limit).orderBy(*FEATURES).toPandas()
     return chosen.to_numpy(np.float64).reshape(-1, len(FEATURES))
 
 
@@ -202,7 +203,7 @@ def judge(docs: DataFrame, labels: DataFrame, sample: int = 8192, trees: int = 1
 
     A document fails the base rules with fewer than ``min_words`` words or with more than ``repeat_percent`` % of its words in
     repeated windows. The others are kept while their score is below the calibrated threshold. The trees grow on a
-    sample of about ``sample`` rows; all statistics, scores and the calibration cover every row.
+    sample of at most ``sample`` distinct rows; all statistics, scores and the calibration cover every row.
     """
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * repeat_percent)
     stats = written(rule_statistics(docs).withColumn("base_failed", failed), "rule-statistics")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,9 +27,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hashed_sample(rows: DataFrame, key: str, limit: int) -> DataFrame:
-    """About ``limit`` rows at most, those with the smallest hashes of ``key``: each task keeps its share, not ``limit`` rows."""
-    n = rows.count()
+def hashed_sample(rows: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    """At most ``limit`` of the distinct values of ``keys``, about those with the smallest hashes: each task keeps its share, not
+    ``limit`` rows. A value counts once however many rows repeat it."""
+    values = rows.select(*keys).distinct()
+    n = values.count()
     if n <= limit:
-        return rows
-    return rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * limit / n))
+        return values
+    place = F.pmod(F.xxhash64(*keys), F.lit(1 << 30))
+    return values.where(place < int((1 << 30) * limit / n)).orderBy(place, *keys).limit(limit)

@@ -64,6 +64,19 @@ def test_rules_without_labels_or_rows(spark):
     assert quality_rules.judge(table(spark, docs).limit(0), frame).count() == 0
 
 
+def test_samples_are_bounded_on_null_and_repeated_ids(spark):
+    # a third without id, a third of one id, the rest with an id each
+    stats = spark.range(3000).selectExpr("case id % 3 when 0 then null when 1 then 7L else id + 100 end as doc_id", *(f"pmod(xxhash64(id), 9973) / {i + 1}D as {f}" for i, f in enumerate(quality_rules.FEATURES)))
+    rows = quality_rules.sample_rows(stats, 300)
+    assert 200 < len(rows) <= 300
+    chosen = spark.createDataFrame([tuple(map(float, r)) for r in rows], list(quality_rules.FEATURES)).join(stats, list(quality_rules.FEATURES)).toPandas()["doc_id"]
+    assert 0.2 < chosen.isna().mean() < 0.47 and 0.2 < (chosen == 7).mean() < 0.47
+    features = stats.select("doc_id", F.array(F.col("stop_share").cast("float")).alias("pooled"))
+    known = spark.range(4000).selectExpr("id as doc_id", "cast(id % 2 as int) as label").where("doc_id = 7 or doc_id >= 100")
+    assert quality_model.labelled_sample(features, known, 5000).count() == 1001
+    assert 200 < quality_model.labelled_sample(features, known, 300).count() <= 300
+
+
 def test_path_lengths_mark_the_outlier():
     rows = np.random.default_rng(1).normal(0, 1, (300, 3))
     rows[7] = 30
