@@ -65,9 +65,10 @@ class _Items:
 @dataclass
 class _Block:
     by_length: dict[int, _Items]
-    hashes: np.ndarray  # sorted shingle hashes of the block's items, with their weights
+    known: np.ndarray  # sorted shingle hashes of the block's items
+    hashes: np.ndarray  # sorted hashes of the shingles that several items of any block have, with their weights
     weights: np.ndarray
-    other: int  # weight of a shingle that no item has
+    other: int  # weight of every other shingle
 
 
 def _weights(block: _Block, hashes: np.ndarray) -> np.ndarray:
@@ -89,17 +90,39 @@ def _index(prints: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray
     return out
 
 
-def _build(rows: list, radius: int) -> _Block:
+def _shared_shingles(items: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of all items with words, and the sorted hashes of the shingles that several of them have, with how many."""
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in A.slices(batches, "text"):
+            words, offsets = _normal_words(batch.column("text"))
+            size = np.diff(offsets)
+            held = [pa.nulls(int((size > 0).sum()), pa.int64())]  # a row without a shingle for each item with words
+            for k in range(1, SHINGLE + 1):
+                first, hashes = A.windows(words, offsets, k)
+                item = A.owners(offsets, first)
+                own = size[item] == k if k < SHINGLE else np.ones(len(item), bool)
+                once = np.unique(np.stack([item[own].astype(np.int64), hashes[own].view(np.int64)]), axis=1)[1]
+                held.append(pa.array(once, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(held)], ["shingle"])
+
+    counted = items.select("text").mapInArrow(shingles, "shingle long").groupBy("shingle").count().where("shingle is null or count > 1").toArrow()
+    shingle, count = counted["shingle"].combine_chunks(), counted["count"].to_numpy()
+    some = shingle.is_valid().to_numpy(zero_copy_only=False)
+    hashes = shingle.drop_null().to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return int(count[~some].sum()), hashes[order], count[some][order]
+
+
+def _build(rows: list, radius: int, n: int, shared: np.ndarray, df: np.ndarray) -> _Block:
     words, offsets = _normal_words(pa.array([r["text"] or "" for r in rows], pa.string()))
     sets: dict[int, list[tuple[int, np.ndarray]]] = {}
     for r, a, b in zip(rows, offsets[:-1], offsets[1:], strict=True):
         if b > a:
             sets.setdefault(int(b - a), []).append((r["item_id"], A.windows(words[a:b], np.array([0, b - a]), min(SHINGLE, b - a))[1]))
-    n = max(sum(map(len, sets.values())), 1)
-    df = Counter(h for held in sets.values() for _, s in held for h in set(s.tolist()))
-    hashes = np.array(sorted(df), np.uint64)
-    weigh = lambda d: max(1, round(16 * math.log(1 + n / d)))  # noqa: E731  rarer shingles weigh more
-    block = _Block({}, hashes, np.array([weigh(df[h]) for h in hashes.tolist()], np.int64), weigh(1))
+    known = np.unique(np.concatenate([s for held in sets.values() for _, s in held])) if sets else np.zeros(0, np.uint64)
+    weigh = lambda d: max(1, round(16 * math.log(1 + max(n, 1) / d)))  # noqa: E731  rarer shingles weigh more
+    block = _Block({}, known, shared, np.array([weigh(d) for d in df.tolist()], np.int64), weigh(1))
     for length, held in sets.items():
         k = len(held[0][1])
         flat = np.concatenate([s for _, s in held])
@@ -138,7 +161,7 @@ def _find(texts: pa.Array, block: _Block, radius: int, threshold: float) -> Iter
         k = min(SHINGLE, length)
         if k not in shingles:
             first, hashes = A.windows(words, of, k)
-            shingles[k] = hashes, A.doc_offsets(A.owners(of, first), len(texts)), np.flatnonzero(A.member(hashes, block.hashes))
+            shingles[k] = hashes, A.doc_offsets(A.owners(of, first), len(texts)), np.flatnonzero(A.member(hashes, block.known))
         hashes, offsets, hits = shingles[k]
         hits = hits[A.member(hashes[hits], items.known)]
         if not len(hits):
@@ -176,17 +199,19 @@ def _find(texts: pa.Array, block: _Block, radius: int, threshold: float) -> Iter
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.8, radius: int = 23, block_bytes: int = 16 << 20) -> DataFrame:
     """The best window of each document and item with weighted similarity of at least ``threshold``.
 
+    Shingles weigh by the number of all items that have them, whatever the blocks; those of several items are held with each block.
     ``radius`` 23 of 64 bits is 4.6 standard deviations above the expected distance at similarity 0.8. ``block_bytes`` bounds the
     item text that is broadcast at once; more items mean more passes over the documents.
     """
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / block_bytes))
+    weighing = _shared_shingles(items)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"))
     out = None
     for b in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).orderBy("item_id", "text").collect()
-        held = docs.sparkSession.sparkContext.broadcast(_build(rows, radius))
+        held = docs.sparkSession.sparkContext.broadcast(_build(rows, radius, *weighing))
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in A.slices(batches, "_text"):

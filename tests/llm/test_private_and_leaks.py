@@ -94,6 +94,20 @@ def test_contamination_finds_exact_and_near_passages_only(spark):
     assert decontaminate.contaminated(table(spark, rows).limit(0), bench).count() == 0
 
 
+def test_near_passages_do_not_depend_on_blocks(spark):
+    common = words(20, 800)  # in every item, so that its shingles weigh less
+    items = [(i, f"{words(30, 810 + i)} {common} {words(30, 850 + i)}") for i in range(12)]
+    rows = []
+    for i, text in items:
+        for at in (3, 35, 74):
+            near = text.split(" ")
+            near[at] = "changed"
+            rows.append((100 * i + at, f"{words(20, 900 + i)} {' '.join(near)} {words(20, 950 + i)} {common} end"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, many = ({tuple(r) for r in decontaminate.contaminated(table(spark, rows), bench, block_bytes=b).collect()} for b in (16 << 20, 1500))
+    assert one == many and len(one) >= 30 and sum(0.8 <= r[2] < 0.95 for r in one) >= 12
+
+
 def test_blocks_find_all_fingerprints_within_the_radius():
     rng = np.random.default_rng(6)
     prints = rng.integers(0, 2**63, 40).astype(np.uint64)
