@@ -1,6 +1,7 @@
 """A corpus pipeline of the operators in ``counterloom.llm``: each stage reads what the one before it wrote.
 
-Rows with a null id are judged by no stage that decides by id: they stay until packing. Extra columns of ``documents`` are carried along.
+Every stage decides by the text of a row, whatever its id: rows without one are filtered like others, and of rows that share an id
+each stands for its own text. Extra columns of ``documents`` are carried along.
 """
 
 from __future__ import annotations
@@ -10,27 +11,35 @@ from pyspark.sql import functions as F
 
 from counterloom.llm import chosen_path, decontaminate, packing, quality_model, surrogates
 from counterloom.llm.queries import SURROGATE_KEY, held_out, tokenizer
-from counterloom.llm.store import written
+from counterloom.llm.store import text_digest, written
+
+
+def without_texts(docs: DataFrame, digests: DataFrame) -> DataFrame:
+    """The rows whose text has none of the ``digests``."""
+    out = digests.select(F.col("digest").alias("_digest")).distinct()
+    return docs.join(out, text_digest(F.col("text")) == F.col("_digest"), "left_anti").select(docs.columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality classifier rejects: a score below 0.3."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())
-    rejected = quality_model.quality_scores(docs, labels).where("score < 0.3").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    rejected = quality_model.quality_scores(docs, labels, digests=True).where("score < 0.3").select("digest")
+    return without_texts(docs, rejected)
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies keep the document with the smallest id."""
-    classes = chosen_path.similar_documents(docs).where("doc_id = class_id").select("doc_id").distinct()
-    first = docs.join(classes, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """Of each class of near copies keep one row: that with the smallest id, a row without id only where none has one; of rows that
+    share it the one whose text has the smallest digest. The join sees a number of each row in place of its id."""
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    classes = chosen_path.similar_documents(rows.select("_row", "text"), doc_id="_row").select(F.col("doc_id").alias("_row"), "class_id")
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), text_digest(F.col("text")), F.col("_row"))
+    first = rows.select("_row", rank.alias("_rank")).join(classes, "_row").groupBy("class_id").agg(F.min("_rank")["_row"].alias("_row"))
+    return rows.join(first.select("_row"), "_row", "left_semi").select(docs.columns)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a benchmark item."""
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return decontaminate.clean(docs, found).select(docs.columns)
+    return without_texts(docs, decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), digests=True))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

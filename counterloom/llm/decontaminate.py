@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
+from .store import text_digest
 
 SHINGLE = 5
 BLOCKS, BLOCK_BITS = 8, 8
@@ -33,7 +34,7 @@ BLOCKS, BLOCK_BITS = 8, 8
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
 
-SCHEMA = "doc_id long, item_id long, similarity double, start_word long, n_words long, hamming int"
+SCHEMA = "doc_id long, digest string, item_id long, similarity double, start_word long, n_words long, hamming int"
 
 
 def _normal_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -196,10 +197,10 @@ def _find(texts: pa.Array, block: _Block, radius: int, threshold: float) -> Iter
         yield d, i, -score, at, n, distance
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.8, radius: int = 23, block_bytes: int = 16 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.8, radius: int = 23, block_bytes: int = 16 << 20, digests: bool = False) -> DataFrame:
     """The best window of each document and item with weighted similarity of at least ``threshold``.
 
-    Shingles weigh by the number of all items that have them, whatever the blocks; those of several items are held with each block.
+    ``digest``, the SHA-256 of the document's text, is kept where ``digests`` is set. Shingles weigh by the number of all items that have them, whatever the blocks; those of several items are held with each block.
     ``radius`` 23 of 64 bits is 4.6 standard deviations above the expected distance at similarity 0.8. ``block_bytes`` bounds the
     item text that is broadcast at once; more items mean more passes over the documents.
     """
@@ -207,7 +208,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / block_bytes))
     weighing = _shared_shingles(items)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_digest(F.col(text)).alias("digest"), F.col(text).alias("_text"))
     out = None
     for b in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).orderBy("item_id", "text").collect()
@@ -220,11 +221,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                 if found:
                     d, *rest = (list(x) for x in zip(*found, strict=True))
                     kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int32())
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(d)), *(pa.array(x, t) for x, t in zip(rest, kinds, strict=True))], ["doc_id", "item_id", "similarity", "start_word", "n_words", "hamming"])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(d)), batch.column("digest").take(pa.array(d)), *(pa.array(x, t) for x, t in zip(rest, kinds, strict=True))], ["doc_id", "digest", "item_id", "similarity", "start_word", "n_words", "hamming"])
 
         found = docs.mapInArrow(search, SCHEMA)
         out = found if out is None else out.unionByName(found)
-    return out
+    return out if digests else out.drop("digest")
 
 
 def clean(docs: DataFrame, matches: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .store import hashed_sample, written
+from .store import hashed_sample, text_digest, written
 
 #: Class of each byte: white space, letter (with all non-ASCII), digit, other.
 _KIND = np.full(256, 3, np.int8)
@@ -89,7 +89,7 @@ def word_vectors(docs: DataFrame, text: str = "text", vocabulary: int = 2048, wi
 
 
 def pooled(docs: DataFrame, vectors: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Mean and spread of the token vectors of every whole text, and the logarithm of its length: (doc_id, pooled)."""
+    """Mean and spread of the token vectors of every whole text, and the logarithm of its length: (doc_id, digest, pooled)."""
     held = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,9 +110,10 @@ def pooled(docs: DataFrame, vectors: np.ndarray, doc_id: str = "doc_id", text: s
             spread = np.sqrt(np.maximum(mean[:, width:] - mean[:, :width] ** 2, 0))
             rows = np.concatenate([mean[:, :width], spread, np.log1p(n)], axis=1).astype(np.float32)
             values = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), values], ["doc_id", "pooled"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), values], ["doc_id", "digest", "pooled"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text")).mapInArrow(pool, "doc_id long, pooled array<float>")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_digest(F.col(text)).alias("digest"), F.col(text).alias("_text"))
+    return rows.mapInArrow(pool, "doc_id long, digest string, pooled array<float>")
 
 
 @dataclass(frozen=True)
@@ -171,16 +172,16 @@ def fit_network(rows: np.ndarray, labels: np.ndarray, hidden: int = 24, epochs:
 
 
 def score(features: DataFrame, network: Network) -> DataFrame:
-    """Add the column ``score`` to rows of (doc_id, pooled)."""
+    """Add the column ``score`` to rows of (doc_id, digest, pooled)."""
     held = features.sparkSession.sparkContext.broadcast(network)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 rows = batch.column("pooled").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.round(held.value.probabilities(rows), 9))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(np.round(held.value.probabilities(rows), 9))], ["doc_id", "digest", "score"])
 
-    return features.select("doc_id", "pooled").mapInArrow(scored, "doc_id long, score double")
+    return features.select("doc_id", "digest", "pooled").mapInArrow(scored, "doc_id long, digest string, score double")
 
 
 def labelled_sample(features: DataFrame, known: DataFrame, limit: int) -> DataFrame:
@@ -189,8 +190,9 @@ def labelled_sample(features: DataFrame, known: DataFrame, limit: int) -> DataFr
     return features.join(ids, "doc_id").groupBy("doc_id", "label").agg(F.min("pooled").alias("pooled")).orderBy("doc_id").select("pooled", "label")
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFrame:
-    """Probability of label 1 for every document: (doc_id, score). ``labels`` holds only rows to learn from.
+def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = 20_000, digests: bool = False) -> DataFrame:
+    """Probability of label 1 for every document: (doc_id, score). ``labels`` holds only rows to learn from. ``digest``, the SHA-256 of
+    the text, is kept where ``digests`` is set.
 
     The network learns from at most ``sample`` labelled ids, chosen by a hash of the id; word vectors come from all documents.
     """
@@ -199,4 +201,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = 20_000) ->
     chosen = labelled_sample(features, known, sample).toPandas()
     width = len(features.first()["pooled"]) if chosen.empty and features.head(1) else len(chosen["pooled"].iloc[0]) if len(chosen) else 1
     rows = np.array(chosen["pooled"].tolist(), np.float64).reshape(-1, width)
-    return score(features, fit_network(rows, chosen["label"].to_numpy()))
+    scores = score(features, fit_network(rows, chosen["label"].to_numpy()))
+    return scores if digests else scores.drop("digest")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_digest(text: Column) -> Column:
+    """SHA-256 of a text, never null: what texts decide, they decide for all rows that hold them, with any id or none."""
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
 def hashed_sample(rows: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     """At most ``limit`` of the distinct values of ``keys``, about those with the smallest hashes: each task keeps its share, not
     ``limit`` rows. A value counts once however many rows repeat it."""

@@ -46,6 +46,29 @@ def test_stages_do_their_part(spark, data):
     assert P.run(spark, data).count() == packed.count()
 
 
+def test_stages_decide_by_row(spark, data):
+    columns = spark.read.parquet(f"{data}/documents.parquet").columns
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    bad = [texts[i] for i, q in labels.items() if q == 0][:5]
+    clean = [words(60, 9100 + i) for i in range(5)]
+    same = [(8000 + i, t) for i, t in enumerate(clean)] + [(8000 + i, t) for i, t in enumerate(bad)] + [(None, t) for t in bad] + [(None, words(60, 9200))]
+    docs = table(spark, [(i, t) for i, t in texts.items() if i is not None] + same).select(columns)
+    left = [(r["doc_id"], r["text"]) for r in P.keep_quality(spark, docs, data).collect()]
+    assert not [x for x in left if x[1] in bad] or sum(x[1] in bad for x in left) < 0.2 * 3 * len(bad)
+    assert all((8000 + i, t) in left for i, t in enumerate(clean)) and (None, words(60, 9200)) in left
+
+    one, two, three = (words(60, 9300 + i) for i in range(3))
+    rows = [(5, one), (5, two), (None, one), (None, three), (None, three), (7, two), (4, two + " end"), (5, one)]
+    left = [(r["doc_id"], r["text"]) for r in P.keep_first_copies(spark, table(spark, rows), data).collect()]
+    assert sorted(left, key=str) == sorted([(5, one), (4, two + " end"), (None, three)], key=str)
+
+    item = spark.read.parquet(f"{data}/benchmark.parquet").first()["text"]
+    rows = [(5, one), (5, f"{one} {item}"), (None, f"{two} {item}"), (None, two), (6, None)]
+    left = [(r["doc_id"], r["text"]) for r in P.keep_uncontaminated(spark, table(spark, rows), data).collect()]
+    assert sorted(left, key=str) == sorted([(5, one), (None, two), (6, None)], key=str)
+
+
 def test_entry_has_all_queries():
     names = entry.queries()
     assert {n.split("_")[0] for n in Q.QUERIES} == {f"op{i}" for i in range(1, 11)} and set(Q.QUERIES) < set(names) and "pipeline" in names
