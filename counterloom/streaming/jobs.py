@@ -169,17 +169,21 @@ def stream_export(
 
 
 def _release(spark: SparkSession, schema: T.StructType, to_points, ts: str, out: str, held: str, log: str, bound: Column | None, fmt: str) -> None:
-    """Write the held samples after the last release up to ``bound``. The output folder is named by the last release, so that a
-    run that broke off before it was logged is repeated in place."""
-    since = F.lit("0001-01-01 00:00:00").cast("timestamp")
-    last = _read_if_there(spark, log, "up_to timestamp").agg(F.max("up_to")).first()[0]
-    rows = _read_if_there(spark, held, schema).where(F.col(ts) > (since if last is None else F.lit(last)))
-    rows = rows if bound is None else rows.where(F.col(ts) <= bound)
-    name = "first" if last is None else f"{last:%Y%m%d%H%M%S%f}"
-    if not rows.isEmpty():
-        to_points(rows).write.mode("overwrite").format(fmt).save(f"{out}/after={name}")
+    """Write the held samples up to ``bound`` that no release has written. The log tells for each held batch up to when it was
+    released; batches held later have no entry. The output folder is named by the number of the release, so that a run
+    that broke off before it was logged is repeated in place."""
+    log_schema = "release long, _batch long, up_to timestamp"
+    done = _read_if_there(spark, log, log_schema)
+    number = (done.agg(F.max("release")).first()[0] or 0) + 1
+    rows = _read_if_there(spark, held, schema).withColumn("_batch", F.regexp_extract(F.input_file_name(), r".*/batch=(\d+)/", 1).cast("long"))
+    batches = [r["_batch"] for r in rows.select("_batch").distinct().collect()]
+    if not batches:
+        return
+    left = rows.join(done.groupBy("_batch").agg(F.max("up_to").alias("_up_to")), "_batch", "left").where(F.col("_up_to").isNull() | (F.col(ts) > F.col("_up_to")))
+    left = left if bound is None else left.where(F.col(ts) <= bound)
+    to_points(left.select(*schema.names)).write.mode("overwrite").format(fmt).save(f"{out}/after={number}")
     end = F.lit("9999-12-31 00:00:00").cast("timestamp") if bound is None else bound
-    spark.range(1).select(end.alias("up_to")).write.mode("append").parquet(log)
+    write_batch(spark.createDataFrame([(number, b) for b in batches], "release long, _batch long").withColumn("up_to", end), log, number)
 
 
 def _read_if_there(spark: SparkSession, path: str, schema) -> DataFrame:

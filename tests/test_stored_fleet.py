@@ -112,3 +112,20 @@ def test_export_in_two_runs_loses_nothing(spark, tmp_path):
     last = run("2024-01-03 00:00:00")
     assert last.count() == 960 and last.distinct().count() == 960
     assert run("2024-01-04 00:00:00").count() == 960
+
+
+@pytest.mark.parametrize("bounds", [(None, "2024-01-01 02:00:00", None), ("2024-01-01 03:00:00", "2024-01-01 01:00:00", "2024-01-01 04:00:00", "2024-01-09"), (None, "2024-01-01 01:00:00", "2024-01-01 02:00:00", "2024-01-09")])
+def test_export_with_bounds_in_any_order(spark, tmp_path, bounds):
+    from datetime import datetime, timedelta
+
+    from counterloom.streaming import jobs as J
+
+    df = spark.createDataFrame([(k, datetime(2024, 1, 1) + timedelta(minutes=m)) for k in range(len(bounds)) for m in range(0, 300, 10)], "run int, ts timestamp")
+    for k, up_to in enumerate(bounds):  # every run finds new files, of the same times
+        df.where(f"run = {k}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        source = J.read_samples(spark, f"{tmp_path}/in", df.schema)
+        J.stream_export(source, lambda b: b, "ts", f"{tmp_path}/out", f"{tmp_path}/work", up_to=up_to, fmt="parquet").awaitTermination()
+        top = datetime.fromisoformat(up_to or "9999-01-01")
+        got = sorted(map(tuple, spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/out").collect()))
+        assert len(set(got)) == len(got) and {r for r in map(tuple, df.collect()) if r[0] <= k and r[1] <= top} <= set(got)
+    assert got == sorted(map(tuple, df.collect()))
