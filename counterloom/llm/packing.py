@@ -167,21 +167,39 @@ def differencing(lengths: list[int], windows: int) -> list[list[int]]:
     return out
 
 
-def balanced(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Near-equal windows of at most ``capacity``; one more window whenever differencing exceeds it."""
-    windows = max(1, -(-sum(lengths) // capacity))
+def joined(lengths: list[int], limit: int) -> list[list[int]]:
+    """Indices of items of up to ``limit``, made of the shortest first; a longer number stays alone."""
+    out: list[list[int]] = []
+    room = -1
+    for i in sorted(range(len(lengths)), key=lengths.__getitem__):
+        if lengths[i] > room:
+            out.append([])
+            room = limit
+        out[-1].append(i)
+        room -= lengths[i]
+    return out
+
+
+def balanced(lengths: list[int], capacity: int, piece: int = 512, most: int = 4096) -> list[list[int]]:
+    """Near-equal windows of at most ``capacity``; one more window whenever differencing exceeds it.
+
+    More than ``most`` numbers are joined to items of up to ``piece`` before, which bounds differencing's memory.
+    """
+    items = joined(lengths, min(piece, capacity)) if len(lengths) > most else [[i] for i in range(len(lengths))]
+    sums = [sum(lengths[i] for i in item) for item in items]
+    windows = max(1, -(-sum(sums) // capacity))
     while True:
-        got = differencing(lengths, windows)
-        if max(sum(lengths[i] for i in w) for w in got) <= capacity:
-            return [w for w in got if w]
+        got = differencing(sums, windows)
+        if max(sum(sums[i] for i in w) for w in got) <= capacity:
+            return [[i for item in w for i in items[item]] for w in got if w]
         windows += 1
 
 
-def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 1, group_tokens: int = 256 * 2048, piece: int = 512) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 1, group_tokens: int = 256 * 2048, piece: int = 512, group_rests: int = 1 << 16) -> DataFrame:
     """Pieces of all documents with their places: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its token ids and ``end_id``. Rests are cut into pieces of at most ``piece`` tokens, of which about four
-    and more meet in a window, and gathered until they hold ``group_tokens``; then they are dealt out. ``tokenizer_path`` names the tokenizer's file, present on every executor.
+    and more meet in a window, and gathered until they hold ``group_tokens`` or are ``group_rests``; then they are dealt out. ``tokenizer_path`` names the tokenizer's file, present on every executor.
     """
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +211,7 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
         def dealt(rows: list[tuple]) -> list[tuple]:
             nonlocal sequence
             out = []
-            for window in balanced([r[2] for r in rows], capacity):
+            for window in balanced([r[2] for r in rows], capacity, piece):
                 offset = 0
                 for i in window:
                     out.append((*rows[i], sequence, offset))
@@ -220,7 +238,7 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
                     else:
                         waiting.append(row)
                         gathered += len(part)
-                if gathered >= group_tokens:
+                if gathered >= group_tokens or len(waiting) >= group_rests:
                     out += dealt(waiting)
                     waiting, gathered = [], 0
             if out:

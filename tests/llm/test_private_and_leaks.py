@@ -1,6 +1,7 @@
 """Surrogates, decontamination, packing, archive and pipeline."""
 
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -155,6 +156,23 @@ def test_differencing_deals_all_within_capacity(lengths):
     assert abs(sum(lengths[i] for i in two[0]) - sum(lengths[i] for i in two[1])) <= max(lengths)
 
 
+def test_many_short_rests_take_bounded_memory():
+    lengths = [1] * 100_000 + [3] * 5_000 + [512] * 40
+    tracemalloc.start()
+    windows = packing.balanced(lengths, 2048)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6 and sorted(i for w in windows for i in w) == list(range(len(lengths)))
+    full = [sum(lengths[i] for i in w) for w in windows]
+    assert max(full) <= 2048 and len(full) <= -(-sum(lengths) // 2048) + 1
+
+
+def test_short_texts_are_packed_whole(spark):
+    got = packing.pack(spark.range(70_000).selectExpr("id as doc_id", "if(id % 2 = 0, null, 'a') as text").coalesce(1), tokenizer("byte_bpe_50k.json"))
+    assert got.count() == got.select("doc_id").distinct().count() == 70_000
+    assert got.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0 and got.select("sequence_id").distinct().count() <= 105_000 // 2048 + 3
+
+
 def test_archive_round_trip(spark, tmp_path):
     long, tail = "<p>é</p>" * 40, "WARC/1.1\r\nContent-Length: 5\r\n\r\n" * 5
     pages = [(1, "http://a/1", long), (5, "http://a/5", long), (3, None, long), (2, "http://a/2\r\nX: y", None), (4, "http://a/4", ""), (6, "u", "short"), (7, "u", "short"), (8, "u", tail), (9, "u", tail + "x" * 200_000), (1, "http://a/1", long)]
