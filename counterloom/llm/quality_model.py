@@ -1,7 +1,7 @@
 """Quality classifier on random-indexing word vectors.
 
-``word_vectors`` gives every token of a hashed vocabulary a random sparse index vector and sums up, over all documents, the index
-vectors of its neighbours. A document is pooled to the mean and spread of its tokens' vectors. A two-layer
+``word_vectors`` gives every word a random sparse index vector, drawn from its hash, and sums up, over all documents, the index
+vectors of its neighbours. There is no vocabulary: every distinct word has a vector of its own. A document is pooled to the mean and spread of its tokens' vectors. A two-layer
 network learns from pooled labelled documents; a temperature fitted on labelled rows that it did not see makes its outputs probabilities.
 
 Tokens are runs of letters, of digits and of other characters between white space, in their own case. Null and empty texts have
@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +30,8 @@ _KIND[65:91] = _KIND[97:123] = _KIND[128:] = 1
 _KIND[48:58] = 2
 
 
-def _tokens(texts: pa.Array, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
-    """Vocabulary number and document of every token."""
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hash, which stands for the word, and document of every token."""
     data, offsets = A.text_bytes(texts)
     kind = _KIND[data]
     fresh = np.ones(len(data), bool)
@@ -40,80 +41,171 @@ def _tokens(texts: pa.Array, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
     start, end = edge[:-1], edge[1:]
     inside = kind[start] > 0 if len(start) else np.zeros(0, bool)
     start, end = start[inside], end[inside]
-    number = A.span_hash(A.byte_prefix(data), start, end) % np.uint64(vocabulary)
-    return number.astype(np.int64), A.owners(offsets, start)
+    return A.span_hash(A.byte_prefix(data), start, end), A.owners(offsets, start)
 
 
-def index_vectors(vocabulary: int, width: int, seed: int, ones: int = 4) -> np.ndarray:
-    """Random sparse vectors with ``ones`` entries of +1 or -1 each."""
-    rng = np.random.default_rng(seed)
-    out = np.zeros((vocabulary, width), np.float32)
-    for _ in range(ones):
-        out[np.arange(vocabulary), rng.integers(0, width, vocabulary)] += rng.choice([-1.0, 1.0], vocabulary)
+def index_vectors(words: np.ndarray, width: int, seed: int, ones: int = 4) -> np.ndarray:
+    """Sparse vector of each word, drawn by seeded hashes of the word itself: ``ones`` entries of +1 or -1 each."""
+    out = np.zeros((len(words), width), np.int32)
+    for i in range(ones):
+        h = A.seeded(words, seed * 31 + i)
+        out[np.arange(len(words)), (h >> np.uint64(1)) % np.uint64(width)] += np.where(h & np.uint64(1), 1, -1).astype(np.int32)
     return out
 
 
-def word_vectors(docs: DataFrame, text: str = "text", vocabulary: int = 2048, width: int = 24, reach: int = 2, seed: int = 11) -> np.ndarray:
-    """Context vectors (vocabulary x width) over all documents, of length 1 and without their common direction.
+def _vector(column: pa.Array, width: int, kind: type) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(kind)
+
+
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
+
+
+def word_vectors(docs: DataFrame, text: str = "text", width: int = 24, reach: int = 2, seed: int = 11) -> DataFrame:
+    """Context vectors of all words over all documents, of length 1 and without their common direction: (word, vector).
 
-    Each task counts neighbours in a vocabulary x vocabulary table and emits one vector per token; these are summed before and
-    after one small shuffle. The result has a fixed size whatever the input.
+    A word is its 64-bit hash. Tasks sum the contexts of their words for each slice of text; these are summed by word. Only the common
+    direction goes through the driver.
     """
-    index = index_vectors(vocabulary, width, seed)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, seen = np.zeros(vocabulary * vocabulary, np.int64), np.zeros(vocabulary, np.int64)
         for batch in A.slices(batches, "_text"):
-            number, doc = _tokens(batch.column("_text"), vocabulary)
-            seen += np.bincount(number, minlength=vocabulary)
-            for step in range(1, reach + 1):
-                same = doc[step:] == doc[:-step]
-                pairs += np.bincount(number[:-step][same] * vocabulary + number[step:][same], minlength=vocabulary * vocabulary)
-        near = pairs.reshape(vocabulary, vocabulary)
-        vectors = (near + near.T) @ index.astype(np.int64)
-        held = np.flatnonzero(seen)
-        values = pa.FixedSizeListArray.from_arrays(pa.array(vectors[held].ravel()), width) if len(held) else pa.array([], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), values.cast(pa.list_(pa.int64()))], ["word", "vector"])
-
-    parts = docs.select(F.col(text).alias("_text")).mapInArrow(contexts, "word long, vector array<long>")
-    rows = parts.groupBy("word").agg(*(F.sum(F.col("vector")[i]).alias(f"v{i}") for i in range(width))).toPandas()
-    out = np.zeros((vocabulary, width))
-    out[rows["word"].to_numpy(np.int64)] = rows.drop(columns="word").to_numpy(np.float64)
-    used = np.zeros(vocabulary, bool)
-    used[rows["word"].to_numpy(np.int64)] = True
-    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    out = unit(out)
-    if used.any():
-        out[used] -= out[used].mean(axis=0)
-    return unit(out).astype(np.float32)
-
-
-def pooled(docs: DataFrame, vectors: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Mean and spread of the token vectors of every whole text, and the logarithm of its length: (doc_id, digest, pooled)."""
-    held = docs.sparkSession.sparkContext.broadcast(vectors)
+            words, doc = _tokens(batch.column("_text"))
+            held, number = np.unique(words, return_inverse=True)
+            index = index_vectors(held, width, seed)
+            sums = np.zeros((len(held), width), np.int64)
+            for a in range(0, len(words), 1 << 18):  # bounds the rows of vectors
+                b = min(a + (1 << 18), len(words))
+                low, high = max(a - reach, 0), min(b + reach, len(words))
+                own, of = index[number[low:high]], doc[low:high]
+                near = np.zeros_like(own)
+                for step in range(1, reach + 1):
+                    same = (of[step:] == of[:-step])[:, None]
+                    near[:-step] += own[step:] * same
+                    near[step:] += own[:-step] * same
+                order = np.argsort(number[a:b], kind="stable")
+                if len(order):
+                    ordered = number[a:b][order]
+                    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+                    sums[ordered[first]] += np.add.reduceat(near[a - low : b - low][order].astype(np.int64), first, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(held.view(np.int64)), *(pa.array(c) for c in np.ascontiguousarray(sums.T))], ["word", *columns])
+
+    columns = [f"v{i}" for i in range(width)]
+    parts = docs.select(F.col(text).alias("_text")).mapInArrow(contexts, "word long, " + ", ".join(f"{c} long" for c in columns))
+    summed = parts.groupBy("word").agg(*(F.sum(c).alias(c) for c in columns))
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+    def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.stack([batch.column(c).to_numpy() for c in columns], axis=1).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), _lists(unit(rows).astype(np.float32))], ["word", "vector"])
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width + 1, np.int64)  # whole numbers, whose sum does not depend on the order
+        for batch in batches:
+            rows = _vector(batch.column("vector"), width, np.float64)
+            total += np.append(np.rint(rows * 2**20).astype(np.int64).sum(axis=0), len(rows))
+        yield pa.RecordBatch.from_arrays([_lists(total[None])], ["total"])
+
+    words = written(summed.mapInArrow(scaled, "word long, vector array<float>"), "words")
+    got = words.select("vector").mapInArrow(totals, "total array<long>").agg(*(F.sum(F.col("total")[i]) for i in range(width + 1))).first()
+    total = np.array([x or 0 for x in got], np.float64)
+    common = total[:width] / 2**20 / max(total[width], 1)
+
+    def centred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = unit(_vector(batch.column("vector"), width, np.float64) - common)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), _lists(rows.astype(np.float32))], ["word", "vector"])
+
+    return words.mapInArrow(centred, "word long, vector array<float>")
+
+
+def pooled(docs: DataFrame, vectors: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 24, group_bytes: int = 32 << 20) -> DataFrame:
+    """Mean and spread of the token vectors of every whole text, and the logarithm of its length: (doc_id, digest, pooled).
+
+    Texts are taken in groups of about ``group_bytes``. A group has one row for each of its words, with the documents that hold it and
+    how often; joined to the words' vectors, the rows of a group come together again and are summed by document. A frequent word has a
+    row for each group, not for each document.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = TaskContext.get().partitionId() << 32
+        held: list[tuple] = []
+        ids: list[pa.Array] = []
+        size = documents = 0
+
+        def table() -> Iterator[pa.RecordBatch]:
+            words, doc, count = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(words, kind="stable")
+            words, doc, count = words[order], doc[order], count[order]
+            first = np.flatnonzero(np.append(True, words[1:] != words[:-1])) if len(words) else np.zeros(0, np.int64)
+            ends = np.append(first, len(words)).astype(np.int32)
+            for a in range(0, len(first), 20_000):
+                b = min(a + 20_000, len(first))
+                own, at = slice(ends[a], ends[b]), pa.array(ends[a : b + 1] - ends[a])
+                lists = [pa.ListArray.from_arrays(at, pa.array(x[own].astype(np.int32))) for x in (doc, count)]
+                yield row(b - a, group=pa.array(np.full(b - a, group)), word=pa.array(words[first[a:b]].view(np.int64)), docs=lists[0], counts=lists[1])
+            done = 0
+            for part in ids:
+                n = part.num_rows
+                yield row(n, group=pa.array(np.full(n, group)), at=pa.array(np.arange(done, done + n, dtype=np.int32)), doc_id=part.column("doc_id"), digest=part.column("digest"))
+                done += n
+
+        def row(n: int, **given: pa.Array) -> pa.RecordBatch:
+            kinds = {"group": pa.int64(), "word": pa.int64(), "docs": pa.list_(pa.int32()), "counts": pa.list_(pa.int32()), "at": pa.int32(), "doc_id": pa.int64(), "digest": pa.string()}
+            return pa.RecordBatch.from_arrays([given.get(c, pa.nulls(n, t)) for c, t in kinds.items()], list(kinds))
 
-    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # whole numbers, whose sums do not depend on the order of a product
-        both = np.rint(np.concatenate([held.value, held.value**2], axis=1).astype(np.float64) * 4096)
-        vocabulary, width = held.value.shape
         for batch in A.slices(batches, "_text"):
-            number, doc = _tokens(batch.column("_text"), vocabulary)
-            of = A.doc_offsets(doc, batch.num_rows)
-            sums = np.zeros((batch.num_rows, 2 * width))
-            for a in range(0, batch.num_rows, 512):  # bounds the table of counts
-                b = min(a + 512, batch.num_rows)
-                own = slice(of[a], of[b])
-                counts = np.bincount((doc[own] - a) * vocabulary + number[own], minlength=(b - a) * vocabulary)
-                sums[a:b] = counts.reshape(b - a, vocabulary).astype(np.float64) @ both
-            n = np.diff(of)[:, None]
-            mean = sums / (4096 * np.maximum(n, 1))
+            words, doc = _tokens(batch.column("_text"))
+            distinct, number = np.unique(words, return_inverse=True)
+            pairs, count = np.unique(number * batch.num_rows + doc, return_counts=True)
+            held.append((distinct[pairs // batch.num_rows], (pairs % batch.num_rows + documents).astype(np.int32), count.astype(np.int32)))
+            ids.append(batch.select(["doc_id", "digest"]))
+            documents += batch.num_rows
+            size += batch.column("_text").nbytes
+            if size >= group_bytes or documents >= 20_000:
+                yield from table()
+                group, held, ids, size, documents = group + 1, [], [], 0, 0
+        if documents:
+            yield from table()
+
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in A.grouped(batches, "group"):
+            known = rows.filter(rows["at"].is_valid()).sort_by("at")
+            n = known.num_rows
+            sums, tokens = np.zeros((n, 2 * width)), np.zeros(n, np.int64)
+            for batch in rows.filter(rows["at"].is_null()).to_batches(4096):
+                vector = _vector(batch.column("vector"), width, np.float64)
+                # whole numbers, whose sums do not depend on the order
+                both = np.rint(np.concatenate([vector, vector**2], axis=1) * 4096)
+                size = np.diff(batch.column("docs").offsets.to_numpy())
+                doc, count = (batch.column(c).flatten().to_numpy() for c in ("docs", "counts"))
+                for a in range(0, len(doc), 1 << 16):  # bounds the rows of vectors
+                    own = slice(a, a + (1 << 16))
+                    part = doc[own]
+                    order = np.argsort(part, kind="stable")
+                    first = np.flatnonzero(np.append(True, np.diff(part[order]) != 0))
+                    times = both[np.repeat(np.arange(len(size)), size)[own][order]] * count[own][order][:, None]
+                    sums[part[order][first]] += np.add.reduceat(times, first, axis=0)
+                tokens += np.bincount(doc, count, n).astype(np.int64)
+            mean = sums / (4096 * np.maximum(tokens, 1)[:, None])
             spread = np.sqrt(np.maximum(mean[:, width:] - mean[:, :width] ** 2, 0))
-            rows = np.concatenate([mean[:, :width], spread, np.log1p(n)], axis=1).astype(np.float32)
-            values = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), values], ["doc_id", "digest", "pooled"])
+            got = np.concatenate([mean[:, :width], spread, np.log1p(tokens)[:, None]], axis=1).astype(np.float32)
+            for a in range(0, n, 10_000):
+                part = known.slice(a, 10_000).combine_chunks()
+                yield pa.RecordBatch.from_arrays([part["doc_id"].combine_chunks(), part["digest"].combine_chunks(), _lists(got[a : a + 10_000])], ["doc_id", "digest", "pooled"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_digest(F.col(text)).alias("digest"), F.col(text).alias("_text"))
-    return rows.mapInArrow(pool, "doc_id long, digest string, pooled array<float>")
+    schema = "group long, word long, docs array<int>, counts array<int>, at int, doc_id long, digest string"
+    parts = written(rows.mapInArrow(counted, schema), "words-of-groups")
+    found = parts.where("word is not null").select("group", "word", "docs", "counts").join(vectors, "word")
+    empty = {"docs": "array<int>", "counts": "array<int>", "vector": "array<float>"}
+    names = ["group", "docs", "counts", "vector", "at", "doc_id", "digest"]
+    found = found.withColumns({"at": F.lit(None).cast("int"), "doc_id": F.lit(None).cast("long"), "digest": F.lit(None).cast("string")}).select(names)
+    known = parts.where("word is null").withColumns({c: F.lit(None).cast(t) for c, t in empty.items()}).select(names)
+    return found.unionByName(known).repartition("group").sortWithinPartitions("group").mapInArrow(pool, "doc_id long, digest string, pooled array<float>")
 
 
 @dataclass(frozen=True)

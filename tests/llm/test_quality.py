@@ -77,6 +77,37 @@ def test_samples_are_bounded_on_null_and_repeated_ids(spark):
     assert 200 < quality_model.labelled_sample(features, known, 300).count() <= 300
 
 
+def test_every_word_has_a_vector_of_its_own(spark):
+    texts = [words(300, i, 6000) for i in range(40)] + ["", None, "one"]
+    docs = table(spark, list(enumerate(texts)))
+    split = [re.findall(r"[A-Za-z]+|[0-9]+", t or "") for t in texts]
+    vectors = quality_model.word_vectors(docs)
+    got = {r["word"]: np.array(r["vector"]) for r in vectors.collect()}
+    import pyarrow as pa
+
+    vocabulary = sorted({w for t in split for w in t})
+    assert len(got) == len(vocabulary) > 2048
+    hashes = dict(zip(vocabulary, quality_model._tokens(pa.array(vocabulary))[0], strict=True))
+    index = dict(zip(vocabulary, quality_model.index_vectors(np.array([hashes[w] for w in vocabulary], np.uint64), 24, 11), strict=True))
+    near = {w: np.zeros(24) for w in vocabulary}
+    for t in split:
+        for i, w in enumerate(t):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(t):
+                    near[w] += index[t[j]]
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-9)
+    want = unit(np.array([near[w] for w in vocabulary]))
+    want = dict(zip(vocabulary, unit(want - want.mean(0)), strict=True))
+    assert max(np.abs(want[w] - got[int(hashes[w].view(np.int64))]).max() for w in vocabulary) < 1e-4
+    for size in (32 << 20, 2000):
+        rows = {r["doc_id"]: np.array(r["pooled"]) for r in quality_model.pooled(docs, vectors, group_bytes=size).collect()}
+        assert set(rows) == set(range(len(texts)))
+        for i, t in enumerate(split):
+            v = np.array([want[w] for w in t]) if t else np.zeros((1, 24))
+            assert np.abs(rows[i][:24] - v.mean(0)).max() < 1e-3 and np.abs(rows[i][24:48] - v.std(0)).max() < 0.02
+            assert abs(rows[i][48] - np.log1p(len(t))) < 1e-5
+
+
 def test_path_lengths_mark_the_outlier():
     rows = np.random.default_rng(1).normal(0, 1, (300, 3))
     rows[7] = 30
