@@ -53,16 +53,59 @@ def index_vectors(words: np.ndarray, width: int, seed: int, ones: int = 4) -> np
     return out
 
 
-def _vector(column: pa.Array, width: int, kind: type) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(kind)
-
-
 def _lists(rows: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
 
 
-def word_vectors(docs: DataFrame, text: str = "text", width: int = 24, reach: int = 2, seed: int = 11) -> DataFrame:
-    """Context vectors of all words over all documents, of length 1 and without their common direction: (word, vector).
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values from the bytes of ``data``, cut at ``ends`` (from 0)."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data).view(np.uint8))])
+
+
+def _packed(rows: np.ndarray) -> pa.Array:
+    """Rows of whole numbers as binary: a byte each where all are small, as those of most words, or eight."""
+    n, width = rows.shape
+    small = np.abs(rows).max(axis=1, initial=0) < 128
+    ends = np.append(0, np.cumsum(np.where(small, width, 8 * width)))
+    out = np.zeros(ends[-1], np.uint8)
+    for kind, own in ((np.int8, small), (np.int64, ~small)):
+        part = np.ascontiguousarray(rows[own].astype(kind)).view(np.uint8).reshape(-1, width * np.dtype(kind).itemsize)
+        out[ends[:-1][own][:, None] + np.arange(part.shape[1])] = part
+    return _binary(out, ends)
+
+
+def _unpacked(column: pa.Array, width: int) -> np.ndarray:
+    data, ends = A.text_bytes(column)
+    size, out = np.diff(ends), np.zeros((len(column), width), np.int64)
+    for kind, own in ((np.int8, size == width), (np.int64, size == 8 * width)):
+        at = ends[:-1][own][:, None] + np.arange(width * np.dtype(kind).itemsize)
+        out[own] = np.ascontiguousarray(data[at]).view(kind).reshape(-1, width)
+    return out
+
+
+@dataclass(frozen=True)
+class WordVectors:
+    """Context sums by word, a table of (word, sums), and the common direction that is taken off."""
+
+    sums: DataFrame
+    common: np.ndarray
+
+    @property
+    def width(self) -> int:
+        return len(self.common)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
+def context_vectors(sums: pa.Array, common: np.ndarray) -> np.ndarray:
+    """Vectors of length 1 without their common direction."""
+    return _unit(_unit(_unpacked(sums, len(common)).astype(np.float64)) - common).astype(np.float32).astype(np.float64)
+
+
+def word_vectors(docs: DataFrame, text: str = "text", width: int = 24, reach: int = 2, seed: int = 11) -> WordVectors:
+    """Context sums of all words over all documents; ``context_vectors`` makes vectors of them.
 
     A word is its 64-bit hash. Tasks sum the contexts of their words for each slice of text; these are summed by word. Only the common
     direction goes through the driver.
@@ -94,42 +137,34 @@ def word_vectors(docs: DataFrame, text: str = "text", width: int = 24, reach: in
     parts = docs.select(F.col(text).alias("_text")).mapInArrow(contexts, "word long, " + ", ".join(f"{c} long" for c in columns))
     summed = parts.groupBy("word").agg(*(F.sum(c).alias(c) for c in columns))
 
-    def unit(x: np.ndarray) -> np.ndarray:
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-
-    def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.stack([batch.column(c).to_numpy() for c in columns], axis=1).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), _lists(unit(rows).astype(np.float32))], ["word", "vector"])
+            rows = np.stack([batch.column(c).to_numpy() for c in columns], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), _packed(rows)], ["word", "sums"])
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width + 1, np.int64)  # whole numbers, whose sum does not depend on the order
         for batch in batches:
-            rows = _vector(batch.column("vector"), width, np.float64)
+            rows = _unit(_unpacked(batch.column("sums"), width).astype(np.float64))
             total += np.append(np.rint(rows * 2**20).astype(np.int64).sum(axis=0), len(rows))
         yield pa.RecordBatch.from_arrays([_lists(total[None])], ["total"])
 
-    words = written(summed.mapInArrow(scaled, "word long, vector array<float>"), "words")
-    got = words.select("vector").mapInArrow(totals, "total array<long>").agg(*(F.sum(F.col("total")[i]) for i in range(width + 1))).first()
+    words = written(summed.mapInArrow(packed, "word long, sums binary"), "words")
+    got = words.select("sums").mapInArrow(totals, "total array<long>").agg(*(F.sum(F.col("total")[i]) for i in range(width + 1))).first()
     total = np.array([x or 0 for x in got], np.float64)
-    common = total[:width] / 2**20 / max(total[width], 1)
-
-    def centred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = unit(_vector(batch.column("vector"), width, np.float64) - common)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), _lists(rows.astype(np.float32))], ["word", "vector"])
+    return WordVectors(words, total[:width] / 2**20 / max(total[width], 1))
 
-    return words.mapInArrow(centred, "word long, vector array<float>")
 
-
-def pooled(docs: DataFrame, vectors: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 24, group_bytes: int = 32 << 20) -> DataFrame:
+def pooled(docs: DataFrame, vectors: WordVectors, doc_id: str = "doc_id", text: str = "text", group_bytes: int = 32 << 20) -> DataFrame:
     """Mean and spread of the token vectors of every whole text, and the logarithm of its length: (doc_id, digest, pooled).
 
     Texts are taken in groups of about ``group_bytes``. A group has one row for each of its words, with the documents that hold it and
-    how often; joined to the words' vectors, the rows of a group come together again and are summed by document. A frequent word has a
+    how often; joined to the words' context sums, the rows of a group come together again and are summed by document. A frequent word has a
     row for each group, not for each document.
     """
 
+    common, width = vectors.common, vectors.width
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = TaskContext.get().partitionId() << 32
         held: list[tuple] = []
@@ -139,22 +174,28 @@ def pooled(docs: DataFrame, vectors: DataFrame, doc_id: str = "doc_id", text: st
         def table() -> Iterator[pa.RecordBatch]:
             words, doc, count = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.argsort(words, kind="stable")
-            words, doc, count = words[order], doc[order], count[order]
+            # a count is a byte; a larger one takes several entries
+            times = (count[order] + 254) // 255
+            words, doc = np.repeat(words[order], times), np.repeat(doc[order], times)
+            last = np.cumsum(times) - 1
+            count, large = np.full(len(words), 255), count[order]
+            count[last] = large - 255 * (times - 1)
             first = np.flatnonzero(np.append(True, words[1:] != words[:-1])) if len(words) else np.zeros(0, np.int64)
             ends = np.append(first, len(words)).astype(np.int32)
             for a in range(0, len(first), 20_000):
                 b = min(a + 20_000, len(first))
-                own, at = slice(ends[a], ends[b]), pa.array(ends[a : b + 1] - ends[a])
-                lists = [pa.ListArray.from_arrays(at, pa.array(x[own].astype(np.int32))) for x in (doc, count)]
-                yield row(b - a, group=pa.array(np.full(b - a, group)), word=pa.array(words[first[a:b]].view(np.int64)), docs=lists[0], counts=lists[1])
+                own, at = slice(ends[a], ends[b]), ends[a : b + 1] - ends[a]
+                docs, counts = _binary(doc[own].astype(np.int32), 4 * at), _binary(count[own].astype(np.uint8), at)
+                yield row(b - a, group=pa.array(np.full(b - a, group)), word=pa.array(words[first[a:b]].view(np.int64)), docs=docs, counts=counts)
             done = 0
             for part in ids:
                 n = part.num_rows
-                yield row(n, group=pa.array(np.full(n, group)), at=pa.array(np.arange(done, done + n, dtype=np.int32)), doc_id=part.column("doc_id"), digest=part.column("digest"))
+                spread = A.mix((np.arange(done, done + n) + (group << 16)).astype(np.uint64)).view(np.int64)  # any word: the join keeps the row as it is
+                yield row(n, group=pa.array(np.full(n, group)), word=pa.array(spread), at=pa.array(np.arange(done, done + n, dtype=np.int32)), doc_id=part.column("doc_id"), digest=part.column("digest"))
                 done += n
 
         def row(n: int, **given: pa.Array) -> pa.RecordBatch:
-            kinds = {"group": pa.int64(), "word": pa.int64(), "docs": pa.list_(pa.int32()), "counts": pa.list_(pa.int32()), "at": pa.int32(), "doc_id": pa.int64(), "digest": pa.string()}
+            kinds = {"group": pa.int64(), "word": pa.int64(), "docs": pa.binary(), "counts": pa.binary(), "at": pa.int32(), "doc_id": pa.int64(), "digest": pa.string()}
             return pa.RecordBatch.from_arrays([given.get(c, pa.nulls(n, t)) for c, t in kinds.items()], list(kinds))
 
         for batch in A.slices(batches, "_text"):
@@ -177,11 +218,11 @@ def pooled(docs: DataFrame, vectors: DataFrame, doc_id: str = "doc_id", text: st
             n = known.num_rows
             sums, tokens = np.zeros((n, 2 * width)), np.zeros(n, np.int64)
             for batch in rows.filter(rows["at"].is_null()).to_batches(4096):
-                vector = _vector(batch.column("vector"), width, np.float64)
+                vector = context_vectors(batch.column("sums"), common)
                 # whole numbers, whose sums do not depend on the order
                 both = np.rint(np.concatenate([vector, vector**2], axis=1) * 4096)
-                size = np.diff(batch.column("docs").offsets.to_numpy())
-                doc, count = (batch.column(c).flatten().to_numpy() for c in ("docs", "counts"))
+                count, ends = A.text_bytes(batch.column("counts"))
+                doc, size = A.text_bytes(batch.column("docs"))[0].view(np.int32), np.diff(ends)
                 for a in range(0, len(doc), 1 << 16):  # bounds the rows of vectors
                     own = slice(a, a + (1 << 16))
                     part = doc[own]
@@ -198,14 +239,9 @@ def pooled(docs: DataFrame, vectors: DataFrame, doc_id: str = "doc_id", text: st
                 yield pa.RecordBatch.from_arrays([part["doc_id"].combine_chunks(), part["digest"].combine_chunks(), _lists(got[a : a + 10_000])], ["doc_id", "digest", "pooled"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_digest(F.col(text)).alias("digest"), F.col(text).alias("_text"))
-    schema = "group long, word long, docs array<int>, counts array<int>, at int, doc_id long, digest string"
-    parts = written(rows.mapInArrow(counted, schema), "words-of-groups")
-    found = parts.where("word is not null").select("group", "word", "docs", "counts").join(vectors, "word")
-    empty = {"docs": "array<int>", "counts": "array<int>", "vector": "array<float>"}
-    names = ["group", "docs", "counts", "vector", "at", "doc_id", "digest"]
-    found = found.withColumns({"at": F.lit(None).cast("int"), "doc_id": F.lit(None).cast("long"), "digest": F.lit(None).cast("string")}).select(names)
-    known = parts.where("word is null").withColumns({c: F.lit(None).cast(t) for c, t in empty.items()}).select(names)
-    return found.unionByName(known).repartition("group").sortWithinPartitions("group").mapInArrow(pool, "doc_id long, digest string, pooled array<float>")
+    parts = rows.mapInArrow(counted, "group long, word long, docs binary, counts binary, at int, doc_id long, digest string")
+    found = parts.join(vectors.sums, "word", "left").drop("word")
+    return found.repartition("group").sortWithinPartitions("group").mapInArrow(pool, "doc_id long, digest string, pooled array<float>")
 
 
 @dataclass(frozen=True)

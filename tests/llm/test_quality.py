@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,12 +79,12 @@ def test_samples_are_bounded_on_null_and_repeated_ids(spark):
 
 
 def test_every_word_has_a_vector_of_its_own(spark):
-    texts = [words(300, i, 6000) for i in range(40)] + ["", None, "one"]
+    texts = [words(300, i, 6000) for i in range(40)] + ["", None, "one", "often seldom " * 700]
     docs = table(spark, list(enumerate(texts)))
     split = [re.findall(r"[A-Za-z]+|[0-9]+", t or "") for t in texts]
     vectors = quality_model.word_vectors(docs)
-    got = {r["word"]: np.array(r["vector"]) for r in vectors.collect()}
-    import pyarrow as pa
+    held = vectors.sums.toArrow()
+    got = dict(zip(held["word"].to_pylist(), quality_model.context_vectors(held["sums"], vectors.common), strict=True))
 
     vocabulary = sorted({w for t in split for w in t})
     assert len(got) == len(vocabulary) > 2048
