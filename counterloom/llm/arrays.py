@@ -24,6 +24,9 @@ _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 _WEIGHT = np.frombuffer(b"".join(hashlib.sha256(b"byte weight %d" % i).digest()[:8] for i in range(256)), np.uint64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
+#: Words of more bytes are digested one by one.
+LONG_WORD = 512
+
 #: Bytes of text handled at once; a longer document is handled alone.
 SLICE_BYTES = 4 << 20
 
@@ -117,6 +120,29 @@ def owners(offsets: np.ndarray, positions: np.ndarray) -> np.ndarray:
     return np.searchsorted(offsets, positions, "right") - 1
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of each span: its bytes go eight at a time through a mixing function, so no pattern of them cancels out, as it can in a
+    polynomial. Spans should be words: the longest sets the number of passes, and very long ones are digested one by one."""
+    size = end - start
+    out = mix(size.astype(np.uint64) + np.uint64((seed * 0xD6E8FEB86659FD93 + 0x9E3779B97F4A7C15) % (1 << 64)))
+    padded = np.append(data, np.zeros(8, np.uint8))
+    long = np.flatnonzero(size > LONG_WORD)
+    left, done = np.flatnonzero((size > 0) & (size <= LONG_WORD)), 0
+    while len(left):
+        for a in range(0, len(left), 1 << 16):  # bounds the bytes that are copied
+            part = left[a : a + (1 << 16)]
+            at = start[part] + done
+            piece = padded[at[:, None] + np.arange(8)].view(np.uint64).ravel()
+            spare = np.maximum(done + 8 - size[part], 0).astype(np.uint64) * np.uint64(8)
+            piece = (piece << spare) >> spare  # without the bytes behind the span
+            out[part] = mix((out[part] ^ piece) * np.uint64(_BASE) + np.uint64(0x2545F4914F6CDD1D))
+        done += 8
+        left = left[size[left] > done]
+    for i in long:
+        out[i] = np.frombuffer(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), np.uint64)[0]
+    return out
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and document of every word."""
     start, end = spans(~SPACE[data], offsets)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, decontaminate, packing, quality_model, quality_rules, suffix_dedup, surrogates, url_filter, warc_store, word_graph
+from . import chosen_path, decontaminate, multiprobe, packing, part_codes, quality_model, quality_rules, ranked_search, suffix_dedup, surrogates, url_filter, warc_store, word_graph
 from .store import new_path
 
 
@@ -98,6 +98,22 @@ def op10_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20, among all vectors."""
+    rows = _table(spark, sf_dir, "embeddings")
+    return multiprobe.nearest(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
+def op12_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code of every vector over 16 codebooks of 64 entries, and how far it is from what the code stands for."""
+    return part_codes.encode(_table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents of the highest score for every benchmark item."""
+    return ranked_search.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_surrogates": op1_surrogates,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -109,8 +125,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc_store": op10_warc_store,
+    "op11_multiprobe": op11_multiprobe,
+    "op12_part_codes": op12_part_codes,
+    "op13_ranked_search": op13_ranked_search,
 }
 
+
+def _part_codes_sql() -> str:
+    """Each round as joins of parts and entries; a position's entries are rows (position, entry, components)."""
+    near = """select v.rid, v.p, first(c.e order by d, c.e) as e, min(d) as d from parts v join {book} c using (p),
+        lateral (select list_sum(list_transform(range(1, len(v.x) + 1), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i]))) as d) group by v.rid, v.p"""
+    moved = """select c.p, c.e, case when n is null then c.x else m.x end as x from {book} c left join (
+        select p, e, max(n) as n, list(floor(s / n) order by i) as x from (select v.p, a.e, g.i, sum(v.x[g.i]) as s, count(*) as n
+        from parts v join {near} a using (rid, p), lateral (select unnest(range(1, len(v.x) + 1)) as i) g group by v.p, a.e, g.i) group by p, e) m on c.p = m.p and c.e = m.e"""
+    return f"""
+        with kept as (select vec_id, label, row_number() over (order by vec_id nulls last, embedding) as rid, list_transform(embedding, lambda v: floor(256 * cast(v as double))) as v from embeddings
+            where embedding is not null and list_bool_and(list_transform(embedding, lambda v: coalesce(isfinite(v), false)))),
+        parts as materialized (select rid, p, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] as x from kept, lateral (select unnest(range(16)) as p)),
+        c0 as materialized (select p, cast(rid - 1 as bigint) as e, x from parts where rid <= 64),
+        n0 as materialized ({near.format(book="c0")}), c1 as materialized ({moved.format(book="c0", near="n0")}),
+        n1 as materialized ({near.format(book="c1")}), c2 as materialized ({moved.format(book="c1", near="n1")}),
+        n2 as materialized ({near.format(book="c2")}),
+        coded as (select rid, string_agg(printf('%02x', e), '' order by p) as code, cast(sum(d) as bigint) as error from n2 group by rid),
+        digest as (select sha256(string_agg(array_to_string(list_transform(x, lambda v: cast(cast(v as bigint) as varchar)), ','), ',' order by p, e)) as h from c2)
+        select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, h as codebooks_sha256 from kept join coded using (rid), digest
+    """
+
+
+def _ranked_sql() -> str:
+    term = "unnest(regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term"
+    return f"""
+        with words as (select doc_id, {term.format("text")} from documents),
+        tf as (select doc_id, term, count(*) as tf from words group by all),
+        doc as (select doc_id, sum(tf) as n from tf group by doc_id),
+        total as (select count(*) as docs, sum(n) as len from doc),
+        w as (select term, cast(floor(1000 * ln((2 * max(docs) + 2) / (2 * count(*) + 1))) as bigint) as w from tf, total group by term),
+        m as (select doc_id, 50 + (50 * n * docs) // len as m from doc, total),
+        asked as (select distinct item_id, {term.format("text")} from benchmark),
+        scored as (select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) as bigint) as score from asked join w using (term) join tf using (term) join m using (doc_id) group by all)
+        select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score from scored where score > 0
+        qualify rank <= 50
+    """
+
 ORACLE: dict[str, str] = {
     "op10_warc_store": """
         with p as (select page_id, coalesce(html, '') as html, strlen(coalesce(html, '')) as n from pages),
@@ -120,4 +176,6 @@ ORACLE: dict[str, str] = {
             case when n >= 100 and page_id <> first_id then first_id end as refers_to
         from f
     """,
+    "op12_part_codes": _part_codes_sql(),
+    "op13_ranked_search": _ranked_sql(),
 }

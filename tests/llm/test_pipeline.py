@@ -71,5 +71,5 @@ def test_stages_decide_by_row(spark, data):
 
 def test_entry_has_all_queries():
     names = entry.queries()
-    assert {n.split("_")[0] for n in Q.QUERIES} == {f"op{i}" for i in range(1, 11)} and set(Q.QUERIES) < set(names) and "pipeline" in names
+    assert {n.split("_")[0] for n in Q.QUERIES} == {f"op{i}" for i in range(1, 14)} and set(Q.QUERIES) < set(names) and "pipeline" in names
     assert set(Q.ORACLE) < set(entry.oracle_sql())
