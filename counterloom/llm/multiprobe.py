@@ -145,11 +145,11 @@ def _pieces(buckets: np.ndarray, piece: np.ndarray) -> np.ndarray:
     return np.where(piece == 0, buckets, _number(buckets.view(np.uint64) + piece.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
 
-def _inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of rows, summed in the order of the components: equal vectors have equal products wherever they stand."""
-    out = np.zeros(len(a))
-    for i in range(a.shape[1]):
-        out += a[:, i] * b[:, i]
+def _inner(x: np.ndarray, query: np.ndarray, points: np.ndarray, point: np.ndarray) -> np.ndarray:
+    """Inner products of pairs, summed in the order of the components: equal vectors have equal products wherever they stand."""
+    out = np.zeros(len(query))
+    for i in range(x.shape[1]):
+        out += x[query, i] * points[point, i]
     return out
 
 
@@ -172,7 +172,7 @@ class _Best:
         """``query`` and ``point`` are pairs; ``ids``, cut at ``ends``, are those of each point."""
         pair = np.unique(query * len(points) + point)
         query, point = pair // max(len(points), 1), pair % max(len(points), 1)
-        minus = -(_inner(self.x[query], points[point]) + 0.0) + 0.0
+        minus = -_inner(self.x, query, points, point) + 0.0
         n = (ends[1:] - ends[:-1])[point]
         own = np.repeat(ends[:-1][point], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         query, minus, point = np.repeat(query, n), np.repeat(minus, n), np.repeat(point, n)
@@ -198,10 +198,10 @@ class _Best:
             yield pa.RecordBatch.from_arrays([pa.array(self.ids[seen[a:b]]), pa.ListArray.from_arrays(pa.array(ends[a : b + 1] - ends[a]), kinds)], ["query_id", "found"])
 
 
-def _merged(found: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest of every query: (query_id, found)."""
-    every = F.array_sort(F.array_distinct(F.flatten(F.collect_list("found"))))
-    return found.groupBy("query_id").agg(F.slice(every, 1, k).alias("found"))
+def _merged(found: DataFrame, k: int, tables: int = 1) -> DataFrame:
+    """The ``k`` nearest of every query: (query_id, found). A row is found once in each table at most."""
+    every = F.array_sort(F.flatten(F.collect_list("found")))
+    return found.groupBy("query_id").agg(F.slice(F.array_distinct(F.slice(every, 1, k * tables)), 1, k).alias("found"))
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -359,7 +359,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec
 
     every = nodes.mapInArrow(stored, schema).unionByName(asked.mapInArrow(asking, schema))
     found = every.repartition("cell").sortWithinPartitions("cell", "kind", "key").mapInArrow(searched, f"query_id long, found {FOUND}")
-    got = written(_merged(found, k), "found")
+    got = written(_merged(found, k, tables), "found")
     # queries that found too few are compared with all rows
     wanted = min(k, points.count() - 1)
     short = asked.join(got.where(F.size("found") >= wanted).select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
@@ -381,25 +381,34 @@ def _compared(asked: pa.RecordBatch, key: np.ndarray, ends: np.ndarray, points:
     query = np.repeat(np.arange(len(x)), np.diff(cut))
     there = A.member(wanted, key)
     bucket, query = np.searchsorted(key, wanted[there]), query[there]
-    order = np.argsort(bucket, kind="stable")
-    bucket, query = bucket[order], query[order]
-    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
-    pairs: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
-    for a, b in zip(first, np.append(first, len(bucket))[1:], strict=True):
-        low, high = ends[bucket[a]], ends[bucket[a] + 1]
-        own = np.unique(query[a:b])
-        step = max(1, (1 << 21) // (high - low))
-        for c in range(0, len(own), step):
-            part = own[c : c + step]
-            i, j = _near(x[part] @ points[low:high].T, k + 1)
-            pairs.append((part[i], low + j))
-            size += len(i)
-            if size > 1 << 20:
+    size = np.diff(ends)
+    at = np.searchsorted(query, np.arange(len(x) + 1))
+    step = max(1, (1 << 21) // len(points))
+    for c in range(0, len(x), step):  # bounds the products
+        own = slice(at[c], at[min(c + step, len(x))])
+        n = min(step, len(x) - c)
+        if size[bucket[own]].sum() * 8 > n * len(points):  # most of the cell: all products at once
+            visited = np.zeros((n, len(key)), bool)
+            visited[query[own] - c, bucket[own]] = True
+            product = x[c : c + n] @ points.T
+            product[~np.repeat(visited, size, axis=1)] = -np.inf
+            i, j = _near(product, k + 1)
+            seen = product[i, j] > -np.inf
+            best.add(i[seen] + c, j[seen], points, nodes, *ids)
+            continue
+        order = np.argsort(bucket[own], kind="stable")
+        by, of = bucket[own][order], query[own][order]
+        first = np.flatnonzero(np.append(True, by[1:] != by[:-1])) if len(by) else np.zeros(0, np.int64)
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+        for a, b in zip(first, np.append(first, len(by))[1:], strict=True):
+            low, high = ends[by[a]], ends[by[a] + 1]
+            i, j = _near(x[of[a:b]] @ points[low:high].T, k + 1)
+            pairs.append((of[a:b][i], low + j))
+            held += len(i)
+            if held > 1 << 18 or b == len(by):
                 best.add(*(np.concatenate(p) for p in zip(*pairs, strict=True)), points, nodes, *ids)
-                pairs, size = [], 0
-    if pairs:
-        best.add(*(np.concatenate(p) for p in zip(*pairs, strict=True)), points, nodes, *ids)
+                pairs, held = [], 0
     yield from best.rows()
 
 
