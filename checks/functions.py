@@ -126,6 +126,6 @@ select host_id, '{' || nl || '"loadGatherInterval": 77,' || nl || d || nl || '}'
     "fn_numbers": f"""select l_orderkey, l_linenumber, {r0('l_extendedprice')} as whole, {rn('(-l_extendedprice)', 1)} as tenth, {rn('(l_extendedprice / l_quantity)', 2)} as cents,
   case when l_quantity = 0 then 0 else {rn('((l_tax * 1000 - l_quantity) * 100 / nullif(l_quantity, 0))', 2)} end as change, {r0('((l_extendedprice / (l_quantity * 900) - 1.0) * 100.0)')} as over,
   case when l_suppkey + l_partkey - l_partkey % 7 > 0 then {rn('(cast(l_suppkey * 100 as double) / (l_suppkey + l_partkey - l_partkey % 7))', 1)} end as hits, l_tax = 0 as undefined,
-  case when l_quantity * 60 <= 60 or l_partkey <= 1 then l_partkey else {r0('(l_partkey * 900 / (l_quantity * 60))')} end as per_period, {rn('(cast(l_partkey * 1000 as double) / l_suppkey)', 2)} as per_call from lineitem""",
+  case when l_quantity * 60 <= 60 or l_partkey <= 1 then l_partkey else {r0('(l_partkey * 900 / (l_quantity * 60))')} end as per_period, {rn('(cast(l_partkey * 1000 as double) / nullif(l_suppkey, 0))', 2)} as per_call from lineitem""",
     "fn_group_date": f"select event_id, {', '.join(_b(m) for m in (5, 7, 10, 15, 30))} from events",
 }

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from counterloom.plans import aggregates as A
 from counterloom.plans import hosts as P
 from counterloom.schema import Reset
+from counterloom.session import shared_dir
 from counterloom.sources.fleet import Fleet
+from counterloom.sources.versions import VersionedTable
 
 from .harness import big, pretty_size, r0, rn, secs
 
@@ -46,6 +50,18 @@ def _load_in_steps(f: Fleet, cut: str):
     return old.unionByName(A.aggregate_sproc_load(f, AS_OF, START, old))
 
 
+def stored_table(f: Fleet) -> VersionedTable:
+    return VersionedTable(f.spark, f"{shared_dir(f.spark)}/stored-{uuid.uuid4().hex}")
+
+
+def _refreshed_load(f: Fleet, *runs: str):
+    """Refreshes of a stored aggregate, each reading from where the last one ended."""
+    table = stored_table(f)
+    for as_of in runs:
+        out = A.refresh_sproc_load(f, table, as_of, START)
+    return out
+
+
 def _updated_size(f: Fleet):
     old = A.aggregate_table_size(f, "2024-01-20 00:00:00", START)
     return old.unionByName(A.aggregate_table_size(f, AS_OF, START, old))
@@ -70,7 +86,8 @@ QUERIES = {
     "active_announcement": lambda f: P.active_announcement(announcements(f), "1998-01-01 12:00:00"),
     "aggregate_table_size": lambda f: _updated_size(f),
     "aggregate_sproc_load": lambda f: _updated_load(f),
-    "aggregate_sproc_load_two_steps": lambda f: _load_in_steps(f, "2024-01-20 12:07:00"),
+    "aggregate_sproc_load_two_steps": lambda f: _refreshed_load(f, "2024-01-20 12:07:00", AS_OF),
+    "aggregate_sproc_load_three_steps": lambda f: _refreshed_load(f, "2024-01-09 03:22:00", "2024-01-20 12:07:00", AS_OF),
 }
 
 B15 = "time_bucket(interval 15 minute, {})"
@@ -187,4 +204,5 @@ window w as (partition by ld.host_id order by ld.iso_year, ld.week)""",
     "aggregate_table_size": f"select * from ({_TOTALS}) where ts < timestamp '2024-01-30 23:00:00'",
     "aggregate_sproc_load": _ONE_STEP,
     "aggregate_sproc_load_two_steps": _ONE_STEP,
+    "aggregate_sproc_load_three_steps": _ONE_STEP,
 }

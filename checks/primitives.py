@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from counterloom.functions import predicates as C
+from counterloom.functions.numbers import half_up
 from counterloom.functions.times import bucket, group_date
 from counterloom.operators import joins as J
 from counterloom.operators import series as B
@@ -153,7 +154,7 @@ QUERIES = {
     "agg_bools": lambda f: f.table("lineitem").groupBy("l_suppkey").agg(F.bool_and(F.col("l_discount") < 0.1).alias("every"), F.bool_or(F.col("l_tax") > 0.07).alias("some")),
     "agg_range": lambda f: f.table("lineitem").groupBy("l_suppkey").agg((F.max("l_linenumber") - F.min("l_linenumber")).alias("r")),
     "agg_ratios": lambda f: f.table("sproc_performance_data").groupBy("sp_host_id").agg(
-        B.half_up(F.sum("sp_total_time") / F.sum("sp_calls"), 3).alias("of_sums"), B.half_up(F.sum(B.half_up(F.col("sp_total_time") / F.col("sp_calls"))) / F.count(F.lit(1)), 3).alias("mean")),
+        half_up(F.sum("sp_total_time") / F.sum("sp_calls"), 3).alias("of_sums"), half_up(F.sum(half_up(F.col("sp_total_time") / F.col("sp_calls"))) / F.count(F.lit(1)), 3).alias("mean")),
     "agg_having": lambda f: f.table("lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n")).where("n > 30"),
     "agg_conditional": lambda f: f.table("events").groupBy("event_type").agg(F.sum(F.when(F.col("value") > 100, 1).otherwise(0)).alias("big")),
     "agg_distinct_rows": lambda f: f.table("lineitem").select("l_suppkey", "l_returnflag").distinct(),

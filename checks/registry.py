@@ -33,7 +33,8 @@ def _date_column(name):
     """The date column of an oracle's result, if it has one."""
     fixed = {
         "hourly_sproc_summary": "ss_date", "stream_summary": "ss_date", "sproc_history": "ss_date",
-        "daily_table_summary": "ts_date", "daily_host_summary": "hs_date", "shard_differences": "eval_date",
+        "daily_table_summary": "ts_date", "daily_host_summary": "hs_date", "stored_hourly_sproc_summary": "ss_date",
+        "stored_daily_table_summary": "ts_date", "stored_daily_host_summary": "hs_date", "shard_differences": "eval_date",
         "join_self_previous": "d",
     }
     if "_alerts" in name and not name.startswith("changed_"):

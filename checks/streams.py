@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from counterloom.functions.numbers import half_up
 from counterloom.operators.series import moving_sum
 from counterloom.plans.metrics import HOUR, MICRO
-from counterloom.plans.summaries import summarise_peaks
+from counterloom.sources.versions import VersionedTable
 from counterloom.functions.numbers import rate
 from counterloom.schema import Reset
 from counterloom.session import shared_dir
@@ -34,16 +34,15 @@ def _work(f) -> str:
     return f"{shared_dir(f.spark)}/stream-{uuid.uuid4().hex}"
 
 
-def _runs(f, df, ts, work, start, cuts=CUTS, extra=None, closing=False):
+def _runs(f, df, ts, work, start, cuts=CUTS, extra=None):
     """Deliver the samples in time order and run the job to the end after each delivery, resuming
-    from its checkpoint. With ``closing`` the last run is told that all snapshots are over."""
+    from its checkpoint."""
     c = F.col(ts)
     parts = [df.where(p) for p in (c < cuts[0], (c >= cuts[0]) & (c < cuts[1]), c >= cuts[1])]
     parts += [extra] if extra is not None else []
-    for i, part in enumerate(parts):
+    for part in parts:
         part.write.mode("append").parquet(f"{work}/in")
-        more = ["9999-01-01 00:00:00" if i == len(parts) - 1 else None] if closing else []
-        start(J.read_samples(f.spark, f"{work}/in", df.schema), *more).awaitTermination()
+        start(J.read_samples(f.spark, f"{work}/in", df.schema)).awaitTermination()
 
 
 def _read(f, path):
@@ -90,9 +89,11 @@ def stream_db_size(f):
 
 
 def stream_summary(f):
+    """Stored hourly summary: at each delivery the last hour stays provisional and is replaced by the next."""
     work = _work(f)
-    _runs(f, _sp(f), "sp_timestamp", work, lambda s: J.stream_peaks(s, f"{work}/out", f"{work}/cp"))
-    return summarise_peaks(f, J.read_peaks(f.spark, f"{work}/out"), AS_OF)
+    table, as_of = VersionedTable(f.spark, f"{work}/summary"), iter((*CUTS, AS_OF))
+    _runs(f, _sp(f), "sp_timestamp", work, lambda s: J.stream_summary(s, f, table, work, next(as_of)))
+    return table.periods()
 
 
 def stream_export(f):
@@ -111,15 +112,22 @@ def stream_export(f):
     return _read(f, f"{work}/out").select("measurement", F.col("tags.host").alias("host"), F.col("fields.xlog_b_1h_rate").alias("xlog_b_1h_rate"), "time")
 
 
+def _locks(f):
+    """All snapshots and, a day after the last, a row of a host of its own: time moves on, and the last snapshots close."""
+    locks = f.table("blocking_locks")
+    newest = locks.orderBy(F.desc("bl_timestamp")).limit(1)
+    return locks.unionByName(newest.withColumns({"bl_host_id": F.lit(-1).cast(locks.schema["bl_host_id"].dataType), "bl_timestamp": F.col("bl_timestamp") + F.expr("interval 1 day")}))
+
+
 def stream_prune_locks(f):
     work = _work(f)
-    _runs(f, f.table("blocking_locks"), "bl_timestamp", work, lambda s, last: J.stream_prune_locks(s, f"{work}/out", work, last), LOCK_CUTS, closing=True)
+    _runs(f, _locks(f), "bl_timestamp", work, lambda s: J.stream_prune_locks(s, f"{work}/out", work), LOCK_CUTS)
     return _read(f, f"{work}/out")
 
 
 def stream_persistent_waits(f):
     work = _work(f)
-    _runs(f, f.table("blocking_locks"), "bl_timestamp", work, lambda s, last: J.stream_persistent_waits(s, f"{work}/out", work, last), LOCK_CUTS, closing=True)
+    _runs(f, _locks(f), "bl_timestamp", work, lambda s: J.stream_persistent_waits(s, f"{work}/out", work), LOCK_CUTS)
     return _read(f, f"{work}/out")
 
 

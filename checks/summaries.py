@@ -10,6 +10,7 @@ from counterloom.plans import detectors as D
 from counterloom.plans import summaries as S
 
 from .harness import big, r0, rn
+from .hosts import stored_table
 
 AS_OF = "2024-01-31 00:00:00"
 LIM = D.Limits(min_total_ms=100_000, cache_misses=10, table_size=1_000_000, table_scans=3, shard_total_ms=1000, shard_scans=2, shard_factor=2, max_higher_values=2)
@@ -43,6 +44,24 @@ def hosts(f):
     return S.daily_host_summary(f, AS_OF, clusters(f))
 
 
+RUNS = ("2024-01-12 10:25:00", "2024-01-12 12:00:00", "2024-01-23 00:00:00", AS_OF)
+
+
+def _refreshed(refresh, *more):
+    """A stored summary after several refreshes, as if computed in one go."""
+    def run(f):
+        table = stored_table(f)
+        for as_of in RUNS:
+            out = refresh(f, table, as_of, *(m(f) for m in more))
+        return out
+    return run
+
+
+stored_sprocs = _refreshed(S.refresh_hourly_sproc_summary)
+stored_tables = _refreshed(S.refresh_daily_table_summary)
+stored_hosts = _refreshed(S.refresh_daily_host_summary, clusters)
+
+
 def past_sprocs(f):
     return sprocs(f).select("ss_host_id", F.col("ss_sproc_name").alias("sproc_name"), F.col("ss_date").alias("eval_date"), F.col("ss_total_time").alias("total_time"))
 
@@ -88,6 +107,9 @@ QUERIES = {
     "hourly_sproc_summary": lambda f: sprocs(f),
     "daily_table_summary": lambda f: tables(f),
     "daily_host_summary": lambda f: hosts(f),
+    "stored_hourly_sproc_summary": lambda f: stored_sprocs(f),
+    "stored_daily_table_summary": lambda f: stored_tables(f),
+    "stored_daily_host_summary": lambda f: stored_hosts(f),
     "sproc_hourly_alerts": _sp(),
     "sproc_hourly_alerts_avg": _sp(eval_avg=True),
     "sproc_hourly_alerts_per_host": _sp(combine=False),
@@ -307,6 +329,9 @@ ORACLE = {
     "hourly_sproc_summary": _SS + " select * from ss",
     "daily_table_summary": _TS + " select * from ts",
     "daily_host_summary": _HS + " select * from hs",
+    "stored_hourly_sproc_summary": f"{_SS} select * from ss where ss_date + interval (ss_hour) hour <= timestamp '{AS_OF}'",
+    "stored_daily_table_summary": f"{_TS} select * from ts where ts_date <= timestamp '{AS_OF}'",
+    "stored_daily_host_summary": f"{_HS} select * from hs where hs_date <= timestamp '{AS_OF}'",
     "sproc_hourly_alerts": _alerts(False, True, False) + " select * from out",
     "sproc_hourly_alerts_avg": _alerts(False, True, True) + " select * from out",
     "sproc_hourly_alerts_per_host": _PER_HOST + " select * exclude (ss_host_id) from out",

@@ -76,8 +76,12 @@ def counter_delta(
     """
     if policy is Reset.WINDOW_RANGE:
         raise ValueError("WINDOW_RANGE is an aggregate; use counter_range")
-    out = with_previous(df, keys, ts, cols, chunk=chunk)
-    out = out.withColumns(
+    return deltas(with_previous(df, keys, ts, cols, chunk=chunk), ts, cols, policy)
+
+
+def deltas(df: DataFrame, ts: str, cols: Sequence[str], policy: Reset) -> DataFrame:
+    """Deltas of samples that have their ``prev_`` columns."""
+    out = df.withColumns(
         {DELTA + c: reset_delta(c, policy) for c in cols} | {"elapsed_s": elapsed_s(F.col(ts), F.col(PREV + ts))}
     )
     if policy is Reset.DROP_NOT_POSITIVE:

@@ -1,24 +1,25 @@
 """Incremental jobs as Structured Streaming queries.
 
-Jobs that need per-series state run the batch operators on each micro-batch, with the state of
-:mod:`counterloom.streaming.state`. Their cost per batch is that of the batch operator, including
-the chunking of busy series, and results equal the batch result on the same samples.
+Jobs with state per series or host keep it in Spark's state store (:mod:`counterloom.streaming.state`); the samples of one series in one
+micro-batch are handled by one task, and ``files_per_trigger`` bounds these. Results equal the batch result on the same samples.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.series import PREV, counter_delta, with_previous
+from ..operators.series import PREV, deltas
 from ..plans.locks import persistent_waits, prune_locks
+from ..plans.summaries import hourly_peaks, store_hourly_peaks
 from ..schema import METRICS, Metric, Reset
-from .state import BatchTable, write_batch
+from ..sources.fleet import Fleet
+from ..sources.versions import VersionedTable, read_if_there
+from .state import LastSample, OpenSnapshots, use_rocksdb, write_batch
 
 
 def read_samples(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -37,62 +38,41 @@ def _start(df: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str,
 # --- series state ----------------------------------------------------------------------------
 
 
-def _last_values_schema(m: Metric, df_schema: T.StructType, cols: Sequence[str]) -> T.StructType:
-    return T.StructType([df_schema[c] for c in (*m.series, m.ts, *cols)])
+def _milliseconds(spark: SparkSession, interval: str) -> int:
+    seconds = F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"interval {interval}")) / 1000
+    return int(spark.range(1).select(seconds.cast("long")).first()[0])
 
 
-def _with_state(batch: DataFrame, state: DataFrame, m: Metric, cols: Sequence[str], ttl: str | None) -> tuple[DataFrame, DataFrame]:
-    """New samples plus each series' last known one (``_known``), and the state to keep.
+def with_last_sample(source: DataFrame, m: Metric, cols: Sequence[str], ttl: str | None = None) -> DataFrame:
+    """A stream of samples with ``prev_<ts>`` and ``prev_<col>`` of the series' last one, across micro-batches.
 
-    Samples not newer than the state of their series are ignored. A series silent for longer than
-    ``ttl`` before the newest sample of the batch starts over.
+    ``ttl`` is how long a series may be silent; the state of longer silent ones is dropped as the watermark moves on.
     """
-    keys = list(m.series)
-    if ttl:
-        newest = batch.agg(F.max(m.ts)).scalar()
-        state = state.where(F.col(m.ts) > newest - F.expr(f"interval {ttl}"))
-    last = state.select(*keys, F.col(m.ts).alias("_last"))
-    fresh = batch.join(last, keys, "left").where(F.col("_last").isNull() | (F.col(m.ts) > F.col("_last"))).drop("_last")
-    both = fresh.withColumn("_known", F.lit(False)).unionByName(
-        state.withColumn("_known", F.lit(True)), allowMissingColumns=True
-    )
-    keep = both.groupBy(*keys).agg(F.max(m.ts).alias(m.ts), *(F.max_by(c, m.ts).alias(c) for c in cols))
-    return both, keep
+    spark = source.sparkSession
+    use_rocksdb(spark)
+    schema = source.schema
+    kept = T.StructType([T.StructField(c, schema[c].dataType) for c in (m.ts, *cols)])
+    out = T.StructType([*schema.fields, *(T.StructField(PREV + c, schema[c].dataType) for c in (m.ts, *cols))])
+    ms = None if ttl is None else _milliseconds(spark, ttl)
+    marked = source if ttl is None else source.withWatermark(m.ts, ttl)
+    return marked.groupBy(*m.series).transformWithStateInPandas(LastSample(m.ts, cols, kept, ms), out, "Append", "None" if ttl is None else "EventTime")
 
 
 def stream_delta(
     source: DataFrame, metric: str, cols: Sequence[str], policy: Reset, out: str, work: str, *, ttl: str | None = None
 ) -> StreamingQuery:
-    """Counter deltas across micro-batches, written below ``out``."""
+    """Counter deltas across micro-batches, written to ``out``."""
     m = METRICS[metric]
-    table = BatchTable(source.sparkSession, f"{work}/state", _last_values_schema(m, source.schema, cols))
-    names = source.columns
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        both, keep = _with_state(batch.select(*names), table.before(batch_id), m, cols, ttl)
-        d = counter_delta(both, list(m.series), m.ts, list(cols), policy).where("not _known").drop("_known")
-        write_batch(d, out, batch_id)
-        table.after(batch_id, keep)
-
-    return _start(source, run, f"{work}/checkpoint")
+    return append_to(deltas(with_last_sample(source, m, cols, ttl), m.ts, list(cols), policy), out, f"{work}/checkpoint")
 
 
 def stream_changed_only(source: DataFrame, metric: str, cols: Sequence[str], out: str, work: str) -> StreamingQuery:
     """Store a sample only if it differs from the last one of its series."""
     m = METRICS[metric]
-    table = BatchTable(source.sparkSession, f"{work}/state", _last_values_schema(m, source.schema, cols))
-    names = source.columns
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        both, keep = _with_state(batch.select(*names), table.before(batch_id), m, cols, None)
-        p = with_previous(both, list(m.series), m.ts, list(cols)).where("not _known")
-        differs = F.col(PREV + m.ts).isNull()
-        for c in cols:
-            differs = differs | ~F.col(c).eqNullSafe(F.col(PREV + c))
-        write_batch(p.where(differs).select(*names), out, batch_id)
-        table.after(batch_id, keep)
-
-    return _start(source, run, f"{work}/checkpoint")
+    differs = F.col(PREV + m.ts).isNull()
+    for c in cols:
+        differs = differs | ~F.col(c).eqNullSafe(F.col(PREV + c))
+    return append_to(with_last_sample(source, m, cols).where(differs).select(*source.columns), out, f"{work}/checkpoint")
 
 
 # --- windows and watermarks -----------------------------------------------------------------
@@ -130,22 +110,36 @@ def stream_db_size(source: DataFrame, out: str, checkpoint: str, delay: str = "1
     return append_to(per, out, checkpoint)
 
 
-def stream_peaks(source: DataFrame, out: str, checkpoint: str, delay: str = "1 hour") -> StreamingQuery:
-    """Counter peaks per procedure and hour, updated until the hour is ``delay`` past.
+def stream_summary(source: DataFrame, fleet: Fleet, table: VersionedTable, work: str, as_of=None) -> StreamingQuery:
+    """Keep the stored hourly procedure summary up to date from a stream of samples.
 
-    Each batch writes the hours it changed. Peaks only rise, so readers take the largest value per
-    key (:func:`read_peaks`); until the hour is over the derived summary is provisional.
+    Each batch raises the counter peaks of the hours it has samples of and replaces all provisional hours of the summary; hours that are over
+    at ``as_of``, by default at the newest sample of the batch, become final. Samples of final hours are ignored. A repeated batch
+    raises nothing further.
     """
-    per = source.withWatermark("sp_timestamp", delay).groupBy(
-        F.window("sp_timestamp", "1 hour"), "sp_sproc_id"
-    ).agg(F.max("sp_calls").alias("c"), F.max("sp_total_time").alias("t"))
-    flat = per.select("sp_sproc_id", F.col("window.start").alias("hour"), "c", "t")
-    return _start(flat, lambda df, i: write_batch(df, out, i), checkpoint, "update")
+    peaks = VersionedTable(source.sparkSession, f"{work}/peaks")
+    names = ["sp_sproc_id", "hour", "c", "t"]
 
+    def run(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
+            return
+        closed = table.head()[1]
+        new = hourly_peaks(batch).select(*names)
+        keyed = {"day": F.to_date("hour"), "of_day": F.hour("hour")}
+        stored = peaks.periods(T.StructType([*new.schema.fields, T.StructField("day", T.DateType()), T.StructField("of_day", T.IntegerType())]))
+        if closed is not None:
+            new, stored = new.where(F.col("hour") >= F.lit(closed)), stored.where((F.col("day") >= F.to_date(F.lit(closed))) & (F.col("hour") >= F.lit(closed)))
+        new = new.withColumns(keyed)
+        same = stored.join(new.select("day", "of_day").distinct(), ["day", "of_day"], "left_semi").select(new.columns)
+        raised = new.unionByName(same).groupBy("sp_sproc_id", "hour", "day", "of_day").agg(F.max("c").alias("c"), F.max("t").alias("t"))
+        peaks.replace(raised, "day", "of_day")
+        at = batch.agg(F.max("sp_timestamp")).first()[0] if as_of is None else as_of
+        open_ = peaks.periods()
+        if closed is not None:
+            open_ = open_.where(F.col("day") >= F.to_date(F.lit(closed)))
+        store_hourly_peaks(fleet, table, open_.select(*names), at)
 
-def read_peaks(spark: SparkSession, out: str) -> DataFrame:
-    df = spark.read.option("recursiveFileLookup", "true").parquet(out)
-    return df.groupBy("sp_sproc_id", "hour").agg(F.max("c").alias("c"), F.max("t").alias("t"))
+    return _start(source, run, f"{work}/checkpoint")
 
 
 def stream_export(
@@ -173,9 +167,9 @@ def _release(spark: SparkSession, schema: T.StructType, to_points, ts: str, out:
     released; batches held later have no entry. The output folder is named by the number of the release, so that a run
     that broke off before it was logged is repeated in place."""
     log_schema = "release long, _batch long, up_to timestamp"
-    done = _read_if_there(spark, log, log_schema)
+    done = read_if_there(spark, log, log_schema)
     number = (done.agg(F.max("release")).first()[0] or 0) + 1
-    rows = _read_if_there(spark, held, schema).withColumn("_batch", F.regexp_extract(F.input_file_name(), r".*/batch=(\d+)/", 1).cast("long"))
+    rows = read_if_there(spark, held, schema).withColumn("_batch", F.regexp_extract(F.input_file_name(), r".*/batch=(\d+)/", 1).cast("long"))
     batches = [r["_batch"] for r in rows.select("_batch").distinct().collect()]
     if not batches:
         return
@@ -186,53 +180,35 @@ def _release(spark: SparkSession, schema: T.StructType, to_points, ts: str, out:
     write_batch(spark.createDataFrame([(number, b) for b in batches], "release long, _batch long").withColumn("up_to", end), log, number)
 
 
-def _read_if_there(spark: SparkSession, path: str, schema) -> DataFrame:
-    try:
-        return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
 # --- snapshots ---------------------------------------------------------------------------------
 
 
-def _snapshot_job(source: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str, work: str, keep_last: bool, closed_before) -> StreamingQuery:
+def _snapshot_job(source: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str, work: str, keep_last: bool, delay: str) -> StreamingQuery:
     """Run ``transform`` on complete snapshots.
 
-    The newest snapshot of each host may still be arriving, so it is carried to the next batch, unless it is older than
-    ``closed_before``: a host that has stopped reporting gets its last snapshot out that way. With ``keep_last`` the last complete one is
-    carried too, as the predecessor of the next.
+    A host's snapshot is complete ``delay`` after its time, by the newest rows of any host; rows that come until then belong to it, later
+    ones are dropped. With ``keep_last`` the host's snapshot before it is there too.
     """
-    schema = source.schema
-    state = BatchTable(source.sparkSession, f"{work}/state", T.StructType([*schema.fields, T.StructField("_done", T.BooleanType())]))
-    names = schema.names
+    use_rocksdb(source.sparkSession)
+    names, schema = source.columns, T.StructType([*source.schema.fields, T.StructField("_done", T.BooleanType())])
+    processor = OpenSnapshots("bl_timestamp", source.schema, _milliseconds(source.sparkSession, delay), keep_last)
+    closed = source.withWatermark("bl_timestamp", "0 seconds").groupBy("bl_host_id").transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        both = state.before(batch_id).unionByName(batch.select(*names).withColumn("_done", F.lit(False)))
-        newest = both.groupBy(F.col("bl_host_id").alias("_h")).agg(F.max("bl_timestamp").alias("_open"))
-        marked = both.join(newest, F.col("bl_host_id") == F.col("_h")).drop("_h")
-        open_ = F.col("bl_timestamp") == F.col("_open")
-        if closed_before is not None:
-            open_ = open_ & (F.col("bl_timestamp") >= F.lit(closed_before).cast("timestamp"))
-        complete = marked.where(~open_)
-        result = transform(complete.select(*names))
-        todo = complete.where("not _done").select("bl_host_id", "bl_timestamp").distinct()
-        write_batch(result.join(todo, ["bl_host_id", "bl_timestamp"], "left_semi").select(*result.columns), out, batch_id)
-        kept = marked.where(open_)
-        if keep_last:
-            last = complete.groupBy(F.col("bl_host_id").alias("_h")).agg(F.max("bl_timestamp").alias("_at"))
-            prior = complete.join(last, (F.col("bl_host_id") == F.col("_h")) & (F.col("bl_timestamp") == F.col("_at")))
-            kept = kept.select(*names, "_done").unionByName(prior.select(*names, F.lit(True).alias("_done")))
-        state.after(batch_id, kept)
+        at = ["bl_host_id", "bl_timestamp"]
+        write_batch(batch, f"{work}/closed", batch_id)  # state is read once, whatever the transformation reads
+        batch = source.sparkSession.read.schema(schema).parquet(f"{work}/closed/batch={batch_id}")
+        todo = batch.where("not _done").select(*at).distinct()
+        before = batch.where("_done").join(todo, at, "left_anti")  # of several closed in one batch, only the first needs its predecessor
+        result = transform(batch.where("not _done").unionByName(before).select(*names))
+        write_batch(result.join(todo, at, "left_semi").select(*result.columns), out, batch_id)
 
-    return _start(source, run, f"{work}/checkpoint")
+    return _start(closed, run, f"{work}/checkpoint")
 
 
-def stream_prune_locks(source: DataFrame, out: str, work: str, closed_before=None) -> StreamingQuery:
-    return _snapshot_job(source, prune_locks, out, work, False, closed_before)
+def stream_prune_locks(source: DataFrame, out: str, work: str, delay: str = "5 minutes") -> StreamingQuery:
+    return _snapshot_job(source, prune_locks, out, work, False, delay)
 
 
-def stream_persistent_waits(source: DataFrame, out: str, work: str, closed_before=None) -> StreamingQuery:
-    return _snapshot_job(source, persistent_waits, out, work, True, closed_before)
+def stream_persistent_waits(source: DataFrame, out: str, work: str, delay: str = "5 minutes") -> StreamingQuery:
+    return _snapshot_job(source, persistent_waits, out, work, True, delay)

@@ -1,29 +1,134 @@
-"""State between micro-batches, and idempotent batch output.
+"""Keyed state of the streaming jobs, and idempotent batch output.
 
-State that must survive between batches is a table in two slots of a shared folder: batch ``n``
-reads the slot written by batch ``n - 1`` and overwrites the other one. A repeated batch finds its
-input untouched and writes the same output again, on whichever executors are alive.
+State lives in Spark's state store, one entry per series or host; a batch writes the entries it touches. Timers on event time clear
+the state of silent series and close snapshots.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.series import PREV
 
-class BatchTable:
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
-        self.spark, self.path, self.schema = spark, path, schema
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    def before(self, batch_id: int) -> DataFrame:
-        if batch_id == 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/slot{(batch_id - 1) % 2}")
 
-    def after(self, batch_id: int, df: DataFrame) -> None:
-        df.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/slot{batch_id % 2}")
+def use_rocksdb(spark: SparkSession) -> None:
+    """Keyed state needs this store; queries that were started with another one keep it."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int, fmt: str = "parquet") -> None:
     """Output of one batch in a folder of its own; a repeated batch replaces it."""
     df.write.mode("overwrite").format(fmt).save(f"{path}/batch={batch_id}")
+
+
+def _ms(at: pd.Timestamp) -> int:
+    return -(-at.value // 1_000_000)
+
+
+class LastSample(StatefulProcessor):
+    """Adds the previous sample's time and values to the samples of a series.
+
+    Samples not newer than the last known one are dropped. After more than ``ttl_ms`` without a sample a series starts over; once the
+    watermark has passed that time its state is gone.
+    """
+
+    def __init__(self, ts: str, cols: Sequence[str], schema: T.StructType, ttl_ms: int | None):
+        self.ts, self.cols, self.schema, self.ttl_ms = ts, list(cols), schema, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", self.schema)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        ts = self.ts
+        frame = pd.concat(list(rows), ignore_index=True).sort_values(ts, kind="stable")
+        known = self.last.get() if self.last.exists() else None
+        before = pd.Timestamp(known[0]) if known else pd.NaT
+        if known:
+            frame = frame[frame[ts] > before]
+        if frame.empty:
+            return
+        for c, value in zip(self.cols, known[1:] if known else [None] * len(self.cols), strict=True):
+            frame[c] = frame[c].astype("Int64")
+            frame[PREV + c] = frame[c].shift(1, fill_value=pd.NA if value is None else value)
+        frame[PREV + ts] = frame[ts].shift(1)
+        frame.iloc[0, frame.columns.get_loc(PREV + ts)] = before
+        if self.ttl_ms is not None:
+            silent = (frame[ts] - frame[PREV + ts]) > pd.Timedelta(milliseconds=self.ttl_ms)
+            frame.loc[silent, [PREV + c for c in (ts, *self.cols)]] = None
+            if known:
+                self.handle.deleteTimer(_ms(before) + self.ttl_ms)
+            self.handle.registerTimer(_ms(frame[ts].iloc[-1]) + self.ttl_ms)
+        newest = frame.iloc[-1]
+        self.last.update((newest[ts].to_pydatetime(), *(None if pd.isna(newest[c]) else int(newest[c]) for c in self.cols)))
+        yield frame
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists() and _ms(pd.Timestamp(self.last.get()[0])) + self.ttl_ms <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+class OpenSnapshots(StatefulProcessor):
+    """Holds the snapshots of a host back until ``delay_ms`` after their time, so that late rows still join theirs.
+
+    A closed snapshot comes out with ``_done`` false. With ``keep_last`` the one closed before it comes along, ``_done``.
+    """
+
+    def __init__(self, ts: str, schema: T.StructType, delay_ms: int, keep_last: bool):
+        self.ts, self.schema, self.delay_ms, self.keep_last = ts, schema, delay_ms, keep_last
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "at bigint", "rows binary")
+        self.last = handle.getValueState("last", "rows binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            for at, part in frame.groupby(self.ts):
+                number = (at.value // 1000,)
+                if self.open.containsKey(number):
+                    part = pd.concat([_unpacked(self.open.getValue(number)[0]), part], ignore_index=True)
+                else:
+                    self.handle.registerTimer(_ms(at) + self.delay_ms)
+                self.open.updateValue(number, (_packed(part),))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        over = (expiredTimerInfo.getExpiryTimeInMs() - self.delay_ms) * 1000
+        for (at,) in sorted(tuple(k) for k in self.open.keys()):
+            if at > over:
+                break
+            raw = self.open.getValue((at,))[0]
+            if self.keep_last:
+                if self.last.exists():
+                    yield _unpacked(self.last.get()[0]).assign(_done=True)
+                self.last.update((raw,))
+            yield _unpacked(raw).assign(_done=False)
+            self.open.removeKey((at,))
+
+    def close(self) -> None:
+        pass
+
+
+def _packed(frame: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(frame, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(raw: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(raw).read_pandas()
