@@ -19,7 +19,7 @@ from ..plans.summaries import hourly_peaks, store_hourly_peaks
 from ..schema import METRICS, Metric, Reset
 from ..sources.fleet import Fleet
 from ..sources.versions import VersionedTable, read_if_there
-from .state import LastSample, OpenSnapshots, use_rocksdb, write_batch
+from .state import LastSample, Predecessor, use_rocksdb, write_batch
 
 
 def read_samples(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -190,18 +190,20 @@ def _snapshot_job(source: DataFrame, transform: Callable[[DataFrame], DataFrame]
     ones are dropped. With ``keep_last`` the host's snapshot before it is there too.
     """
     use_rocksdb(source.sparkSession)
-    names, schema = source.columns, T.StructType([*source.schema.fields, T.StructField("_done", T.BooleanType())])
-    processor = OpenSnapshots("bl_timestamp", source.schema, _milliseconds(source.sparkSession, delay), keep_last)
-    closed = source.withWatermark("bl_timestamp", "0 seconds").groupBy("bl_host_id").transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    names, at = source.columns, ["bl_host_id", "bl_timestamp"]
+    closed = source.withWatermark("bl_timestamp", delay).groupBy(*at).agg(F.collect_list(F.struct(*names)).alias("rows"))
+    if keep_last:
+        schema = T.StructType([*closed.schema.fields, T.StructField("_done", T.BooleanType())])
+        closed = closed.groupBy("bl_host_id").transformWithStateInPandas(Predecessor("bl_timestamp"), schema, "Append", "None")
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        at = ["bl_host_id", "bl_timestamp"]
-        write_batch(batch, f"{work}/closed", batch_id)  # state is read once, whatever the transformation reads
-        batch = source.sparkSession.read.schema(schema).parquet(f"{work}/closed/batch={batch_id}")
-        todo = batch.where("not _done").select(*at).distinct()
-        before = batch.where("_done").join(todo, at, "left_anti")  # of several closed in one batch, only the first needs its predecessor
-        result = transform(batch.where("not _done").unionByName(before).select(*names))
-        write_batch(result.join(todo, at, "left_semi").select(*result.columns), out, batch_id)
+        write_batch(batch.select(F.inline("rows"), *(["_done"] if keep_last else [])), f"{work}/closed", batch_id)  # state is read once, whatever the transformation reads
+        batch = batch.sparkSession.read.parquet(f"{work}/closed/batch={batch_id}")
+        result = transform(batch.select(*names))
+        if keep_last:
+            todo = batch.where("not _done").select(*at).distinct()
+            result = result.join(todo, at, "left_semi").select(*result.columns)
+        write_batch(result, out, batch_id)
 
     return _start(closed, run, f"{work}/checkpoint")
 

@@ -1,15 +1,15 @@
 """Keyed state of the streaming jobs, and idempotent batch output.
 
 State lives in Spark's state store, one entry per series or host; a batch writes the entries it touches. Timers on event time clear
-the state of silent series and close snapshots.
+the state of silent series.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -80,55 +80,26 @@ class LastSample(StatefulProcessor):
         pass
 
 
-class OpenSnapshots(StatefulProcessor):
-    """Holds the snapshots of a host back until ``delay_ms`` after their time, so that late rows still join theirs.
+class Predecessor(StatefulProcessor):
+    """Passes a host's closed snapshots on, one row each with its ``rows``, and with the first of a batch the one closed before it, as ``_done``."""
 
-    A closed snapshot comes out with ``_done`` false. With ``keep_last`` the one closed before it comes along, ``_done``.
-    """
-
-    def __init__(self, ts: str, schema: T.StructType, delay_ms: int, keep_last: bool):
-        self.ts, self.schema, self.delay_ms, self.keep_last = ts, schema, delay_ms, keep_last
+    def __init__(self, ts: str):
+        self.ts = ts
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getMapState("open", "at bigint", "rows binary")
-        self.last = handle.getValueState("last", "rows binary")
+        self.last = handle.getValueState("last", "at timestamp, rows binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            for at, part in frame.groupby(self.ts):
-                number = (at.value // 1000,)
-                if self.open.containsKey(number):
-                    part = pd.concat([_unpacked(self.open.getValue(number)[0]), part], ignore_index=True)
-                else:
-                    self.handle.registerTimer(_ms(at) + self.delay_ms)
-                self.open.updateValue(number, (_packed(part),))
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        over = (expiredTimerInfo.getExpiryTimeInMs() - self.delay_ms) * 1000
-        for (at,) in sorted(tuple(k) for k in self.open.keys()):
-            if at > over:
-                break
-            raw = self.open.getValue((at,))[0]
-            if self.keep_last:
-                if self.last.exists():
-                    yield _unpacked(self.last.get()[0]).assign(_done=True)
-                self.last.update((raw,))
-            yield _unpacked(raw).assign(_done=False)
-            self.open.removeKey((at,))
+        frame = pd.concat(list(rows), ignore_index=True).sort_values(self.ts)
+        if self.last.exists():
+            at, raw = self.last.get()
+            before = frame.iloc[:1].copy()
+            before[self.ts] = pd.Timestamp(at)
+            before["rows"] = [pickle.loads(raw)]
+            yield before.assign(_done=True)
+        newest = frame.iloc[-1]
+        self.last.update((newest[self.ts].to_pydatetime(), pickle.dumps(newest["rows"])))
+        yield frame.assign(_done=False)
 
     def close(self) -> None:
         pass
-
-
-def _packed(frame: pd.DataFrame) -> bytes:
-    table = pa.Table.from_pandas(frame, preserve_index=False)
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as out:
-        out.write_table(table)
-    return sink.getvalue().to_pybytes()
-
-
-def _unpacked(raw: bytes) -> pd.DataFrame:
-    return pa.ipc.open_stream(raw).read_pandas()
