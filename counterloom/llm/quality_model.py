@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 from . import arrays as A
 from .store import hashed_sample, text_digest, written
 
+#: Bytes of text and tokens handled at once, and words whose sums a task holds before it passes them on.
+SLICE, TOKENS, WORDS = 1 << 20, 1 << 15, 150_000
+
 #: Class of each byte: white space, letter (with all non-ASCII), digit, other.
 _KIND = np.full(256, 3, np.int8)
 _KIND[A.SPACE] = 0
@@ -41,15 +44,15 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     start, end = edge[:-1], edge[1:]
     inside = kind[start] > 0 if len(start) else np.zeros(0, bool)
     start, end = start[inside], end[inside]
-    return A.span_hash(A.byte_prefix(data), start, end), A.owners(offsets, start)
+    return A.word_hashes(data, start, end), A.owners(offsets, start)
 
 
 def index_vectors(words: np.ndarray, width: int, seed: int, ones: int = 4) -> np.ndarray:
     """Sparse vector of each word, drawn by seeded hashes of the word itself: ``ones`` entries of +1 or -1 each."""
-    out = np.zeros((len(words), width), np.int32)
+    out = np.zeros((len(words), width), np.int8)
     for i in range(ones):
         h = A.seeded(words, seed * 31 + i)
-        out[np.arange(len(words)), (h >> np.uint64(1)) % np.uint64(width)] += np.where(h & np.uint64(1), 1, -1).astype(np.int32)
+        out[np.arange(len(words)), (h >> np.uint64(1)) % np.uint64(width)] += np.where(h & np.uint64(1), 1, -1).astype(np.int8)
     return out
 
 
@@ -83,6 +86,13 @@ def _unpacked(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+#: Vectors are whole numbers of this part of their length where they are summed by document.
+STEPS = 4096
+
+#: A document of a group that holds a word, and how often.
+_ENTRY = np.dtype([("doc", "<u2"), ("count", "u1")])
+
+
 @dataclass(frozen=True)
 class WordVectors:
     """Context sums by word, a table of (word, sums), and the common direction that is taken off."""
@@ -104,6 +114,31 @@ def context_vectors(sums: pa.Array, common: np.ndarray) -> np.ndarray:
     return _unit(_unit(_unpacked(sums, len(common)).astype(np.float64)) - common).astype(np.float32).astype(np.float64)
 
 
+def _merged(words: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of equal words added up."""
+    if not len(words):
+        return words, sums
+    order = np.argsort(words, kind="stable")
+    words = words[order]
+    first = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
+    return words[first], np.add.reduceat(sums[order], first, axis=0)
+
+
+def _contexts(words: np.ndarray, doc: np.ndarray, width: int, reach: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words and the sums of their neighbours' index vectors, for some tokens at a time; this bounds the rows of vectors."""
+    for a in range(0, len(words), TOKENS):
+        b = min(a + TOKENS, len(words))
+        low, high = max(a - reach, 0), min(b + reach, len(words))
+        held, number = np.unique(words[low:high], return_inverse=True)
+        own, of = index_vectors(held, width, seed)[number], doc[low:high]
+        near = np.zeros((high - low, width), np.int32)
+        for step in range(1, reach + 1):
+            same = (of[step:] == of[:-step])[:, None]
+            near[:-step] += own[step:] * same
+            near[step:] += own[:-step] * same
+        yield _merged(words[a:b], near[a - low : b - low].astype(np.int64))
+
+
 def word_vectors(docs: DataFrame, text: str = "text", width: int = 24, reach: int = 2, seed: int = 11) -> WordVectors:
     """Context sums of all words over all documents; ``context_vectors`` makes vectors of them.
 
@@ -112,35 +147,30 @@ def word_vectors(docs: DataFrame, text: str = "text", width: int = 24, reach: in
     """
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in A.slices(batches, "_text"):
-            words, doc = _tokens(batch.column("_text"))
-            held, number = np.unique(words, return_inverse=True)
-            index = index_vectors(held, width, seed)
-            sums = np.zeros((len(held), width), np.int64)
-            for a in range(0, len(words), 1 << 18):  # bounds the rows of vectors
-                b = min(a + (1 << 18), len(words))
-                low, high = max(a - reach, 0), min(b + reach, len(words))
-                own, of = index[number[low:high]], doc[low:high]
-                near = np.zeros_like(own)
-                for step in range(1, reach + 1):
-                    same = (of[step:] == of[:-step])[:, None]
-                    near[:-step] += own[step:] * same
-                    near[step:] += own[:-step] * same
-                order = np.argsort(number[a:b], kind="stable")
-                if len(order):
-                    ordered = number[a:b][order]
-                    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-                    sums[ordered[first]] += np.add.reduceat(near[a - low : b - low][order].astype(np.int64), first, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(held.view(np.int64)), *(pa.array(c) for c in np.ascontiguousarray(sums.T))], ["word", *columns])
-
-    columns = [f"v{i}" for i in range(width)]
-    parts = docs.select(F.col(text).alias("_text")).mapInArrow(contexts, "word long, " + ", ".join(f"{c} long" for c in columns))
-    summed = parts.groupBy("word").agg(*(F.sum(c).alias(c) for c in columns))
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = np.stack([batch.column(c).to_numpy() for c in columns], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), _packed(rows)], ["word", "sums"])
+        words, sums = np.zeros(0, np.uint64), np.zeros((0, width), np.int64)
+        for batch in A.slices(batches, "_text", SLICE):
+            for part in _contexts(*_tokens(batch.column("_text")), width, reach, seed):
+                words, sums = _merged(np.append(words, part[0]), np.append(sums, part[1], axis=0))
+                if len(words) > WORDS:
+                    yield from rows(words, sums)
+                    words, sums = words[:0], sums[:0]
+        yield from rows(words, sums)
+
+    def rows(words: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(words), 20_000):
+            yield pa.RecordBatch.from_arrays([pa.array(words[a : a + 20_000].view(np.int64)), _packed(sums[a : a + 20_000])], ["word", "sums"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = (np.zeros(0, np.uint64), np.zeros((0, width), np.int64))
+        for batch in batches:  # by word: the last one may go on in the next batch
+            words, sums = _merged(np.append(last[0], batch.column("word").to_numpy().view(np.uint64)), np.append(last[1], _unpacked(batch.column("sums"), width), axis=0))
+            order = np.argsort(words.view(np.int64), kind="stable")
+            yield from rows(words[order[:-1]], sums[order[:-1]])
+            last = words[order[-1:]], sums[order[-1:]]
+        yield from rows(*last)
+
+    parts = docs.select(F.col(text).alias("_text")).mapInArrow(contexts, "word long, sums binary")
+    merged = parts.repartition("word").sortWithinPartitions("word").mapInArrow(summed, "word long, sums binary")
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width + 1, np.int64)  # whole numbers, whose sum does not depend on the order
@@ -149,7 +179,7 @@ def word_vectors(docs: DataFrame, text: str = "text", width: int = 24, reach: in
             total += np.append(np.rint(rows * 2**20).astype(np.int64).sum(axis=0), len(rows))
         yield pa.RecordBatch.from_arrays([_lists(total[None])], ["total"])
 
-    words = written(summed.mapInArrow(packed, "word long, sums binary"), "words")
+    words = written(merged, "words")
     got = words.select("sums").mapInArrow(totals, "total array<long>").agg(*(F.sum(F.col("total")[i]) for i in range(width + 1))).first()
     total = np.array([x or 0 for x in got], np.float64)
     return WordVectors(words, total[:width] / 2**20 / max(total[width], 1))
@@ -159,8 +189,8 @@ def pooled(docs: DataFrame, vectors: WordVectors, doc_id: str = "doc_id", text:
     """Mean and spread of the token vectors of every whole text, and the logarithm of its length: (doc_id, digest, pooled).
 
     Texts are taken in groups of about ``group_bytes``. A group has one row for each of its words, with the documents that hold it and
-    how often; joined to the words' context sums, the rows of a group come together again and are summed by document. A frequent word has a
-    row for each group, not for each document.
+    how often; joined to the words' sums, it gets their vector in steps of 1 / ``STEPS``, and the vectors of a group come together again, many to a row,
+    and are summed by document. A frequent word has a row for each group, not for each document.
     """
 
     common, width = vectors.common, vectors.width
@@ -168,7 +198,7 @@ def pooled(docs: DataFrame, vectors: WordVectors, doc_id: str = "doc_id", text:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = TaskContext.get().partitionId() << 32
         held: list[tuple] = []
-        ids: list[pa.Array] = []
+        ids: list[pa.RecordBatch] = []
         size = documents = 0
 
         def table() -> Iterator[pa.RecordBatch]:
@@ -182,11 +212,12 @@ def pooled(docs: DataFrame, vectors: WordVectors, doc_id: str = "doc_id", text:
             count[last] = large - 255 * (times - 1)
             first = np.flatnonzero(np.append(True, words[1:] != words[:-1])) if len(words) else np.zeros(0, np.int64)
             ends = np.append(first, len(words)).astype(np.int32)
+            entries = np.zeros(len(words), _ENTRY)
+            entries["doc"], entries["count"] = doc, count
             for a in range(0, len(first), 20_000):
                 b = min(a + 20_000, len(first))
-                own, at = slice(ends[a], ends[b]), ends[a : b + 1] - ends[a]
-                docs, counts = _binary(doc[own].astype(np.int32), 4 * at), _binary(count[own].astype(np.uint8), at)
-                yield row(b - a, group=pa.array(np.full(b - a, group)), word=pa.array(words[first[a:b]].view(np.int64)), docs=docs, counts=counts)
+                at = ends[a : b + 1] - ends[a]
+                yield row(b - a, group=pa.array(np.full(b - a, group)), word=pa.array(words[first[a:b]].view(np.int64)), held=_binary(entries[ends[a] : ends[b]], 3 * at))
             done = 0
             for part in ids:
                 n = part.num_rows
@@ -194,11 +225,7 @@ def pooled(docs: DataFrame, vectors: WordVectors, doc_id: str = "doc_id", text:
                 yield row(n, group=pa.array(np.full(n, group)), word=pa.array(spread), at=pa.array(np.arange(done, done + n, dtype=np.int32)), doc_id=part.column("doc_id"), digest=part.column("digest"))
                 done += n
 
-        def row(n: int, **given: pa.Array) -> pa.RecordBatch:
-            kinds = {"group": pa.int64(), "word": pa.int64(), "docs": pa.binary(), "counts": pa.binary(), "at": pa.int32(), "doc_id": pa.int64(), "digest": pa.string()}
-            return pa.RecordBatch.from_arrays([given.get(c, pa.nulls(n, t)) for c, t in kinds.items()], list(kinds))
-
-        for batch in A.slices(batches, "_text"):
+        for batch in A.slices(batches, "_text", SLICE):
             words, doc = _tokens(batch.column("_text"))
             distinct, number = np.unique(words, return_inverse=True)
             pairs, count = np.unique(number * batch.num_rows + doc, return_counts=True)
@@ -212,35 +239,53 @@ def pooled(docs: DataFrame, vectors: WordVectors, doc_id: str = "doc_id", text:
         if documents:
             yield from table()
 
+    def row(n: int, **given: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([given.get(c, pa.nulls(n, t)) for c, t in kinds.items()], list(kinds))
+
+    def with_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of documents, and for each group of the batch a row with all vectors and entries."""
+        for batch in batches:
+            known = batch.filter(batch.column("at").is_valid())
+            yield row(known.num_rows, **{c: known.column(c) for c in ("group", "at", "doc_id", "digest")})
+            rest = batch.filter(batch.column("at").is_null())
+            group = rest.column("group").to_numpy()
+            for own in np.unique(group):
+                part = rest.take(pa.array(np.flatnonzero(group == own)))
+                vector = np.rint(context_vectors(part.column("sums"), common) * STEPS).astype("<i2")
+                raw, ends = A.text_bytes(part.column("held"))
+                sizes = np.diff(ends).astype("<i4")
+                yield row(1, group=pa.array([own]), held=pa.array([len(sizes).to_bytes(4, "little") + sizes.tobytes() + vector.tobytes() + raw.tobytes()], pa.binary()))
+
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in A.grouped(batches, "group"):
             known = rows.filter(rows["at"].is_valid()).sort_by("at")
             n = known.num_rows
-            sums, tokens = np.zeros((n, 2 * width)), np.zeros(n, np.int64)
-            for batch in rows.filter(rows["at"].is_null()).to_batches(4096):
-                vector = context_vectors(batch.column("sums"), common)
-                # whole numbers, whose sums do not depend on the order
-                both = np.rint(np.concatenate([vector, vector**2], axis=1) * 4096)
-                count, ends = A.text_bytes(batch.column("counts"))
-                doc, size = A.text_bytes(batch.column("docs"))[0].view(np.int32), np.diff(ends)
-                for a in range(0, len(doc), 1 << 16):  # bounds the rows of vectors
-                    own = slice(a, a + (1 << 16))
-                    part = doc[own]
-                    order = np.argsort(part, kind="stable")
-                    first = np.flatnonzero(np.append(True, np.diff(part[order]) != 0))
-                    times = both[np.repeat(np.arange(len(size)), size)[own][order]] * count[own][order][:, None]
-                    sums[part[order][first]] += np.add.reduceat(times, first, axis=0)
+            sums, tokens = np.zeros((n, 2 * width), np.int64), np.zeros(n, np.int64)
+            for raw in rows.filter(rows["at"].is_null())["held"].to_pylist():
+                m = int.from_bytes(raw[:4], "little")
+                size = np.frombuffer(raw, "<i4", m, 4) // 3
+                vector = np.frombuffer(raw, "<i2", m * width, 4 + 4 * m).reshape(m, width).astype(np.int64)
+                entries = np.frombuffer(raw, _ENTRY, -1, 4 + 4 * m + 2 * m * width)
+                both, of = np.concatenate([vector, vector**2], axis=1), np.repeat(np.arange(m), size)
+                doc, count = entries["doc"].astype(np.int64), entries["count"].astype(np.int64)
+                for a in range(0, len(doc), TOKENS):  # bounds the rows of vectors
+                    own = slice(a, a + TOKENS)
+                    order = np.argsort(doc[own], kind="stable")
+                    part = doc[own][order]
+                    first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+                    sums[part[first]] += np.add.reduceat(both[of[own][order]] * count[own][order][:, None], first, axis=0)
                 tokens += np.bincount(doc, count, n).astype(np.int64)
-            mean = sums / (4096 * np.maximum(tokens, 1)[:, None])
-            spread = np.sqrt(np.maximum(mean[:, width:] - mean[:, :width] ** 2, 0))
-            got = np.concatenate([mean[:, :width], spread, np.log1p(tokens)[:, None]], axis=1).astype(np.float32)
+            each = np.maximum(tokens, 1)[:, None]
+            mean, square = sums[:, :width] / (STEPS * each), sums[:, width:] / (STEPS * STEPS * each)
+            got = np.concatenate([mean, np.sqrt(np.maximum(square - mean**2, 0)), np.log1p(tokens)[:, None]], axis=1).astype(np.float32)
             for a in range(0, n, 10_000):
                 part = known.slice(a, 10_000).combine_chunks()
                 yield pa.RecordBatch.from_arrays([part["doc_id"].combine_chunks(), part["digest"].combine_chunks(), _lists(got[a : a + 10_000])], ["doc_id", "digest", "pooled"])
 
+    kinds = {"group": pa.int64(), "word": pa.int64(), "held": pa.binary(), "at": pa.int32(), "doc_id": pa.int64(), "digest": pa.string()}
+    schema = "group long, word long, held binary, at int, doc_id long, digest string"
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_digest(F.col(text)).alias("digest"), F.col(text).alias("_text"))
-    parts = rows.mapInArrow(counted, "group long, word long, docs binary, counts binary, at int, doc_id long, digest string")
-    found = parts.join(vectors.sums, "word", "left").drop("word")
+    found = rows.mapInArrow(counted, schema).join(vectors.sums, "word", "left").mapInArrow(with_vectors, schema).drop("word")
     return found.repartition("group").sortWithinPartitions("group").mapInArrow(pool, "doc_id long, digest string, pooled array<float>")
 
 
