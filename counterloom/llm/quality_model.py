@@ -24,7 +24,7 @@ from . import arrays as A
 from .store import hashed_sample, text_digest, written
 
 #: Bytes of text and tokens handled at once, and words whose sums a task holds before it passes them on.
-SLICE, TOKENS, WORDS = 1 << 20, 1 << 15, 150_000
+SLICE, TOKENS, WORDS = 1 << 20, 1 << 16, 400_000
 
 #: Class of each byte: white space, letter (with all non-ASCII), digit, other.
 _KIND = np.full(256, 3, np.int8)
@@ -93,6 +93,25 @@ STEPS = 4096
 _ENTRY = np.dtype([("doc", "<u2"), ("count", "u1")])
 
 
+def _joined(*columns: pa.Array) -> bytes:
+    """Binary columns of equal length as one value."""
+    out = [len(columns[0]).to_bytes(4, "little")]
+    for column in columns:
+        raw, ends = A.text_bytes(column)
+        out += [np.diff(ends).astype("<i4").tobytes(), raw.tobytes()]
+    return b"".join(out)
+
+
+def _split(raw: bytes, columns: int = 2) -> list[pa.Array]:
+    n, at, out = int.from_bytes(raw[:4], "little"), 4, []
+    for _ in range(columns):
+        ends = np.append(0, np.cumsum(np.frombuffer(raw, "<i4", n, at)))
+        at += 4 * n
+        out.append(_binary(np.frombuffer(raw, np.uint8, ends[-1], at), ends))
+        at += int(ends[-1])
+    return out
+
+
 @dataclass(frozen=True)
 class WordVectors:
     """Context sums by word, a table of (word, sums), and the common direction that is taken off."""
@@ -136,7 +155,7 @@ def _contexts(words: np.ndarray, doc: np.ndarray, width: int, reach: int, seed:
             same = (of[step:] == of[:-step])[:, None]
             near[:-step] += own[step:] * same
             near[step:] += own[:-step] * same
-        yield _merged(words[a:b], near[a - low : b - low].astype(np.int64))
+        yield _merged(words[a:b], near[a - low : b - low])
 
 
 def word_vectors(docs: DataFrame, text: str = "text", width: int = 24, reach: int = 2, seed: int = 11) -> WordVectors:
@@ -147,14 +166,20 @@ def word_vectors(docs: DataFrame, text: str = "text", width: int = 24, reach: in
     """
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sums = np.zeros(0, np.uint64), np.zeros((0, width), np.int64)
+        words, sums = np.zeros(0, np.uint64), np.zeros((0, width), np.int32)
+        new: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting = 0
         for batch in A.slices(batches, "_text", SLICE):
             for part in _contexts(*_tokens(batch.column("_text")), width, reach, seed):
-                words, sums = _merged(np.append(words, part[0]), np.append(sums, part[1], axis=0))
-                if len(words) > WORDS:
-                    yield from rows(words, sums)
-                    words, sums = words[:0], sums[:0]
-        yield from rows(words, sums)
+                new.append(part)
+                waiting += len(part[0])
+                if waiting > WORDS // 2:
+                    words, sums = _merged(*(np.concatenate(x) for x in zip((words, sums), *new, strict=True)))
+                    new, waiting = [], 0
+                    if len(words) > WORDS:
+                        yield from rows(words, sums)
+                        words, sums = words[:0], sums[:0]
+        yield from rows(*_merged(*(np.concatenate(x) for x in zip((words, sums), *new, strict=True))))
 
     def rows(words: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
         for a in range(0, len(words), 20_000):
@@ -189,8 +214,8 @@ def pooled(docs: DataFrame, vectors: WordVectors, doc_id: str = "doc_id", text:
     """Mean and spread of the token vectors of every whole text, and the logarithm of its length: (doc_id, digest, pooled).
 
     Texts are taken in groups of about ``group_bytes``. A group has one row for each of its words, with the documents that hold it and
-    how often; joined to the words' sums, it gets their vector in steps of 1 / ``STEPS``, and the vectors of a group come together again, many to a row,
-    and are summed by document. A frequent word has a row for each group, not for each document.
+    how often; joined to the words' sums, the rows of a group come together again, many in one, and their vectors are summed by
+    document in steps of 1 / ``STEPS``. A frequent word has a row for each group, not for each document.
     """
 
     common, width = vectors.common, vectors.width
@@ -242,8 +267,8 @@ def pooled(docs: DataFrame, vectors: WordVectors, doc_id: str = "doc_id", text:
     def row(n: int, **given: pa.Array) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([given.get(c, pa.nulls(n, t)) for c, t in kinds.items()], list(kinds))
 
-    def with_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows of documents, and for each group of the batch a row with all vectors and entries."""
+    def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of documents, and for each group of the batch a row with all sums and entries."""
         for batch in batches:
             known = batch.filter(batch.column("at").is_valid())
             yield row(known.num_rows, **{c: known.column(c) for c in ("group", "at", "doc_id", "digest")})
@@ -251,10 +276,7 @@ def pooled(docs: DataFrame, vectors: WordVectors, doc_id: str = "doc_id", text:
             group = rest.column("group").to_numpy()
             for own in np.unique(group):
                 part = rest.take(pa.array(np.flatnonzero(group == own)))
-                vector = np.rint(context_vectors(part.column("sums"), common) * STEPS).astype("<i2")
-                raw, ends = A.text_bytes(part.column("held"))
-                sizes = np.diff(ends).astype("<i4")
-                yield row(1, group=pa.array([own]), held=pa.array([len(sizes).to_bytes(4, "little") + sizes.tobytes() + vector.tobytes() + raw.tobytes()], pa.binary()))
+                yield row(1, group=pa.array([own]), held=pa.array([_joined(part.column("sums"), part.column("held"))], pa.binary()))
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in A.grouped(batches, "group"):
@@ -262,11 +284,11 @@ def pooled(docs: DataFrame, vectors: WordVectors, doc_id: str = "doc_id", text:
             n = known.num_rows
             sums, tokens = np.zeros((n, 2 * width), np.int64), np.zeros(n, np.int64)
             for raw in rows.filter(rows["at"].is_null())["held"].to_pylist():
-                m = int.from_bytes(raw[:4], "little")
-                size = np.frombuffer(raw, "<i4", m, 4) // 3
-                vector = np.frombuffer(raw, "<i2", m * width, 4 + 4 * m).reshape(m, width).astype(np.int64)
-                entries = np.frombuffer(raw, _ENTRY, -1, 4 + 4 * m + 2 * m * width)
-                both, of = np.concatenate([vector, vector**2], axis=1), np.repeat(np.arange(m), size)
+                (of_words, held) = _split(raw)
+                vector = np.rint(context_vectors(of_words, common) * STEPS).astype(np.int64)
+                m, (data, ends) = len(held), A.text_bytes(held)
+                entries = np.frombuffer(data.tobytes(), _ENTRY)
+                both, of = np.concatenate([vector, vector**2], axis=1), np.repeat(np.arange(m), np.diff(ends) // 3)
                 doc, count = entries["doc"].astype(np.int64), entries["count"].astype(np.int64)
                 for a in range(0, len(doc), TOKENS):  # bounds the rows of vectors
                     own = slice(a, a + TOKENS)
@@ -285,7 +307,7 @@ def pooled(docs: DataFrame, vectors: WordVectors, doc_id: str = "doc_id", text:
     kinds = {"group": pa.int64(), "word": pa.int64(), "held": pa.binary(), "at": pa.int32(), "doc_id": pa.int64(), "digest": pa.string()}
     schema = "group long, word long, held binary, at int, doc_id long, digest string"
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_digest(F.col(text)).alias("digest"), F.col(text).alias("_text"))
-    found = rows.mapInArrow(counted, schema).join(vectors.sums, "word", "left").mapInArrow(with_vectors, schema).drop("word")
+    found = rows.mapInArrow(counted, schema).join(vectors.sums, "word", "left").mapInArrow(by_group, schema).drop("word")
     return found.repartition("group").sortWithinPartitions("group").mapInArrow(pool, "doc_id long, digest string, pooled array<float>")
 
 
