@@ -42,7 +42,7 @@ def _sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram hashes of each text and their document offsets."""
     data, offsets = A.text_bytes(texts)
     start, end, doc = A.words(data, offsets)
-    word = A.span_hash(A.byte_prefix(data), start, end)
+    word = A.word_hashes(data, start, end)
     of = A.doc_offsets(doc, len(texts))
     first, hashes = A.windows(word, of, n)
     owner = A.owners(of, first)

@@ -41,7 +41,7 @@ def _normal_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-case words (letters, digits, non-ASCII characters) and their document offsets."""
     data, offsets = A.text_bytes(pc.utf8_lower(texts))
     start, end = A.spans(_WORD[data], offsets)
-    return A.span_hash(A.byte_prefix(data), start, end), A.doc_offsets(A.owners(offsets, start), len(texts))
+    return A.word_hashes(data, start, end), A.doc_offsets(A.owners(offsets, start), len(texts))
 
 
 def _fingerprints(hashes: np.ndarray, weights: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:

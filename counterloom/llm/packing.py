@@ -105,7 +105,7 @@ class CachedTokenizer:
         begins[offsets[:-1][np.diff(offsets) > 0]] = True
         start = np.flatnonzero(begins)
         end = np.append(start[1:], len(data)) if len(start) else start
-        hashes = A.span_hash(A.byte_prefix(data), start, end) ^ A.mix((end - start).astype(np.uint64))
+        hashes = A.word_hashes(data, start, end)
         keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.slots) + len(keys) > self.limit:
             self._clear()

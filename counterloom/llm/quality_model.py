@@ -24,7 +24,7 @@ from . import arrays as A
 from .store import hashed_sample, text_digest, written
 
 #: Bytes of text and tokens handled at once, and words whose sums a task holds before it passes them on.
-SLICE, TOKENS, WORDS = 1 << 20, 1 << 16, 400_000
+SLICE, TOKENS, WORDS = 1 << 20, 1 << 15, 200_000
 
 #: Class of each byte: white space, letter (with all non-ASCII), digit, other.
 _KIND = np.full(256, 3, np.int8)

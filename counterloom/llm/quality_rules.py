@@ -41,8 +41,7 @@ def _measure(texts: pa.Array) -> dict[str, np.ndarray]:
     of = A.doc_offsets(doc, n)
     n_words = np.diff(of)
     solid = ~A.SPACE[data]
-    sums = A.byte_prefix(data)
-    word = A.span_hash(sums, start, end)
+    word = A.word_hashes(data, start, end)
     own = A.mix(np.arange(n, dtype=np.uint64) + np.uint64(1))  # keeps documents apart within one sort
 
     first, window = A.windows(word, of, 5)
@@ -53,7 +52,7 @@ def _measure(texts: pa.Array) -> dict[str, np.ndarray]:
     has_word = np.searchsorted(start, line_end, "left") > np.searchsorted(start, line_start, "left")
     line_start, line_end = line_start[has_word], line_end[has_word]
     line_doc = A.owners(offsets, line_start)
-    line = A.span_hash(sums, line_start, line_end) ^ own[line_doc]
+    line = A.word_hashes(data, line_start, line_end) ^ own[line_doc]
     order = np.lexsort((line, line_doc))
     same = np.zeros(len(order), bool)
     same[1:] = line[order][1:] == line[order][:-1]

@@ -38,7 +38,7 @@ EMPTY = hashlib.sha256(b"").hexdigest()
 def _word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = A.text_bytes(texts)
     start, end, doc = A.words(data, offsets)
-    return A.span_hash(A.byte_prefix(data), start, end), A.doc_offsets(doc, len(texts))
+    return A.word_hashes(data, start, end), A.doc_offsets(doc, len(texts))
 
 
 def _grams(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

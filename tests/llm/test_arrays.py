@@ -44,3 +44,29 @@ def test_sliding_min_and_covered():
     for w in range(1, 7):
         assert A.sliding_min(v, w).tolist() == [min(v[i : i + w]) for i in range(7 - w)]
     assert A.covered(np.array([1, 2]), 2, 6).tolist() == [False, True, True, True, False, False]
+
+
+def thue_morse(n):
+    """A string on which polynomials over 2**64 collide with its complement."""
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    return ["".join("ab"[b ^ flip] for b in bits[:n]) for flip in (0, 1)]
+
+
+def test_tokens_and_lines_of_colliding_words():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from counterloom.llm import packing, quality_rules
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, cached = Tokenizer.from_file(path), packing.CachedTokenizer(path)
+    for n in (1024, 2048, 4096):
+        one, two = thue_morse(n)
+        texts = [one, two, f"{one} {two}", f"{two}\n{one}\n{two}"]
+        ids, of = cached(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(of[:-1], of[1:])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        counts = quality_rules._measure(pa.array(texts))
+        assert counts["n_dup_lines"].tolist() == [0, 0, 0, 1]
+

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline as P
+from counterloom.llm import quality_model
 from counterloom.llm import queries as Q
 from counterloom.llm.store import written
 
@@ -35,7 +36,9 @@ def test_stages_do_their_part(spark, data):
         before, docs = docs, after
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
     first = kept["quality-classifier"]
-    assert None in first and sum(i in first for i, q in labels.items() if q == 1) > 0.95 * sum(q == 1 for q in labels.values())
+    scores = quality_model.quality_scores(spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet").where(~Q.held_out()))
+    assert set(first) == {r["doc_id"] for r in scores.where("score >= 0.3").collect()}
+    assert sum(i in first for i, q in labels.items() if q == 1) > 0.95 * sum(q == 1 for q in labels.values())
     assert sum(i in first for i, q in labels.items() if q == 0) < 0.2 * sum(q == 0 for q in labels.values())
     classes = near(list(first.items()))
     assert set(kept["near-duplicates"]) - {None} == {i for i, (c, _) in classes.items() if c == i}
