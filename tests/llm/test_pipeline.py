@@ -17,7 +17,7 @@ from .test_quality import judged_rows
 def data(spark, tmp_path_factory):
     docs, labels = judged_rows(150)
     item = words(40, 7700)
-    docs += [(300, f"{words(30, 7800)} {item}"), (301, docs[0][1]), (302, docs[0][1] + " end"), (303, "write to jane.roe@mail.example.com please, this is a plain text of some words")]
+    docs += [(300, f"{words(30, 7800)} {item}"), (301, docs[0][1]), (302, docs[0][1] + " end"), (303, f"{words(40, 7900)} write to jane.roe@mail.example.com please {words(40, 7901)}")]
     root = str(tmp_path_factory.mktemp("data"))
     table(spark, docs + ODD).write.parquet(f"{root}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
