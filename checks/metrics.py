@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from counterloom.plans import metrics as P
+from counterloom.plans.exports import catch_up
+from counterloom.session import shared_dir
+from counterloom.sources.versions import VersionedTable
 
 from .harness import big, r0, rate, rn, secs
 
@@ -13,11 +18,20 @@ def _json_points(df):
     return df.select("measurement", F.to_json("tags").alias("tags"), F.to_json("fields").alias("fields"), "time")
 
 
+def _caught_up(f, name):
+    """Two runs: the first ends in the middle of a chunk."""
+    table = VersionedTable(f.spark, f"{shared_dir(f.spark)}/export-{uuid.uuid4().hex}")
+    catch_up(f, name, table, "2024-01-17 07:30:00", first_days=16)
+    return catch_up(f, name, table, "2024-01-31 00:00:00")
+
+
 QUERIES = {f"metric_{name}": (lambda f, n=name: P.metric(n, f)) for name in P.MEASUREMENTS}
 QUERIES |= {
     "metric_load_with_lag": lambda f: P.metric("load", f, None, "2024-01-10 00:00:00", "2024-01-31 00:00:00", "4 hours"),
     "export_points_sproc_details": lambda f: _json_points(P.export_points("sproc_details_per_schema_sproc", f)),
     "export_points_db_size": lambda f: _json_points(P.export_points("db_size", f)),
+    "export_catch_up_load": lambda f: _caught_up(f, "load").select("measurement", "tags.dbname", "fields.*", "time"),
+    "export_catch_up_sproc_details": lambda f: _json_points(_caught_up(f, "sproc_details_per_schema_sproc")),
 }
 
 _NOT_TEMP = "not ({0} like 'pg_temp%' or {0} like 'z_blocking' or {0} like 'tmp%' or {0} like 'temp%' or {0} = '_v')"
@@ -79,6 +93,20 @@ _LOAD = f"""with d as (select *, {_deltas('load_timestamp', {'xlog_location_mb':
 loads as (select {_head('load_host_id', 'load_timestamp')}, {rn('(load_1min_value / 100.0)', 1)} as min1, {rn('(load_5min_value / 100.0)', 1)} as min5,
   {rn('(load_15min_value / 100.0)', 1)} as min15, {rate('x', 'el', 3600000000)} as xlog_b_1h_rate from d where x >= 0 and el > 1)"""
 
+_EDGES = ["2024-01-01 07:30:00", "2024-01-04 07:30:00", "2024-01-07 07:30:00", "2024-01-10 07:30:00", "2024-01-13 07:30:00", "2024-01-16 07:30:00",
+          "2024-01-17 07:29:50", "2024-01-20 07:29:50", "2024-01-23 07:29:50", "2024-01-26 07:29:50", "2024-01-29 07:29:50"]
+
+
+def _chunked(sql: str, ts: str, where: str) -> str:
+    """The same rows where chunks begin at the edges and look four hours back for the sample before them."""
+    edges = f"with edges as (select unnest([{', '.join(f'timestamp {e!r}' for e in _EDGES)}]) as f), d as"
+    inside = f"{ts} > timestamp '{_EDGES[0]}' and {ts} <= timestamp '2024-01-30 23:59:50' and epoch_us({ts}) - el * 1000000 > epoch_us((select max(f) from edges where f < {ts})) - 14400000000"
+    return sql.replace("with d as", edges).replace(where, f"{where} and {inside}")
+
+
+_SPROC_POINTS = """ select 'sproc_details' as measurement, cast(to_json({dbname: host_ui_shortname, schema: schema, sproc: sproc}) as varchar) as tags,
+  cast(to_json({duration_s_1h_rate: duration_s_1h_rate, avg_self_us: avg_self_us, avg_total_us: avg_total_us}) as varchar) as fields, time from details join hosts using (host_id)"""
+
 ORACLE = {
     "metric_avg_query_runtime_per_db": f"""with d as (select *, {_deltas('ssd_timestamp', {'ssd_calls': 'c', 'ssd_total_time': 't'})}
   from stat_statements_data where ssd_calls > 10 and lower(ssd_query) not like 'copy%' window w as (partition by ssd_host_id, ssd_query_id order by ssd_timestamp)),
@@ -113,8 +141,9 @@ from d join tables on t_id = tsd_table_id where tscans >= 0 and el > 0 and {_NOT
 select {_head('tio_host_id', 'tio_timestamp')}, t_schema as schema, t_name as "table", {rate('hr', 'el', 3600)} as heap_read_1h_rate, {rate('hh', 'el', 3600)} as heap_hit_1h_rate,
   {rate('ir', 'el', 3600)} as index_read_1h_rate, {rate('ih', 'el', 3600)} as index_hit_1h_rate, {_pct('hh', 'hr', 0, '<> 0')} as heap_hit_pct, {_pct('ih', 'ir', 0, '<> 0')} as index_hit_pct
 from d join tables on t_id = tio_table_id where (hr > 0 or hh > 0 or ir > 0 or ih > 0) and {_NOT_TEMP.format('t_schema')}""",
-    "export_points_sproc_details": _SPROC_DETAILS + """ select 'sproc_details' as measurement, cast(to_json({dbname: host_ui_shortname, schema: schema, sproc: sproc}) as varchar) as tags,
-  cast(to_json({duration_s_1h_rate: duration_s_1h_rate, avg_self_us: avg_self_us, avg_total_us: avg_total_us}) as varchar) as fields, time from details join hosts using (host_id)""",
+    "export_points_sproc_details": _SPROC_DETAILS + _SPROC_POINTS,
+    "export_catch_up_load": _chunked(_LOAD, "load_timestamp", "x >= 0 and el > 1") + " select 'load' as measurement, host_ui_shortname as dbname, min1, min5, min15, xlog_b_1h_rate, time from loads join hosts using (host_id)",
+    "export_catch_up_sproc_details": _chunked(_SPROC_DETAILS, "sp_timestamp", "c > 0 and t > 0 and s > 0") + _SPROC_POINTS,
     "export_points_db_size": _DB_SIZE + """ select 'db_size' as measurement, cast(to_json({dbname: host_ui_shortname}) as varchar) as tags,
   cast(to_json({db_size_b: db_size_b, tsize_b: tsize_b, isize_b: isize_b}) as varchar) as fields, time from sizes join hosts using (host_id)""",
 }

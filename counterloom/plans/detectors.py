@@ -339,35 +339,36 @@ def shard_differences(
 ) -> DataFrame:
     """Procedures and tables that behave very differently on two shards of a pair on one day.
 
-    ``pairs`` has ``shard_a, shard_b``.
+    ``pairs`` has ``shard_a, shard_b``; summaries have one row per host, period and name. Rows go to their pairs by side, so nothing is
+    joined with itself and each summary is shuffled once.
     """
     names = _hosts(fleet)
     named = (
-        pairs.join(names.withColumnsRenamed({"_host": "_a", "host_name": "host_a"}), F.col("shard_a") == F.col("_a"))
+        pairs.select("shard_a", "shard_b").distinct().join(names.withColumnsRenamed({"_host": "_a", "host_name": "host_a"}), F.col("shard_a") == F.col("_a"))
         .join(names.withColumnsRenamed({"_host": "_b", "host_name": "host_b"}), F.col("shard_b") == F.col("_b"))
-        .select("shard_a", "shard_b", "host_a", "host_b")
     )
+    sides = F.explode(F.array(*(F.struct(F.lit(i).alias("side"), F.col(c).alias("_shard")) for i, c in enumerate(("shard_a", "shard_b"))))).alias("x")
+    pair = ["shard_a", "shard_b", "host_a", "host_b"]
+    named = named.select(*pair, sides).select(*pair, "x.side", "x._shard")
+
+    def paired(df: DataFrame, host: str, keys: list[str], values: list[str], together: list[str]) -> DataFrame:
+        """Each row once for every pair that its host is in, and both shards' values of a pair and key in one row."""
+        rows = df.dropna(subset=keys).join(named, F.col(host) == F.col("_shard")).repartition(*pair, *together)
+        of = [F.max(F.when(F.col("side") == i, F.col(v))).alias(f"{v}_{t}") for i, t in enumerate("ab") for v in values]
+        return rows.groupBy(*pair, *keys).agg(*of, F.count_distinct("side").alias("_sides")).where("_sides = 2")
+
     s = _on_date(sproc_summary, "ss_date", date).where("ss_calls > 0 and ss_total_time > 0")
     s = not_ignored(s, ignore, "ss_host_id", "ss_sproc_name")
     s = s.select("ss_host_id", "ss_date", "ss_hour", "ss_sproc_name", F.col("ss_total_time").alias("t"),
                  _micro(ratio(F.col("ss_total_time"), F.col("ss_calls"))).alias("avg"))
-
-    def side(df, host, shard, cols, tag):
-        return df.select(F.col(host).alias(shard), *(F.col(c) for c in cols[0]), *(F.col(c).alias(c + tag) for c in cols[1]))
-
-    cols = (["ss_date", "ss_hour", "ss_sproc_name"], ["t", "avg"])
-    left = side(s, "ss_host_id", "shard_a", cols, "_a").join(named, "shard_a")
-    both = left.join(side(s, "ss_host_id", "shard_b", cols, "_b"), ["shard_b", *cols[0]])
-    g = both.groupBy("host_a", "host_b", "ss_date", "ss_sproc_name").agg(*(F.sum(c).alias(c) for c in ("t_a", "t_b", "avg_a", "avg_b")))
+    both = paired(s, "ss_host_id", ["ss_date", "ss_hour", "ss_sproc_name"], ["t", "avg"], ["ss_date", "ss_sproc_name"])
+    g = both.groupBy(*pair, "ss_date", "ss_sproc_name").agg(*(F.sum(c).alias(c) for c in ("t_a", "t_b", "avg_a", "avg_b")))
     far = (F.col("avg_a") > F.col("avg_b") * limits.shard_factor) | (F.col("avg_a") * limits.shard_factor < F.col("avg_b"))
     slow = g.where(far & ((F.col("t_a") > limits.shard_total_ms) | (F.col("t_b") > limits.shard_total_ms))).select(
         F.col("ss_date").alias("eval_date"), *_oriented("avg sproc time", F.col("avg_a"), F.col("avg_b")), F.col("ss_sproc_name").alias("object_name")
     )
     t = _on_date(table_summary, "ts_date", date)
-    tcols = (["ts_date", "ts_table_name"], ["ts_seq_scans", "ts_orig_table_size"])
-    tb = side(t, "ts_host_id", "shard_a", tcols, "_a").join(named, "shard_a").join(
-        side(t, "ts_host_id", "shard_b", tcols, "_b"), ["shard_b", *tcols[0]]
-    )
+    tb = paired(t, "ts_host_id", ["ts_date", "ts_table_name"], ["ts_seq_scans", "ts_orig_table_size"], ["ts_date", "ts_table_name"])
     a, b = F.col("ts_seq_scans_a"), F.col("ts_seq_scans_b")
     scans = tb.where(
         ((a > b * limits.shard_factor) | (a * limits.shard_factor < b))

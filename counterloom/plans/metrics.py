@@ -291,11 +291,16 @@ def metric(name: str, fleet: Fleet, host=None, start=None, end=None, lag: str |
     return globals()[name](fleet, host, start, end, lag)
 
 
-def export_points(name: str, fleet: Fleet, host=None, start=None, end=None, lag: str | None = "4 hours") -> DataFrame:
-    """A metric as tagged points: the host's short name and the metric's tag columns are tags,
+def as_points(name: str, fleet: Fleet, df: DataFrame) -> DataFrame:
+    """Rows of a metric as tagged points: the host's short name and the metric's tag columns are tags,
     everything else is a field."""
     measurement, tags = MEASUREMENTS[name]
     hosts = fleet.table("hosts").select("host_id", F.col("host_ui_shortname").alias("dbname"))
-    df = metric(name, fleet, host, start, end, lag).join(hosts, "host_id")
+    df = df.join(hosts, "host_id")
     fields = [c for c in df.columns if c not in ("host_id", "timestamp", "time", "dbname", *tags)]
     return to_points(df, measurement, ["dbname", *tags], fields, "timestamp")
+
+
+def export_points(name: str, fleet: Fleet, host=None, start=None, end=None, lag: str | None = "4 hours") -> DataFrame:
+    """A metric of a range as tagged points; ``exports.catch_up`` resumes and goes in chunks."""
+    return as_points(name, fleet, metric(name, fleet, host, start, end, lag))
