@@ -62,6 +62,38 @@ def test_surrogates_stay_distinct_and_never_equal_an_entity(spark, monkeypatch):
     assert not {a for a, _ in new} & {f"123-45-67{i:02d}" for i in range(30)}
 
 
+def test_names_of_every_form(spark):
+    texts = [
+        "Mr Jean-Luc Picard, Mr Sean O'Brien's, Mr J. Smith, Mrs. MARTA KLEIN, MR JOHN SMITH, Dr Anna Roe, Frau Eva von der Heide",
+        "κ. Mr Ωμέγας Άλφας and Κυρία Άννα Ζωή Παππά",
+        "Mr John Smith came. Yesterday John Smith left; JOHN SMITH Ltd, john.smith@mail.org, John Smith@x.org, My Token=abcd1234efgh. Jane Roe stays",
+        "John Smith of New York City has no title here",
+        "Mr John Smith Mrs Anna Roe and I saw MS Office, DR Congo",
+    ]
+    out = replaced(spark, list(enumerate(texts)))
+    word = r"[A-Z][a-z]+"
+    first = re.fullmatch(rf"Mr ({word}-{word} {word}), Mr ({word} O'{word})'s, Mr ([A-Z]\. {word}), Mrs\. ([A-Z]+ [A-Z]+), MR ([A-Z]+ [A-Z]+), Dr ({word} {word}), Frau ({word} von der {word})", out[0])
+    assert first and len(set(first.groups())) == 7
+    for gone in ("Jean", "Luc", "Picard", "Brien", "Smith", "MARTA", "SMITH", "Roe", "Heide"):
+        assert gone not in out[0]
+    assert first[6].split()[0] in surrogates.GIVEN["x", "latin"].split() and first[4].split()[0].title() in surrogates.GIVEN["f", "latin"].split()
+    greek = r"[\u0370-\u03ff]+"
+    assert re.fullmatch(rf"κ\. Mr {greek} {greek} and Κυρία {greek} {greek} {greek}", out[1]) and "Άλφας" not in out[1] and "Παππά" not in out[1]
+    name = re.match(rf"Mr ({word} {word}) came", out[2])[1]
+    assert name != "John Smith" and f"Yesterday {name} left; {name.upper()} Ltd," in out[2] and out[2].endswith("Jane Roe stays")
+    assert "Smith" not in out[2] and "abcd1234efgh" not in out[2] and first[5] == name.upper()
+    assert out[3] == texts[3]  # a text without the title is left alone
+    assert re.fullmatch(rf"Mr {name} Mrs {word} {word} and I saw MS Office, DR Congo", out[4])
+
+
+def test_columns_with_the_operators_own_names(spark):
+    df = spark.createDataFrame([("a@b.org", 1, 2, 3, 4, 5), ("plain", 1, 2, 3, 4, 5), (None, 1, 2, 3, 4, 5)], "text string, _new int, _replaced int, _key int, _text_key int, kind int")
+    out = surrogates.replace_personal_data(df, "k")
+    assert out.columns == [*df.columns, "_replaced_"] and sorted(r[5 + 1] for r in out.collect()) == [0, 0, 1]
+    assert all(tuple(r)[1:6] == (1, 2, 3, 4, 5) for r in out.collect())
+    assert surrogates.replace_personal_data(df.limit(0), "k").count() == 0
+
+
 def test_secrets_are_replaced_whole(spark):
     r = np.random.default_rng(4)
     values = ["".join(r.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/=-"), n)) + "Q7" for n in (127, 498, 4998)]
