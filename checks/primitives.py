@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from datetime import date
+import uuid
+from datetime import date, datetime
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from counterloom.functions import predicates as C
 from counterloom.functions.numbers import half_up
-from counterloom.functions.times import bucket, group_date
+from counterloom.functions.times import bucket, group_date, period
 from counterloom.operators import joins as J
 from counterloom.operators import series as B
 from counterloom.operators import sets as H
 from counterloom.operators import topn as G
 from counterloom.plans import settings as S
 from counterloom.schema import Reset
+from counterloom.session import shared_dir
 from counterloom.sources import store as A
 
 from .harness import big, rn, secs
@@ -33,6 +35,25 @@ def _delta(policy):
     return lambda f: B.counter_delta(_sp(f), SP, "sp_timestamp", COLS, policy)
 
 
+def _read_back(f, metric, write, *keys):
+    """Rows of a stored metric per partition, with the times that its folder holds."""
+    root = f"{shared_dir(f.spark)}/store-{uuid.uuid4().hex}"
+    ts = "sp_timestamp" if metric == "sproc_performance_data" else "bl_timestamp"
+    write(f.table(metric), root, metric)
+    stored = f.spark.read.parquet(f"{root}/{metric}")
+    return stored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("first"), F.max(ts).alias("last"))
+
+
+def _last_periods(f):
+    """Samples and calls per host in the last complete hour and day."""
+    parts = []
+    for unit in ("hour", "day"):
+        start, end = period(datetime(2024, 1, 20, 13, 25), unit)
+        df = f.samples("sproc_performance_data", None, start, end, closed_start=True, open_end=True)
+        parts.append(df.groupBy(F.lit(unit).alias("unit"), "sp_host_id").agg(F.count(F.lit(1)).alias("n"), F.max("sp_calls").alias("calls")))
+    return H.union_all(*parts)
+
+
 def _resume(f):
     known = f.table("hosts").select(F.col("host_id").alias("bl_host_id"))
     stored = f.table("blocking_locks").where("bl_timestamp < timestamp '1999-01-01' and bl_host_id < 4")
@@ -93,6 +114,9 @@ QUERIES = {
     "src_hosts": lambda f: f.table("hosts"),
     "src_month_keys": lambda f: A.with_month_keys(f.table("sproc_performance_data"), "sproc_performance_data").groupBy("yyyymm", "host_id").count(),
     "src_week_keys": lambda f: A.with_week_key(f.table("blocking_locks"), "blocking_locks").groupBy("yyyyiw").count(),
+    "src_month_store": lambda f: _read_back(f, "sproc_performance_data", A.write_samples, "yyyymm", "host_id"),
+    "src_week_store": lambda f: _read_back(f, "blocking_locks", lambda df, root, m: A.write_locks(df, root, m), "yyyyiw"),
+    "src_last_periods": _last_periods,
     "src_expired_months": lambda f: A.expired_partitions(
         f.table("blocking_locks").select(F.date_format("bl_timestamp", "yyyyMM").alias("yyyymm")), as_of=date(1999, 3, 5), months=6),
     "src_expired_weeks": lambda f: A.expired_weeks(A.with_week_key(f.table("blocking_locks"), "blocking_locks"), "1999-03-05 00:00:00", 4),
@@ -214,6 +238,10 @@ ORACLE = {
     "src_hosts": "select * from hosts",
     "src_month_keys": "select strftime(sp_timestamp, '%Y%m') as yyyymm, sp_host_id as host_id, count(*) as count from sproc_performance_data group by 1, 2",
     "src_week_keys": "select strftime(bl_timestamp, '%G%V') as yyyyiw, count(*) as count from blocking_locks group by 1",
+    "src_month_store": "select cast(strftime(sp_timestamp, '%Y%m') as int) as yyyymm, sp_host_id as host_id, count(*) as n, min(sp_timestamp) as first, max(sp_timestamp) as last from sproc_performance_data group by 1, 2",
+    "src_week_store": "select cast(strftime(bl_timestamp, '%G%V') as int) as yyyyiw, count(*) as n, min(bl_timestamp) as first, max(bl_timestamp) as last from blocking_locks group by 1",
+    "src_last_periods": """select unit, sp_host_id, count(*) as n, max(sp_calls) as calls from sproc_performance_data join (values ('hour', timestamp '2024-01-20 12:00:00', timestamp '2024-01-20 13:00:00'),
+  ('day', timestamp '2024-01-19', timestamp '2024-01-20')) p(unit, a, b) on sp_timestamp >= a and sp_timestamp < b group by 1, 2""",
     "src_expired_months": "select distinct strftime(bl_timestamp, '%Y%m') as yyyymm from blocking_locks where bl_timestamp < timestamp '1998-09-01'",
     "src_expired_weeks": "select distinct strftime(bl_timestamp, '%G%V') as yyyyiw from blocking_locks where strftime(bl_timestamp, '%G%V') < strftime(date '1999-02-05', '%G%V')",
     "src_resume_point": _RESUME + " select * from res",
