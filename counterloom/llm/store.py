@@ -8,6 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Whether an execution's shuffle files are removed at its end; known since Spark 4.1, without effect before.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def folder(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; where that is unset, as in tests, a folder of the warehouse."""
@@ -21,9 +24,13 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write a table and read it back: later steps start from files that outlive any executor."""
-    path = new_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()  # Spark's cleaner then drops the shuffle files of what is now a table
+    path, conf = new_path(df.sparkSession, label), df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")  # what was shuffled for the table goes once the table stands
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -200,7 +200,7 @@ def _by_window(strings: DataFrame, length: int) -> DataFrame:
 
 
 def _removed(candidates: DataFrame, spans: DataFrame) -> DataFrame:
-    """(digest, n_removed, n_spans, kept_sha256, kept) of the documents with removed spans."""
+    """(digest, first, n_removed, n_spans, kept_sha256, kept) of the documents with removed spans."""
     held = spans.groupBy("node").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,9 +216,9 @@ def _removed(candidates: DataFrame, spans: DataFrame) -> DataFrame:
                 kept = text[~gone].tobytes()
                 out.append((int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest(), kept))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True))], ["digest", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("own"), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True))], ["digest", "first", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return candidates.select("digest", "node", "_text").join(held, "node").select("digest", "_text", "spans").mapInArrow(joined, "digest long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return candidates.select("digest", "own", "node", "_text").join(held, "node").select("digest", "own", "_text", "spans").mapInArrow(joined, "digest long, first long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def remove_repeated_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 50, hot: int = 20_000, part_bytes: int = 1_500_000) -> DataFrame:
@@ -233,7 +233,8 @@ def remove_repeated_substrings(docs: DataFrame, doc_id: str = "doc_id", text: st
     named = codes.join(nodes, "digest")
     first = rows.withColumn("own", F.coalesce("doc_id", F.lit(_LAST))).select("digest", "own", "_text")
     named = named.withColumn("own", F.col("node")).withColumn("node", F.when(F.col("own") == _LAST, F.pmod("digest", F.lit(1 << 62)) + (1 << 62)).otherwise(F.col("own")))
-    candidates = written(first.join(named, ["digest", "own"]).dropDuplicates(["digest"]).drop("own"), "candidates")
+    # the join's own keys also tell copies apart, so texts are shuffled once
+    candidates = written(first.join(named, ["digest", "own"]).dropDuplicates(["digest", "own"]), "candidates")
 
     pieces = _pieces(candidates, length)
     first = [F.min("node").alias("node"), F.min_by("start", "node").alias("start"), F.max("size").alias("size"), F.max("node").alias("most")]
@@ -251,9 +252,9 @@ def remove_repeated_substrings(docs: DataFrame, doc_id: str = "doc_id", text: st
     spans = pieces.join(runs, ["code", "content"]).where("least < node").select("node", begin.alias("start"), (begin + F.col("n") + (length - 1)).alias("stop"))
     removed = _removed(candidates, spans)
 
-    whole = F.col("own") > F.col("node")
+    whole = F.col("own") > F.col("first")
     gone = whole & (F.col("n_bytes") >= length)
-    out = known.join(nodes, ["digest", "sha"]).join(removed, "digest", "left")
+    out = known.join(nodes.withColumnRenamed("node", "first"), ["digest", "sha"]).join(removed, ["digest", "first"], "left")
     return out.select(
         "doc_id", "n_bytes",
         F.when(gone, F.col("n_bytes")).when(whole, 0).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
