@@ -3,7 +3,7 @@
 Identical texts are one node. In each run a set chooses a few of its tokens (a token is chosen where its seeded hash is below
 1 / (similarity * size), so similar sets choose alike) and goes into their buckets. A bucket of many dissimilar
 sets is split again by further sampled tokens along its path. The pairs of a final bucket are compared by brute force, a large bucket in pairs of
-blocks over many tasks: first by sizes and small sketches, then, for the members with a likely partner, by their sets. Runs are repeated until a pair at the threshold shares a bucket with the target probability.
+blocks over many tasks (members of several large buckets of similar sets in one of them, their home): first by sizes and small sketches, then, for the members with a likely partner, by their sets. Runs are repeated until a pair at the threshold shares a bucket with the target probability.
 
 A pair that shares several buckets counts in the first of them only, so counts of links are exact for the pairs found, and no
 list of pairs is made: each block pair returns one row per linked node.
@@ -127,11 +127,29 @@ def _split(large: DataFrame, reps: DataFrame) -> DataFrame:
     return large.join(reps.select("node", "keys"), "node").select("key", "node", further).select(F.xxhash64("key", "next").alias("key"), F.col("next").alias("last"), "node").distinct()
 
 
+def _with_homes(final: DataFrame) -> DataFrame:
+    """(key, node, n): a member of large dense buckets gets one home, and members of one home are compared there alone.
+
+    The home is the largest dense bucket that a member of one's own dense buckets is in, so a group of near copies, whose members share
+    several large buckets each, has about one. Homes have negative keys and come first; a bucket whose members have the same home is left out.
+    """
+    dense = final.where("dense").select("key", "node", F.struct("n", "key").alias("size"))
+    largest = dense.groupBy("node").agg(F.max("size").alias("size"))
+    near = dense.select("key", "node").join(largest, "node").groupBy("key").agg(F.max("size").alias("size"))
+    homes = dense.select("key", "node").join(near, "key").groupBy("node").agg(F.bitwise_not(F.shiftrightunsigned(F.max("size")["key"], 1)).alias("home"))
+    homes = written(homes, "homes")
+    sizes = homes.groupBy("home").agg(F.count("*").alias("n"))
+    settled = final.join(homes, "node").groupBy("key", "n").agg(F.count("*").alias("m"), F.min("home").alias("a"), F.max("home").alias("b")).where("m = n and a = b")
+    others = final.join(settled.select("key"), "key", "left_anti").select(F.shiftrightunsigned("key", 1).alias("key"), "node", "n")
+    return homes.join(sizes, "home").select(F.col("home").alias("key"), "node", "n").unionByName(others)
+
+
 def _final_buckets(reps: DataFrame, limit: int, depth: int) -> DataFrame:
     """(key, node, n) of the buckets to compare."""
     rows = reps.select(F.explode("keys").alias("key"), "node").distinct().select("key", F.col("key").alias("last"), "node")
     rows = written(rows.join(_buckets(rows), "key"), "bucket-rows")
-    final, large = rows.where(F.col("n") <= limit), rows.where(F.col("n") > limit)
+    columns = lambda rows, dense: rows.select("key", "node", "n", "x", "s", F.lit(dense).alias("dense"))
+    final, large = columns(rows.where(F.col("n") <= limit), False), rows.where(F.col("n") > limit)
     for _ in range(depth):
         if large.isEmpty():
             break
@@ -140,14 +158,15 @@ def _final_buckets(reps: DataFrame, limit: int, depth: int) -> DataFrame:
         values = large.join(reps.select("node", "sketch"), "node").select("key", "n", bins).groupBy("key", "n", "x").agg(F.count("*").alias("c"))
         mean = F.sum(F.col("c") * F.col("c")) / (F.lit(4.0) * F.col("n") * F.col("n"))
         dense = values.groupBy("key", "n").agg(mean.alias("mean")).where("mean >= 0.25").select("key")
-        final = final.unionByName(large.join(dense, "key", "left_semi"))
+        final = final.unionByName(columns(large.join(dense, "key", "left_semi"), True))
         rows = written(_split(large.join(dense, "key", "left_anti"), reps), "bucket-rows")
         rows = written(rows.join(_buckets(rows), "key"), "bucket-rows")
-        final, large = final.unionByName(rows.where(F.col("n") <= limit)), rows.where(F.col("n") > limit)
-    final = final.unionByName(large)
+        final, large = final.unionByName(columns(rows.where(F.col("n") <= limit), False)), rows.where(F.col("n") > limit)
+    final = final.unionByName(columns(large, False))
     # of buckets with the same members, one is enough
     keep = final.groupBy("n", "x", "s").agg(F.min("key").alias("key"))
-    return written(final.join(keep.select("key"), "key", "left_semi").select("key", "node", "n").distinct(), "final-buckets")
+    final = written(final.join(keep.select("key"), "key", "left_semi").select("key", "node", "n", "dense").distinct(), "final-buckets")
+    return final.select("key", "node", "n") if final.where("dense").isEmpty() else written(_with_homes(final), "final-buckets")
 
 
 def _overlaps(sets: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
