@@ -236,7 +236,7 @@ def remove_repeated_substrings(docs: DataFrame, doc_id: str = "doc_id", text: st
     # the join's own keys also tell copies apart, so texts are shuffled once
     candidates = written(first.join(named, ["digest", "own"]).dropDuplicates(["digest", "own"]), "candidates")
 
-    pieces = _pieces(candidates, length)
+    pieces = written(_pieces(candidates, length), "pieces")
     first = [F.min("node").alias("node"), F.min_by("start", "node").alias("start"), F.max("size").alias("size"), F.max("node").alias("most")]
     strings = written(pieces.groupBy("code", "content").agg(*first), "strings")
     strings = written(strings.join(strings.groupBy("code").agg(F.count("*").alias("variants")), "code"), "strings")
