@@ -64,7 +64,8 @@ QUERIES = {
         "ssd_host_id", "ssd_query_id", "ssd_timestamp", X.clip(X.normalise_query(F.col("ssd_query")), 55).alias("query")),
     "fn_full_name": lambda f: f.table("tables").select(X.full_name(F.col("t_schema"), F.col("t_name")).alias("full"), "t_host_id").select(
         "t_host_id", "full", X.split_full_name(F.col("full"))[0].alias("s"), X.split_full_name(F.col("full"))[1].alias("t")),
-    "fn_pretty_size": lambda f: _orders(f).select("o_orderkey", N.pretty_size((F.col("o_orderkey") * F.col("o_orderkey") * F.col("o_custkey")) - 5000).alias("size")),
+    # a product of three keys leaves 64 bits where they are large
+    "fn_pretty_size": lambda f: _orders(f).select("o_orderkey", N.pretty_size((F.col("o_orderkey").cast("decimal(38,0)") * F.col("o_orderkey") * F.col("o_custkey")) - 5000).alias("size")),
     "fn_pretty_count": lambda f: _orders(f).select("o_orderkey", N.pretty_count((F.col("o_orderkey") * F.col("o_custkey") * 97) - 900).alias("count")),
     "fn_pretty_ms": lambda f: _orders(f).select("o_orderkey", N.pretty_ms(F.col("o_totalprice") * F.col("o_orderkey") / 1000).alias("time"), N.pretty_ms(F.col("o_totalprice") / F.lit(1e6)).alias("short")),
     "fn_wal_mb": lambda f: _wal(f).select("o_orderkey", X.wal_mb(F.col("location")).alias("mb")),

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+import checks.functions
 from counterloom.functions import numbers as N
 from counterloom.functions import text as X
 from counterloom.functions import times as T
@@ -44,6 +45,16 @@ def test_query_hash_covers_all_code_units(spark):
     assert column(spark, texts, X.query_hash) == [java_hash(t) for t in texts]
 
 
+def test_pretty_size_of_products_beyond_64_bits(spark):
+    rows = spark.createDataFrame([(36_000_000, 900_000), (1, 1), (10, 60)], "o_orderkey bigint, o_custkey bigint")
+
+    class Tables:
+        table = staticmethod(lambda _: rows)
+
+    got = [r["size"] for r in checks.functions.QUERIES["fn_pretty_size"](Tables).collect()]
+    assert got == [f"{(36_000_000**2 * 900_000 - 5000 + 2**39) // 2**40} TB", "-5 kB", "1000 B"]
+
+
 def test_rounding_is_half_away_from_zero(spark):
     assert column(spark, [2.5, -2.5, 0.5, 1.49, -0.4], N.half_up, "double") == [3, -3, 1, 1, 0]
     assert column(spark, [0.125, -0.125, 1.0], lambda c: N.half_up(c, 2), "double") == [0.13, -0.13, 1.0]
