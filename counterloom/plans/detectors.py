@@ -45,6 +45,16 @@ def _micro(c: Column) -> Column:
     return half_up(c * F.lit(float(MICRO)))
 
 
+def _in_micros(c: Column, factor: int = 1) -> Column:
+    """A sum times ``factor``, comparable with sums of ``_micro``; a decimal, since sums of large fleets times this leave 64 bits."""
+    return c.cast("decimal(38,0)") * F.lit(factor * MICRO)
+
+
+def _percent(c: Column, more: int) -> Column:
+    """100 + ``more`` times a sum of ``_micro``, as a decimal."""
+    return c.cast("decimal(38,0)") * F.lit(100 + more)
+
+
 def _for_weeks(df: DataFrame, date: str, weeks: int) -> DataFrame:
     """Fan a summary out to the later dates it is a baseline for, as ``eval_date``."""
     offsets = F.array(*(F.lit(7 * k) for k in range(1, weeks + 1)))
@@ -132,11 +142,11 @@ def _sproc_alerts(
         if only_totals:
             above = F.col("base_avg") / F.col("n") * F.lit(float(100 + percent)) < ratio(F.col("total_time"), F.col("calls")) * F.lit(100.0 * MICRO)
         else:
-            above = F.col("base_avg") * (100 + percent) < F.col("cur_avg") * 100
+            above = _percent(F.col("base_avg"), percent) < F.col("cur_avg").cast("decimal(38,0)") * 100
         grouped = grouped.where(above)
         increase = pct_over(F.col("cur_avg"), F.col("base_avg"))
     else:
-        increase = pct_over(F.col("total_time") * MICRO, F.col("weekly"))
+        increase = pct_over(_in_micros(F.col("total_time")), F.col("weekly"))
     return grouped.select(
         "eval_date", "ss_hour", "host_names", F.col("ss_sproc_name").alias("sproc_name"), "calls", "total_time",
         half_up(ratio(F.col("total_time"), F.col("calls"))).alias("avg_time"), increase.alias("time_percent_increase"),
@@ -254,12 +264,12 @@ def table_daily_alerts(
         g = hit.groupBy("eval_date", "ts_table_name").agg(
             F.array_sort(F.collect_set("host_name")).alias("host_names"), *(F.sum(c).alias(c) for c in TABLE_VALUES),
             F.sum("ts_orig_table_size").alias("orig"), F.sum(_micro(weekly)).alias("weekly"),
-        ).where((F.col("orig") > limits.table_size) & (F.col("weekly") * (100 + limits.percent) < F.col(value) * 100 * MICRO))
+        ).where((F.col("orig") > limits.table_size) & (_percent(F.col("weekly"), limits.percent) < _in_micros(F.col(value), 100)))
         if not by_size:
             g = g.where(F.col("ts_seq_scans") > limits.table_scans)
         return g.select(
             "eval_date", "host_names", F.col("ts_table_name").alias("table_name"), *(F.col(c).alias(c[3:]) for c in TABLE_VALUES),
-            pct_over(F.col(value) * MICRO, F.col("weekly")).alias("percent_increase"),
+            pct_over(_in_micros(F.col(value)), F.col("weekly")).alias("percent_increase"),
         )
     hit = hit.where(
         (F.col("ts_orig_table_size") > limits.table_size)
@@ -306,8 +316,8 @@ def table_set_alerts(
             F.array_sort(F.collect_set("host_name")).alias("host_names"), *(F.sum(c).alias(c) for c in TABLE_VALUES),
             F.sum("q.value").alias("value"), F.max("q.min").alias("min"), F.sum(_micro(ratio(F.col("q.base"), F.col("weeks_cnt")))).alias("weekly"),
         )
-        out = g.where((F.col("value") > F.col("min")) & (F.col("weekly") * (100 + limits.percent) < F.col("value") * 100 * MICRO))
-        increase = pct_over(F.col("value") * MICRO, F.col("weekly"))
+        out = g.where((F.col("value") > F.col("min")) & (_percent(F.col("weekly"), limits.percent) < _in_micros(F.col("value"), 100)))
+        increase = pct_over(_in_micros(F.col("value")), F.col("weekly"))
     else:
         out = long.select("*", F.array("host_name").alias("host_names"), F.col("q.label").alias("label"), F.col("q.value").alias("value"),
                           F.col("q.base").alias("base"), F.col("q.min").alias("min"))
@@ -466,8 +476,8 @@ def changed_sproc_alerts(
         hit = per.where(old * F.lit(float(100 + limits.percent)) < cur * F.lit(100.0))
         increase = pct_over(cur, old)
     else:
-        hit = per.where(F.col("base_time") * (100 + limits.percent) < F.col("total_time") * 100 * MICRO)
-        increase = pct_over(F.col("total_time") * MICRO, F.col("base_time"))
+        hit = per.where(_percent(F.col("base_time"), limits.percent) < _in_micros(F.col("total_time"), 100))
+        increase = pct_over(_in_micros(F.col("total_time")), F.col("base_time"))
     return hit.select(
         "host_names", "sproc_name", "calls", "total_time", F.floor(cur).alias("avg_time"), increase.alias("time_percent_increase")
     )

@@ -61,6 +61,24 @@ def test_new_heavy_procedure_is_reported_against_one(spark):
         assert (row["calls"], row["total_time"], row["time_percent_increase"]) == (4, 2_000_000, 199_999_900)
 
 
+TABLE_SUMMARY = "ts_host_id int, ts_table_name string, ts_date date, ts_table_size bigint, ts_index_size bigint, ts_seq_scans bigint, ts_index_scans bigint, ts_orig_table_size bigint, ts_orig_index_size bigint"
+
+
+def test_combined_alerts_of_sums_beyond_64_bits(spark):
+    day, big = datetime(2024, 1, 29).date(), 10**12  # bytes: times 100 and a million this leaves 64 bits
+    rows = [(1, "t", day - timedelta(days=7 * k), v, v, v, v, v, v) for k, v in enumerate([2 * big, big, big, big, big])]
+    s = spark.createDataFrame(rows, TABLE_SUMMARY)
+    for by_size in (True, False):
+        row = D.table_daily_alerts(fleet(spark), s, no_ignores(spark), by_size=by_size, date="2024-01-29").first()
+        assert (row["table_size"], row["percent_increase"]) == (2 * big, 100)
+    got = D.table_set_alerts(fleet(spark), s, no_ignores(spark), date="2024-01-29").collect()
+    assert len(got) == 4 and {r["percent_increase"] for r in got} == {100}
+    assert D.table_set_alerts(fleet(spark), s, no_ignores(spark), D.Limits(percent=100), date="2024-01-29").count() == 0
+    calls = summary(spark, weeks(1, "f", 2 * big, big))
+    for avg in (True, False):
+        assert D.sproc_hourly_alerts(fleet(spark), calls, no_ignores(spark), eval_avg=avg, date="2024-01-29").first()["time_percent_increase"] == 100
+
+
 def test_ignored_and_quiet_procedures_are_not_reported(spark):
     s = summary(spark, weeks(1, "f", 90_000, 10_000))
     ig = spark.createDataFrame([(1, "f")], "host_id int, object_name string")
