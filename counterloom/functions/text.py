@@ -77,11 +77,8 @@ def _with_args(name: Column, types: Column, args: Column) -> Column:
 
 def query_hash(text: Column) -> Column:
     """Signed 32-bit polynomial hash (base 31) over the UTF-16 code units of a text."""
-    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit(".{4}"), F.lit(0))
-    codes = F.transform(units, lambda u: F.conv(u, 16, 10).cast("bigint"))
-    folded = F.aggregate(codes, F.lit(0).cast("bigint"), lambda acc, u: (acc * 31 + u) % F.lit(2**32))
-    signed = F.when(folded >= 2**31, folded - F.lit(2**32)).otherwise(folded)
-    return F.when(F.length(text) == 0, F.lit(0).cast("bigint")).otherwise(signed)
+    # the platform's own string hash, in one pass over the text; Spark holds calls by name for not deterministic, so use it in a projection
+    return F.when(text.isNotNull(), F.java_method(F.lit("java.util.Objects"), F.lit("hashCode"), text).cast("bigint"))
 
 
 def settings_map(settings: Column) -> Column:
