@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -66,14 +67,22 @@ def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 
 def _packed(rows: np.ndarray) -> pa.Array:
-    """Rows of whole numbers as binary: a byte each where all are small, as those of most words, or eight."""
+    """Rows of whole numbers as binary: half a byte each where all are very small, as those of most words, a byte, or eight."""
     n, width = rows.shape
-    small = np.abs(rows).max(axis=1, initial=0) < 128
-    ends = np.append(0, np.cumsum(np.where(small, width, 8 * width)))
+    most = np.abs(rows).max(axis=1, initial=0)
+    half, small = (most < 8) & (width > 1), most < 128
+    size = np.where(half, (width + 1) // 2, np.where(small, width, 8 * width))
+    ends = np.append(0, np.cumsum(size))
     out = np.zeros(ends[-1], np.uint8)
-    for kind, own in ((np.int8, small), (np.int64, ~small)):
-        part = np.ascontiguousarray(rows[own].astype(kind)).view(np.uint8).reshape(-1, width * np.dtype(kind).itemsize)
+
+    def put(own: np.ndarray, part: np.ndarray) -> None:
         out[ends[:-1][own][:, None] + np.arange(part.shape[1])] = part
+
+    pairs = np.zeros((int(half.sum()), (width + 1) // 2 * 2), np.uint8)
+    pairs[:, :width] = rows[half] + 8
+    put(half, pairs[:, ::2] << 4 | pairs[:, 1::2])
+    for kind, own in ((np.int8, small & ~half), (np.int64, ~small)):
+        put(own, np.ascontiguousarray(rows[own].astype(kind)).view(np.uint8).reshape(-1, width * np.dtype(kind).itemsize))
     return _binary(out, ends)
 
 
@@ -83,32 +92,72 @@ def _unpacked(column: pa.Array, width: int) -> np.ndarray:
     for kind, own in ((np.int8, size == width), (np.int64, size == 8 * width)):
         at = ends[:-1][own][:, None] + np.arange(width * np.dtype(kind).itemsize)
         out[own] = np.ascontiguousarray(data[at]).view(kind).reshape(-1, width)
+    half = np.flatnonzero((size == (width + 1) // 2) & (width > 1))
+    pairs = data[ends[:-1][half][:, None] + np.arange((width + 1) // 2)]
+    out[half] = np.stack([pairs >> 4, pairs & 15], axis=2).reshape(len(half), 2 * pairs.shape[1])[:, :width].astype(np.int64) - 8
     return out
 
 
 #: Vectors are whole numbers of this part of their length where they are summed by document.
 STEPS = 4096
 
-#: A document of a group that holds a word, and how often.
-_ENTRY = np.dtype([("doc", "<u2"), ("count", "u1")])
+def _entries(doc: np.ndarray, count: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents of a group that hold a word, and how often: bytes, and where the bytes of each word begin and the last ends.
+
+    ``doc`` is ascending within each word; ``first`` has each word's first entry. An entry is a number of seven bits a byte, of which the last
+    byte is below 128: the step from the word's previous document, plus 65,536 for each occurrence but one. Most take a byte.
+    """
+    step = np.diff(doc, prepend=0)
+    step[first] = doc[first]
+    number = (count - 1) << 16 | step
+    size, most = np.ones(len(number), np.int64), int(number.max(initial=0))
+    while most := most >> 7:
+        size += number >> 7 * size > 0
+    ends = np.append(0, np.cumsum(size))
+    out = np.zeros(ends[-1], np.uint8)
+    for i in range(int(size.max(initial=0))):
+        own = np.flatnonzero(size > i)
+        out[ends[own] + i] = number[own] >> 7 * i & 127 | np.where(size[own] > i + 1, 128, 0)
+    return out, ends[np.append(first, len(doc))]
+
+
+def _entries_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, document and count of every entry of a column of ``_entries``."""
+    data, ends = A.text_bytes(column)
+    last = np.flatnonzero(data < 128)
+    begin = np.append(0, last[:-1] + 1)[: len(last)]
+    number = np.zeros(len(last), np.int64)
+    for i in range(int((last - begin).max(initial=-1)) + 1):
+        own = np.flatnonzero(begin + i <= last)
+        number[own] |= (data[begin[own] + i].astype(np.int64) & 127) << 7 * i
+    row = np.searchsorted(ends, begin, "right") - 1
+    total = np.append(0, np.cumsum(number & 65535))
+    return row, total[1:] - total[np.searchsorted(begin, ends[row])], (number >> 16) + 1
 
 
 def _joined(*columns: pa.Array) -> bytes:
-    """Binary columns of equal length as one value."""
+    """Binary columns of equal length as one value, the lengths and the bytes of each compressed by themselves."""
     out = [len(columns[0]).to_bytes(4, "little")]
     for column in columns:
         raw, ends = A.text_bytes(column)
-        out += [np.diff(ends).astype("<i4").tobytes(), raw.tobytes()]
+        for part in (np.diff(ends).astype("<i4").tobytes(), raw.tobytes()):
+            small = pa.compress(part, codec="zstd", asbytes=True)
+            out += [len(part).to_bytes(4, "little"), len(small).to_bytes(4, "little"), small]
     return b"".join(out)
 
 
 def _split(raw: bytes, columns: int = 2) -> list[pa.Array]:
     n, at, out = int.from_bytes(raw[:4], "little"), 4, []
+
+    def part() -> bytes:
+        nonlocal at
+        whole, small = (int.from_bytes(raw[i : i + 4], "little") for i in (at, at + 4))
+        at += 8 + small
+        return pa.decompress(raw[at - small : at], decompressed_size=whole, codec="zstd", asbytes=True)
+
     for _ in range(columns):
-        ends = np.append(0, np.cumsum(np.frombuffer(raw, "<i4", n, at)))
-        at += 4 * n
-        out.append(_binary(np.frombuffer(raw, np.uint8, ends[-1], at), ends))
-        at += int(ends[-1])
+        ends = np.append(0, np.cumsum(np.frombuffer(part(), "<i4", n)))
+        out.append(_binary(np.frombuffer(part(), np.uint8), ends))
     return out
 
 
@@ -229,20 +278,13 @@ def pooled(docs: DataFrame, vectors: WordVectors, doc_id: str = "doc_id", text:
         def table() -> Iterator[pa.RecordBatch]:
             words, doc, count = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.argsort(words, kind="stable")
-            # a count is a byte; a larger one takes several entries
-            times = (count[order] + 254) // 255
-            words, doc = np.repeat(words[order], times), np.repeat(doc[order], times)
-            last = np.cumsum(times) - 1
-            count, large = np.full(len(words), 255), count[order]
-            count[last] = large - 255 * (times - 1)
+            words, doc, count = words[order], doc[order].astype(np.int64), count[order].astype(np.int64)
             first = np.flatnonzero(np.append(True, words[1:] != words[:-1])) if len(words) else np.zeros(0, np.int64)
-            ends = np.append(first, len(words)).astype(np.int32)
-            entries = np.zeros(len(words), _ENTRY)
-            entries["doc"], entries["count"] = doc, count
+            entries, ends = _entries(doc, count, first)
             for a in range(0, len(first), 20_000):
                 b = min(a + 20_000, len(first))
-                at = ends[a : b + 1] - ends[a]
-                yield row(b - a, group=pa.array(np.full(b - a, group)), word=pa.array(words[first[a:b]].view(np.int64)), held=_binary(entries[ends[a] : ends[b]], 3 * at))
+                at, raw = ends[a : b + 1] - ends[a], entries[ends[a] : ends[b]]
+                yield row(b - a, group=pa.array(np.full(b - a, group)), word=pa.array(words[first[a:b]].view(np.int64)), held=_binary(raw, at))
             done = 0
             for part in ids:
                 n = part.num_rows
@@ -250,7 +292,7 @@ def pooled(docs: DataFrame, vectors: WordVectors, doc_id: str = "doc_id", text:
                 yield row(n, group=pa.array(np.full(n, group)), word=pa.array(spread), at=pa.array(np.arange(done, done + n, dtype=np.int32)), doc_id=part.column("doc_id"), digest=part.column("digest"))
                 done += n
 
-        for batch in A.slices(batches, "_text", SLICE):
+        for batch in (part.slice(a, 10_000) for part in A.slices(batches, "_text", SLICE) for a in range(0, part.num_rows, 10_000)):
             words, doc = _tokens(batch.column("_text"))
             distinct, number = np.unique(words, return_inverse=True)
             pairs, count = np.unique(number * batch.num_rows + doc, return_counts=True)
@@ -268,15 +310,32 @@ def pooled(docs: DataFrame, vectors: WordVectors, doc_id: str = "doc_id", text:
         return pa.RecordBatch.from_arrays([given.get(c, pa.nulls(n, t)) for c, t in kinds.items()], list(kinds))
 
     def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows of documents, and for each group of the batch a row with all sums and entries."""
+        """The rows of documents, and for each group of some batches a row with all sums and entries."""
+        waiting: list[pa.RecordBatch] = []
+        size = 0
+
+        def table() -> Iterator[pa.RecordBatch]:
+            rest = pa.Table.from_batches(waiting)
+            order = np.argsort(rest["group"].to_numpy(), kind="stable")
+            rest = rest.take(pa.array(order)).combine_chunks()
+            group, sums, held = (rest[c].combine_chunks() for c in ("group", "sums", "held"))
+            ends = np.append(np.flatnonzero(np.append(True, np.diff(group.to_numpy()) != 0)), len(group))
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                yield row(1, group=group[a:a + 1], held=pa.array([_joined(sums[a:b], held[a:b])], pa.binary()))
+
         for batch in batches:
             known = batch.filter(batch.column("at").is_valid())
-            yield row(known.num_rows, **{c: known.column(c) for c in ("group", "at", "doc_id", "digest")})
-            rest = batch.filter(batch.column("at").is_null())
-            group = rest.column("group").to_numpy()
-            for own in np.unique(group):
-                part = rest.take(pa.array(np.flatnonzero(group == own)))
-                yield row(1, group=pa.array([own]), held=pa.array([_joined(part.column("sums"), part.column("held"))], pa.binary()))
+            if known.num_rows:
+                yield row(known.num_rows, **{c: known.column(c) for c in ("group", "at", "doc_id", "digest")})
+            rest = batch.filter(batch.column("at").is_null()).select(["group", "sums", "held"])
+            if rest.num_rows:
+                waiting.append(rest)
+                size += rest.nbytes
+            if size >= 8 << 20:  # so that a group has many words in a row, however many groups there are
+                yield from table()
+                waiting, size = [], 0
+        if waiting:
+            yield from table()
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in A.grouped(batches, "group"):
@@ -286,10 +345,8 @@ def pooled(docs: DataFrame, vectors: WordVectors, doc_id: str = "doc_id", text:
             for raw in rows.filter(rows["at"].is_null())["held"].to_pylist():
                 (of_words, held) = _split(raw)
                 vector = np.rint(context_vectors(of_words, common) * STEPS).astype(np.int64)
-                m, (data, ends) = len(held), A.text_bytes(held)
-                entries = np.frombuffer(data.tobytes(), _ENTRY)
-                both, of = np.concatenate([vector, vector**2], axis=1), np.repeat(np.arange(m), np.diff(ends) // 3)
-                doc, count = entries["doc"].astype(np.int64), entries["count"].astype(np.int64)
+                both = np.concatenate([vector, vector**2], axis=1)
+                of, doc, count = _entries_of(held)
                 for a in range(0, len(doc), TOKENS):  # bounds the rows of vectors
                     own = slice(a, a + TOKENS)
                     order = np.argsort(doc[own], kind="stable")
@@ -391,7 +448,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = 20_000, dig
 
     The network learns from at most ``sample`` labelled ids, chosen by a hash of the id; word vectors come from all documents.
     """
-    features = written(pooled(docs, word_vectors(docs)), "pooled")
+    vectors = word_vectors(docs)
+    half = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(2))  # one half after the other, so that only one is shuffled at a time
+    features = reduce(DataFrame.unionByName, [written(pooled(docs.where(half == k), vectors), "pooled") for k in (0, 1)])
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = labelled_sample(features, known, sample).toPandas()
     width = len(features.first()["pooled"]) if chosen.empty and features.head(1) else len(chosen["pooled"].iloc[0]) if len(chosen) else 1

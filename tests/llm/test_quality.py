@@ -109,6 +109,28 @@ def test_every_word_has_a_vector_of_its_own(spark):
             assert abs(rows[i][48] - np.log1p(len(t))) < 1e-5
 
 
+def test_shuffled_values_are_small_and_come_back():
+    rng = np.random.default_rng(2)
+    sums = rng.binomial(16, 0.5, (4000, 24)) // 2 - 4
+    sums[::50] *= 30
+    sums[::400] *= 10**9
+    packed = quality_model._packed(sums)
+    assert (quality_model._unpacked(packed, 24) == sums).all() and quality_model._unpacked(packed[:0], 24).shape == (0, 24)
+    assert quality_model._packed(sums[1:50]).nbytes < 49 * 20  # half a byte each and the offset
+    words = [(sorted(rng.choice(29_999, n, replace=False).tolist()), rng.integers(1, 3, n)) for n in (1, 15_000, 1, 2, 700)] + [([0, 29_998], np.array([70_000_000, 256]))]
+    doc, count = (np.concatenate(x).astype(np.int64) for x in zip(*words))
+    first = np.cumsum([0, *(len(d) for d, _ in words[:-1])])
+    raw, ends = quality_model._entries(doc, count, first)
+    held = quality_model._binary(raw, ends)
+    for column in (held, quality_model._split(quality_model._joined(held, held))[1]):
+        of, got, times = quality_model._entries_of(column)
+        assert (got == doc).all() and (times == count).all() and (of == np.repeat(np.arange(6), [len(d) for d, _ in words])).all()
+    assert len(quality_model._entries_of(held[:0])[0]) == 0
+    ones = quality_model._entries(np.arange(9000), np.ones(9000, np.int64), np.zeros(1, np.int64))[0]
+    assert len(ones) == 9000  # three bytes each before
+    assert len(quality_model._joined(packed, packed)) < packed.nbytes
+
+
 def test_path_lengths_mark_the_outlier():
     rows = np.random.default_rng(1).normal(0, 1, (300, 3))
     rows[7] = 30
