@@ -89,11 +89,11 @@ def _digests(index: bytes, table: bytes, n: int) -> np.ndarray:
     return names[np.frombuffer(index, np.uint16 if len(index) == 2 * n else np.uint32)] if n else np.zeros(0, np.int64)
 
 
-def shared_anchors(texts: DataFrame, find: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], buckets: int, within: bool = False) -> DataFrame:
+def shared_anchors(texts: DataFrame, find: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], buckets: int, within: bool = False, slice_bytes: int = A.SLICE_BYTES) -> DataFrame:
     """(digest, codes): for every text with a shared anchor, the 32-bit codes of its shared anchors.
 
     ``texts`` has ``digest``, a 64-bit hash of the text, and ``_text``; ``find`` gives document numbers and hashes of the anchors of a
-    column of texts. Equal texts count as one; with ``within``, an anchor that a text has twice counts as shared. Codes may repeat, and two anchors may share one by chance, so a code is a candidate only.
+    column of texts of about ``slice_bytes``. Equal texts count as one; with ``within``, an anchor that a text has twice counts as shared. Codes may repeat, and two anchors may share one by chance, so a code is a candidate only.
     """
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +104,7 @@ def shared_anchors(texts: DataFrame, find: Callable[[pa.Array], tuple[np.ndarray
             kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], _COLUMNS)
 
-        for batch in A.slices(batches, "_text"):
+        for batch in A.slices(batches, "_text", slice_bytes):
             doc, found = find(batch.column("_text"))
             hashes.append(found)
             digests.append(batch.column("digest").to_numpy()[doc])

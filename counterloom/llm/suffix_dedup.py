@@ -6,7 +6,7 @@ A byte is removed where a string of ``length`` bytes over it also starts in a do
    n-grams) with another text are candidates; see ``anchors``.
 2. Each maximal run of windows of a candidate with the same shared anchor becomes one string. Equal strings are merged before they are shuffled.
    All occurrences of a window have the same anchor, so they meet in one bucket.
-3. Strings that share an anchor with another string are the ones compared: a bucket's strings are sorted into a Burrows-Wheeler transform. Breadth-first backward extension derives its common prefixes by
+3. Strings that share an anchor with another string are the ones compared: blocks of whole anchors' strings are sorted into a Burrows-Wheeler transform. Breadth-first backward extension derives its common prefixes by
    increasing value: after step k, intervals of rows share k bytes. It stops at ``length``. Each interval then holds the occurrences
    of one window, among them the smallest document.
 4. Strings of an anchor with more than ``hot`` different contexts are split into windows, which spread over all tasks.
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ from . import arrays as A
 from .store import written
 
 GRAM = 20
+#: Bytes of text or of strings that are handled at once: arrays of some numbers for each of them stay in a core's cache.
+BLOCK = 1 << 17
 _LAST = (1 << 63) - 1
 EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -56,64 +59,86 @@ def anchored_strings(texts: pa.Array, length: int, codes: pa.Array) -> tuple[np.
         return none, none, none, none.view(np.uint64), none.view(np.uint64)
     sums, hashes = _grams(data)
     least = A.sliding_min(hashes, length - GRAM + 1)[first]
-    doc = A.owners(offsets, first)
-    own = A.mix(np.arange(len(texts), dtype=np.uint64) + np.uint64(1))
-    keep = anchors.is_wanted(least, doc, anchors.wanted(codes, own), own)
-    first, least, doc = first[keep], least[keep], doc[keep]
     fresh = np.ones(len(first), bool)
-    fresh[1:] = (first[1:] != first[:-1] + 1) | (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
+    fresh[1:] = (least[1:] != least[:-1]) | (first[1:] != first[:-1] + 1)  # no two documents' windows follow each other
     start = np.flatnonzero(fresh)
-    last = np.append(start[1:], len(first)) - 1 if len(start) else start
-    begin, end = first[start], first[last] + length if len(start) else none
-    content = A.span_hash(sums, begin, end)
-    return doc[start], begin - offsets[doc[start]], end - begin, least[start], content
+    begin, end, least = first[start], first[np.append(start[1:], len(first)) - 1] + length, least[start]
+    doc = A.owners(offsets, begin)
+    own = A.mix(np.arange(len(texts), dtype=np.uint64) + np.uint64(1))
+    keep = anchors.is_wanted(least, doc, anchors.wanted(codes, own), own)  # a run's windows share what decides
+    begin, end, least, doc = begin[keep], end[keep], least[keep], doc[keep]
+    return doc, begin - offsets[doc], end - begin, least, A.span_hash(sums, begin, end)
 
 
 def prefix_intervals(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of suffixes, interval number of each row, and common prefixes below ``length`` of neighbouring rows.
 
-    Suffixes are sorted by doubling, as deep as needed. Row r of the transform goes back to row psi[r], the suffix one symbol further;
-    extending all intervals backward by their symbols at once makes row r a boundary where psi leads to different
-    intervals. A row's common prefix is the step in which it became a boundary. Symbols are below 2**9; the text's end counts as -1.
+    Suffixes are sorted by doubling, as deep as needed; each round sorts the rows that are still tied. Row r of the transform goes back to row psi[r],
+    the suffix one symbol further; extending all intervals backward by their symbols at once makes row r a boundary where psi leads to different
+    intervals. A row's common prefix is the step in which it became a boundary. A row that the first d symbols left tied is looked at from step d - 1 on
+    (the text's end costs one), one that stays tied never. Symbols are below 2**9; the text's end counts as -1.
     """
-    n, depth, pack = len(symbols), 1, 7
-    padded = np.concatenate([symbols.astype(np.int64) + 1, np.zeros(pack, np.int64)])
+    n = len(symbols)
+    number = np.cumsum(np.bincount(symbols) > 0)  # 0 is left for the text's end
+    bits = int(number[-1]).bit_length()
+    pack = depth = 63 // bits  # the first symbols in one number
+    padded = np.concatenate([number[symbols], np.zeros(pack, np.int64)])
     key = np.zeros(n, np.int64)
-    for i in range(pack):  # the first seven symbols in one number
-        key = (key << 9) | padded[i : i + n]
-    while True:
-        order = np.argsort(key)
-        ordered = key[order]
-        fresh = np.ones(n, bool)
-        fresh[1:] = ordered[1:] != ordered[:-1]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(fresh)
-        depth = pack if depth == 1 else 2 * depth
-        if depth >= length:
+    for i in range(pack):
+        key <<= bits
+        key |= padded[i : i + n]
+    order = np.argsort(key)
+    ordered = key[order]
+    order = order.astype(np.int32)
+    fresh = np.ones(n, bool)
+    fresh[1:] = ordered[1:] != ordered[:-1]
+    levels = [(1, np.flatnonzero(fresh).astype(np.int32))]
+    tied = np.arange(n, dtype=np.int32)
+    rank = np.zeros(n + 1, np.int32)  # first row of the ties, from 1
+    rank[order] = np.maximum.accumulate(np.where(fresh, tied + 1, 0))
+    while depth <= length:
+        single = fresh[tied]
+        single[:-1] &= single[1:]  # the row behind a group of ties is fresh
+        tied = tied[~single]
+        if not len(tied):
             break
-        key = rank * (n + 1)
-        key[: max(n - depth, 0)] += rank[depth:]
-    row = np.empty(n, np.int32)
+        suffix = order[tied]
+        key = rank[suffix].astype(np.int64) * (n + 1) + rank[np.minimum(suffix + depth, n)]
+        by_key = np.argsort(key)
+        key, suffix = key[by_key], suffix[by_key]
+        parted = np.ones(len(tied), bool)
+        parted[1:] = key[1:] != key[:-1]
+        order[tied] = suffix
+        rank[suffix] = np.maximum.accumulate(np.where(parted, tied + 1, 0))
+        levels.append((depth - 1, tied[parted & ~fresh[tied]]))
+        fresh[tied] = parted
+        depth *= 2
+    row = np.empty(n + 1, np.int32)
     row[order] = np.arange(n, dtype=np.int32)
-    psi = np.append(row[1:], np.int32(0))[order]  # the last suffix is its own interval: nothing else ends there
+    row[n] = 0  # the last suffix is its own interval: nothing else ends there
+    psi = row[order + 1]
     head = symbols[order]
-    by_symbol = np.ones(n, bool)
-    by_symbol[1:] = head[1:] != head[:-1]
+    boundary = np.ones(n, bool)
+    boundary[1:] = head[1:] != head[:-1]
     at_end = row[n - 1]
-    by_symbol[at_end] = True
-    if at_end + 1 < n:
-        by_symbol[at_end + 1] = True
-    boundary, lcp = by_symbol.copy(), np.zeros(n, np.int32)
-    known = np.flatnonzero(~boundary)
+    boundary[at_end : at_end + 2] = True
+    lcp = np.zeros(n, np.int32)
+    known = before = here = np.zeros(0, np.int32)
     for step in range(1, length):
+        while levels and levels[0][0] <= step:
+            more = levels.pop(0)[1]
+            more = more[~boundary[more]]
+            known, before, here = np.append(known, more), np.append(before, psi[more - 1]), np.append(here, psi[more])
+        if not len(known):
+            continue
         group = np.cumsum(boundary, dtype=np.int32)
-        before = group[psi]
-        cut = before[known] != before[known - 1]
+        cut = group[before] != group[here]
         new = known[cut]
         lcp[new] = step
         boundary[new] = True
-        known = known[~cut]
-    return order, np.cumsum(boundary) - 1, lcp
+        left = ~cut
+        known, before, here = known[left], before[left], here[left]
+    return order, np.cumsum(boundary, dtype=np.int32) - 1, lcp
 
 
 def earliest_documents(strings: list[bytes], nodes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,7 +166,7 @@ _PIECE = "node long, code long, content long, start int, size int"
 
 def _pieces(candidates: DataFrame, length: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in A.slices(batches, "_text"):
+        for batch in A.slices(batches, "_text", BLOCK):
             doc, start, size, code, content = anchored_strings(batch.column("_text"), length, batch.column("codes"))
             node = batch.column("node").take(pa.array(doc))
             yield pa.RecordBatch.from_arrays([node, pa.array(code.view(np.int64)), pa.array(content.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], ["node", "code", "content", "start", "size"])
@@ -169,11 +194,24 @@ def _with_bytes(strings: DataFrame, candidates: DataFrame) -> DataFrame:
 _RUN = "code long, content long, first int, n int, least long"
 
 
+def anchor_blocks(codes: np.ndarray, sizes: np.ndarray, limit: int) -> list[int]:
+    """Where to cut strings, sorted by anchor, into blocks of about ``limit`` bytes that hold all strings of their anchors."""
+    fresh = np.flatnonzero(codes[1:] != codes[:-1]) + 1
+    block = (np.cumsum(sizes) // limit)[fresh]
+    return [0, *fresh[np.flatnonzero(np.diff(block, prepend=0))].tolist(), len(codes)]
+
+
 def _transform(strings: DataFrame, length: int, parts: int) -> DataFrame:
-    """Runs of windows with the smallest document of each, from one transform per part."""
+    """Runs of windows with the smallest document of each, from one transform per block of a part's anchors."""
 
-    def transformed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for own in A.grouped(batches, "part"):
+            cuts = anchor_blocks(own.column("code").to_numpy(), pc.binary_length(own.column("bytes")).to_numpy(), BLOCK)
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                yield own.slice(a, b - a)
+
+    def transformed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in blocks(batches):
             code, content, node, most = (own.column(c).to_numpy() for c in ("code", "content", "node", "most"))
             string, place, found = earliest_documents(own.column("bytes").to_pylist(), node, length)
             fresh = np.ones(len(string), bool)
@@ -187,7 +225,7 @@ def _transform(strings: DataFrame, length: int, parts: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["code", "content", "first", "n", "least"])
 
     keyed = strings.withColumn("part", F.pmod(F.xxhash64("code"), F.lit(parts)).cast("int"))
-    return keyed.repartition(parts, "part").sortWithinPartitions("part").select("part", "code", "content", "node", "most", "bytes").mapInArrow(transformed, _RUN)
+    return keyed.repartition(parts, "part").sortWithinPartitions("part", "code").select("part", "code", "content", "node", "most", "bytes").mapInArrow(transformed, _RUN)
 
 
 def _by_window(strings: DataFrame, length: int) -> DataFrame:
@@ -204,32 +242,33 @@ def _removed(candidates: DataFrame, spans: DataFrame) -> DataFrame:
     held = spans.groupBy("node").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in A.slices(batches, "_text"):
-            out = []
+        for batch in A.slices(batches, "_text", BLOCK):
             data, offsets = A.text_bytes(batch.column("_text"))
-            for i, lists in enumerate(batch.column("spans").to_pylist()):
-                text = data[offsets[i] : offsets[i + 1]]
-                edge = np.zeros(len(text) + 1, np.int32)
-                np.add.at(edge, [s["start"] for s in lists], 1)
-                np.add.at(edge, [s["stop"] for s in lists], -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                kept = text[~gone].tobytes()
-                out.append((int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest(), kept))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("own"), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True))], ["digest", "first", "n_removed", "n_spans", "kept_sha256", "kept"])
+            lists, n = batch.column("spans"), batch.num_rows
+            rows, at = lists.flatten(), offsets[np.repeat(np.arange(n), np.diff(np.asarray(lists.offsets)))]
+            edge = np.bincount(at + rows.field("start").to_numpy(), minlength=len(data) + 1)
+            edge -= np.bincount(at + rows.field("stop").to_numpy(), minlength=len(data) + 1)
+            gone = np.cumsum(edge[:-1]) > 0
+            n_removed = A.sums_by_doc(gone, offsets)
+            n_spans = np.bincount(A.owners(offsets, A.spans(gone, offsets)[0]), minlength=n)
+            left, end = data[~gone].tobytes(), np.append(0, np.cumsum(np.diff(offsets) - n_removed)).tolist()
+            kept = [left[a:b] for a, b in zip(end[:-1], end[1:], strict=True)]
+            shas = [hashlib.sha256(x).hexdigest() for x in kept]
+            columns = [pa.array(n_removed), pa.array(n_spans), pa.array(shas, pa.string()), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("own"), *columns], ["digest", "first", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return candidates.select("digest", "own", "node", "_text").join(held, "node").select("digest", "own", "_text", "spans").mapInArrow(joined, "digest long, first long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def remove_repeated_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 50, hot: int = 20_000, part_bytes: int = 1_500_000) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every document. ``kept`` holds the remaining bytes of documents that lost some; null
-    stands for the whole text, or for nothing where all is removed. ``part_bytes`` bounds one transform."""
+    stands for the whole text, or for nothing where all is removed. ``part_bytes`` bounds what one task's transforms hold."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("digest", F.xxhash64("_text"))
     sha = F.sha2("_text", 256)
     known = written(rows.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("own"), "digest", sha.alias("sha"), F.octet_length("_text").cast("long").alias("n_bytes")), "texts")
     nodes = known.groupBy("digest", "sha").agg(F.min("own").alias("node"))
     buckets = anchors.bucket_count(rows)
-    codes = anchors.shared_anchors(rows, lambda texts: _anchors(texts, length), buckets)
+    codes = anchors.shared_anchors(rows, lambda texts: _anchors(texts, length), buckets, slice_bytes=BLOCK)
     named = codes.join(nodes, "digest")
     first = rows.withColumn("own", F.coalesce("doc_id", F.lit(_LAST))).select("digest", "own", "_text")
     named = named.withColumn("own", F.col("node")).withColumn("node", F.when(F.col("own") == _LAST, F.pmod("digest", F.lit(1 << 62)) + (1 << 62)).otherwise(F.col("own")))

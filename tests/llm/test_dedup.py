@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from counterloom.llm import chosen_path, suffix_dedup, word_graph
@@ -103,6 +104,58 @@ def test_transform_derives_common_prefixes_by_increasing_value():
             assert f == min(n for t, n in zip(strings, nodes, strict=True) if key in t)
 
 
+def test_transform_sorts_again_only_what_is_tied(monkeypatch):
+    r, sorted_rows, sort = random.Random(5), [], np.argsort
+    strings = [bytes(r.choice(b"abcdefgh ") for _ in range(70)) for _ in range(300)]
+    strings += strings[:20]
+    monkeypatch.setattr(np, "argsort", lambda key, **kw: sorted_rows.append(len(key)) or sort(key, **kw))
+    suffix_dedup.earliest_documents(strings, np.arange(len(strings)), 50)
+    n = sum(len(s) + 1 for s in strings)
+    assert n <= sum(sorted_rows) < 2 * n
+
+
+def test_blocks_of_whole_anchors_give_what_one_transform_gives():
+    r = random.Random(6)
+    codes = np.sort(np.array([r.randrange(40) for _ in range(200)]))
+    strings = [b"".join(r.choice((b"ab", b"ba", b"c")) for _ in range(r.randrange(6, 20))) + b"%02d" % c * 4 for c in codes]
+    sizes, nodes = np.array([len(s) for s in strings]), np.array([r.randrange(50) for _ in strings])
+    cuts = suffix_dedup.anchor_blocks(codes, sizes, 300)
+    assert cuts[0] == 0 and cuts[-1] == len(strings) and len(cuts) > 10
+    assert all(codes[c - 1] != codes[c] for c in cuts[1:-1])
+    largest = max(int(sizes[codes == c].sum()) for c in codes)
+    assert all(sizes[a:b].sum() <= 300 + largest for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+    for c in range(40):  # within an anchor, alone or with others of its block
+        at = np.flatnonzero(codes == c)
+        block = max(x for x in cuts if x <= at[0])
+        end = min(x for x in cuts if x > at[0])
+        assert at[-1] < end
+        together = [x for x in zip(*suffix_dedup.earliest_documents(strings[block:end], nodes[block:end], 12), strict=True)]
+        for string, place, found in together:
+            key = strings[block + string][place : place + 12]
+            assert found == min(nodes[i] for i in range(block, end) if key in strings[i])
+    assert suffix_dedup.anchor_blocks(codes[:1], sizes[:1], 300) == [0, 1]
+
+
+def test_strings_are_the_runs_of_windows_with_wanted_anchors():
+    texts = pa.array([words(60, 1), "short", words(90, 1)[40:], "", "same " * 30])
+    doc, hashes = suffix_dedup._anchors(texts, 50)
+    take = [[int(h >> np.uint64(32)) for h in hashes[doc == i]][::2] for i in range(len(texts))]
+    codes = pa.array([np.array(c, np.uint32).view(np.int32).tolist() for c in take], pa.list_(pa.int32()))
+    got = {(d, s, n) for d, s, n in zip(*(x.tolist() for x in suffix_dedup.anchored_strings(texts, 50, codes)[:3]), strict=True)}
+    want = set()
+    for i, text in enumerate(texts.to_pylist()):
+        data = np.frombuffer(text.encode(), np.uint8)
+        grams = suffix_dedup._grams(data)[1]
+        least = [int(grams[k : k + 31].min()) for k in range(len(data) - 49)]
+        start = 0
+        for k in range(1, len(least) + 1):
+            if k == len(least) or least[k] != least[start]:
+                if least[start] >> 32 in take[i]:
+                    want.add((i, start, k - start + 49))
+                start = k
+    assert got == want and len(got) > 5
+
+
 def near(rows, similarity=0.8, n=5):
     """Links and class of each id among documents with words."""
     first = {}
